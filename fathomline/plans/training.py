@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.operators import snapshot_delta
+from fathomline.operators import nested_records, snapshot_delta
 from fathomline.runtime import table
 
 
@@ -18,6 +18,26 @@ def p4_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_delta.resolved_per_skill(table(spark, sf_dir, "finding_snapshot"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per extra, header and front-matter entry of the reports' payloads."""
+    return nested_records.entries(table(spark, sf_dir, "scan_report")).drop("entry_value")
+
+
+def p5_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of nested findings with their variants."""
+    return nested_records.typed_table(nested_records.nodes(table(spark, sf_dir, "scan_report")), "finding")
+
+
+def p5_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of nested flows with their parents' places."""
+    return nested_records.typed_table(nested_records.nodes(table(spark, sf_dir, "scan_report")), "flow")
+
+
+def p5_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural variants of every object type, with how often each occurs."""
+    return nested_records.nodes(table(spark, sf_dir, "scan_report")).filter("fields IS NOT NULL").groupBy("entity", "variant").count()
+
+
 _W = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 _CHANGES = f"""
 WITH t AS (
@@ -49,7 +69,7 @@ changes AS (
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_resolved": p4_resolved}
+    return {"p4_found": p4_found, "p4_resolved": p4_resolved, "p5_found": p5_found, "p5_findings": p5_findings, "p5_flows": p5_flows, "p5_variants": p5_variants}
 
 
 def oracle_sql() -> dict[str, str]:
