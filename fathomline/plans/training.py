@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.operators import nested_records, snapshot_delta
+from fathomline.operators import log_fields, nested_records, snapshot_delta
 from fathomline.runtime import table
 
 
@@ -38,6 +38,16 @@ def p5_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested_records.nodes(table(spark, sf_dir, "scan_report")).filter("fields IS NOT NULL").groupBy("entity", "variant").count()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per log entry with its lines, time, level and component."""
+    return log_fields.entries(table(spark, sf_dir, "sandbox_log"), table(spark, sf_dir, "sandbox_run"))
+
+
+def p6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The templates found by n-gram dictionaries, with their numbers of lines."""
+    return log_fields.templates(table(spark, sf_dir, "sandbox_log"))
+
+
 _W = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 _CHANGES = f"""
 WITH t AS (
@@ -69,7 +79,7 @@ changes AS (
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_resolved": p4_resolved, "p5_found": p5_found, "p5_findings": p5_findings, "p5_flows": p5_flows, "p5_variants": p5_variants}
+    return {"p4_found": p4_found, "p4_resolved": p4_resolved, "p5_found": p5_found, "p5_findings": p5_findings, "p5_flows": p5_flows, "p5_variants": p5_variants, "p6_found": p6_found, "p6_templates": p6_templates}
 
 
 def oracle_sql() -> dict[str, str]:
