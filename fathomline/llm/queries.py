@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import leakage, lookalike
+from fathomline.llm import language, leakage, lookalike
 from fathomline.runtime import table
 
 
@@ -36,8 +36,23 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "n_chars")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents that are mixed, or whose label does not name their language."""
+    return language.mislabelled(table(spark, sf_dir, "documents"))
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment in one language with its confidence."""
+    return language.language_segments(table(spark, sf_dir, "documents"))
+
+
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language with its confidence."""
+    return language.document_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean}
+    return {"p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 
 
 def oracle_sql() -> dict[str, str]:
