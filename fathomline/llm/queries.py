@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import language, leakage, lookalike
+from fathomline.llm import language, leakage, lookalike, residue
 from fathomline.runtime import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills and reports whose text is residue in place of content."""
+    return residue.residue(table(spark, sf_dir, "skill_metadata"), table(spark, sf_dir, "scan_report"))
+
+
+def p3_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagged messages, masked, with their rules and numbers of records."""
+    return residue.messages(table(spark, sf_dir, "skill_metadata"), table(spark, sf_dir, "scan_report"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of skills that hold characters which only look ordinary."""
     return lookalike.affected_fields(table(spark, sf_dir, "skill_metadata")).select("skill_id", "field_name")
@@ -52,7 +62,7 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
+    return {"p3_found": p3_found, "p3_messages": p3_messages, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 
 
 def oracle_sql() -> dict[str, str]:
