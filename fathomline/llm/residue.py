@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.runtime import latest
+from fathomline.runtime import cut, latest
 
 #: Sources in which a likely message must stand to count.
 RECURRENCE = 2
@@ -77,7 +77,7 @@ UNRESOLVED = "|".join(
 UNRESOLVED_COMMAND = r"\[object Object\]|\bInvalid Date\b|--?[\w-]+[ =](?:undefined|NaN|null|None)(?=\s|$)"
 #: Text that is still to be written, as a whole line.
 UNWRITTEN = (
-    r"(?i)^\W*(?:(?:TODO|FIXME|TBD|TBA|XXX)\b\s*(?:[:.\-]\s*.*|(?:write|add|describe|fill|document|explain|complete|finish|insert)\b.*)?"
+    r"(?iu)^\W*(?:(?:TODO|FIXME|TBD|TBA|XXX)\b\s*(?:[:.\-]\s*.*|(?:write|add|describe|fill|document|explain|complete|finish|insert)\b.*)?"
     r"|to be (?:written|supplied|added|determined|announced|completed|done)\W*|.{0,60}\bto be (?:supplied|written|added|completed)\W*"
     r"|.{0,40}\bcoming soon\W*|.{0,60}\bgoes here\W*|write (?:one or two|a few|some|a|your) (?:\w+ ){0,3}(?:sentences?|text|description|summary|paragraph)\b.*\bhere\W*"
     r"|\(?(?:add|insert|put|enter|place) (?:a|an|your|some|the)? ?(?:\w+ ){0,6}here\W*|replace this (?:text|line|section|paragraph)\b.*|(?:your|placeholder) (?:text|description|content)(?: here)?\W*"
@@ -96,12 +96,15 @@ ERROR_LINE = "|".join(
         r"^.{0,60}\((?:error|fehler|erreur|errore|erro|fout|ошибка)\s*[45]\d\d\)\W*$|^.{0,80}\b(?:code d'erreur|error code|fehlercode|código de error)\s*:?\s*[45]\d\d\W*$",
         r"^\W*(?:the requested (?:url|page|resource)\b.{0,40}\b(?:was not found|could not be found|does not exist)\b.{0,60}|(?:sorry, )?we (?:could ?n[o']t|can ?n[o']t) find (?:the|that) page\b.{0,60})$",
         r"^\W*(?:oops!?\s*)?something went wrong\W{0,3}(?:\s*please\b.{0,40})?$|^\W*(?:the server (?:met|encountered) an (?:unexpected|internal)\b.{0,80})$",
-        r"^\W*(?:you do(?: not|n't) have permission to (?:view|access)\b.{0,60}|access (?:to this \w+ )?(?:is |has been )?denied\W*)$",
+        r"^\W*(?:access (?:to this \w+ )?(?:is |has been )?denied\b\W*(?:you do(?: not|n't) have permission\b.{0,80})?|you do(?: not|n't) have permission to (?:view|access)\b.{0,80})$",
+        r"^\W*[45]\d\d\W*$",
         r"^\W*(?:session (?:has )?expired\b.{0,80}|.{0,40}\bunavailable: (?:this|the) (?:content|page|repository)\b.{0,80}|this (?:content|page) (?:has been|was) (?:removed|deleted)\b.{0,60})$",
         r"^\W*rate limit exceeded\b.{0,60}$",
         r"^\W*(?:just a moment\W*|checking your browser\b.{0,60}|verify (?:that )?you are (?:a )?human\b.{0,80}|please wait while we (?:verify|check)\b.{0,60})$",
     )
 )
+#: What any error line holds.
+ERROR_HINT = r"(?iu)[45]\d\d|error|ошибка|wrong|found|find|denied|permission|expired|unavailable|removed|deleted|limit|moment|checking|human|wait|unexpected|<h|<center|not exist"
 #: Notices that scripts are needed: a line about scripts, a need and a page at once.
 _NEED = r"(?:enabled?|enabling|disabled|turn(?:ed)?[\w ]{0,6} (?:on|off)|switch(?:ed)?[\w ]{0,6} (?:on|off)|activ\w*|aktivier\w*|need(?:s|ed)?|requires?|required|support|besoin|necesita|requiere|precisa|richiede|vereist|нужен|включите)"
 _PAGE = r"(?:this (?:page|site|app|application|website|content|check)|your browser|this app\b|to continue|to view|to run|the page|diese seite|ce site|cette page|esta p[áa]gina|questa pagina|deze pagina|if nothing happens|страниц\w*)"
@@ -128,12 +131,15 @@ def outside_code(text: Column) -> Column:
 
 def masked(line: Column) -> Column:
     """A message with numbers, addresses, dates and ids masked; status codes stay, since rules read them."""
-    out = F.regexp_replace(line, r"(?i)\b(?:https?|ftp)://[^\s{}<>\[\]\"']+", "\u27e8url\u27e9")
-    out = F.regexp_replace(out, r"[\w.+-]+@[\w-]+\.[\w.-]+", "\u27e8mail\u27e9")
-    out = F.regexp_replace(out, r"\b\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?", "\u27e8date\u27e9")
-    out = F.regexp_replace(out, r"(?i)\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b", "\u27e8id\u27e9")
-    out = F.regexp_replace(out, r"\b(?![45]\d\d\b)\d+(?:\.\d+)*\b", "0")
-    return F.btrim(F.regexp_replace(out, r"\s+", " "))
+    def where(needs: str, c: Column, pattern: str, mark: str) -> Column:
+        return F.when(c.rlike(needs), F.regexp_replace(c, pattern, mark)).otherwise(c)
+
+    out = where("://", line, r"(?i)\b(?:https?|ftp)://[^\s{}<>\[\]\"']+", "\u27e8url\u27e9")
+    out = where("@", out, r"[\w.+-]+@[\w-]+\.[\w.-]+", "\u27e8mail\u27e9")
+    out = where(r"\d{4}-\d", out, r"\b\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?", "\u27e8date\u27e9")
+    out = where(r"(?i)\d[a-f]|[a-f]\d", out, r"(?i)\b(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{6,}\b", "\u27e8id\u27e9")
+    out = where(r"\d", out, r"\b(?![45]\d\d\b)\d+(?:\.\d+)*\b", "0")
+    return F.btrim(where(r"\s\s|[^\S ]", out, r"\s+", " "))
 
 
 def _quotes_out(line: Column) -> Column:
@@ -141,16 +147,19 @@ def _quotes_out(line: Column) -> Column:
 
 
 def verdict(line: Column, command: bool) -> Column:
-    """The rule a masked message falls under, null if none."""
-    said = _quotes_out(line)
+    """The rule a masked message falls under, null if none. Each rule has a cheap necessary condition before it."""
+    said = F.when(line.rlike("[\"\u201c\u201e\u00ab]"), _quotes_out(line)).otherwise(line)
+    short = F.length(line) <= 420
     rule = F.when(F.length(line) == 0, F.lit(None).cast("string"))
     slot, unresolved = (SLOT_COMMAND, UNRESOLVED_COMMAND) if command else (SLOT_PROSE, UNRESOLVED)
-    rule = rule.when(line.rlike("(?i)" + ERROR_LINE), "error page")
-    rule = rule.when(line.rlike(slot), "unfilled slot").when(line.rlike(unresolved), "unresolved value")
-    rule = rule.when(said.rlike("(?i)" + SCRIPT_LINE), "scripts needed")
+    rule = rule.when(short & line.rlike(ERROR_HINT) & line.rlike("(?iu)" + ERROR_LINE), "error page")
+    rule = rule.when(line.rlike(r"[{<\[%@_]|YOUR|(?i)path/to|TODO|FIXME|TBD|CHANGEME|REPLACE") & line.rlike(slot), "unfilled slot")
+    rule = rule.when(line.rlike(r"(?i)object Object|Invalid Date|undefined|null|NaN|None|nil\b") & line.rlike(unresolved), "unresolved value")
+    rule = rule.when((F.length(said) <= 200) & said.rlike(rf"(?iu)\b{SCRIPTS}\b") & said.rlike("(?iu)" + SCRIPT_LINE), "scripts needed")
     if not command:
-        rule = rule.when(line.rlike(UNWRITTEN), "unwritten").when(said.rlike(LATIN_FILLER), "filler")
-    return rule.when(line.rlike("(?i)" + LIKELY_LINE), "likely error page")
+        rule = rule.when((F.length(line) <= 140) & line.rlike(UNWRITTEN), "unwritten")
+        rule = rule.when(said.rlike(r"(?i)\b(?:lorem|dolor|amet|consectetur|adipiscing|veniam|nostrud|laboris|cillum|pariatur|proident|deserunt|ullamco|aliquip|viverra)\b") & said.rlike(LATIN_FILLER), "filler")
+    return rule.when((F.length(line) <= 60) & line.rlike("(?iu)" + LIKELY_LINE), "likely error page")
 
 
 def _lines(rows: DataFrame, kind: str, text: Column, command: bool) -> DataFrame:
@@ -177,7 +186,7 @@ def messages(skills: DataFrame, reports: DataFrame) -> DataFrame:
 
 def residue(skills: DataFrame, reports: DataFrame) -> DataFrame:
     """(record_kind, record_id) of the skills and reports to leave out."""
-    found = flagged(skills, reports).select("record_kind", "record_id", "rule", F.xxhash64(F.lower("line")).alias("h")).distinct()
+    found = cut(flagged(skills, reports).select("record_kind", "record_id", "rule", F.xxhash64(F.lower("line")).alias("h")).distinct())
     sure = found.filter("rule <> 'likely error page'").select("record_kind", "record_id")
     likely = found.filter("rule = 'likely error page'").select("record_kind", "record_id", "h")
     recurring = likely.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= RECURRENCE).select("h")
