@@ -132,7 +132,8 @@ def outside_code(text: Column) -> Column:
 def masked(line: Column) -> Column:
     """A message with numbers, addresses, dates and ids masked; status codes stay, since rules read them."""
     def where(needs: str, c: Column, pattern: str, mark: str) -> Column:
-        return F.when(c.rlike(needs), F.regexp_replace(c, pattern, mark)).otherwise(c)
+        # The one-element transform binds c, which would else be evaluated at every use.
+        return F.transform(F.array(c), lambda v: F.when(v.rlike(needs), F.regexp_replace(v, pattern, mark)).otherwise(v))[0]
 
     out = where("://", line, r"(?i)\b(?:https?|ftp)://[^\s{}<>\[\]\"']+", "\u27e8url\u27e9")
     out = where("@", out, r"[\w.+-]+@[\w-]+\.[\w.-]+", "\u27e8mail\u27e9")
@@ -146,9 +147,8 @@ def _quotes_out(line: Column) -> Column:
     return F.regexp_replace(line, "\"[^\"]{1,200}\"|\u201c[^\u201d]{1,200}\u201d|\u00ab[^\u00bb]{1,200}\u00bb|\u201e[^\u201c\u201d]{1,200}[\u201c\u201d]", " ")
 
 
-def verdict(line: Column, command: bool) -> Column:
+def verdict(line: Column, said: Column, command: bool) -> Column:
     """The rule a masked message falls under, null if none. Each rule has a cheap necessary condition before it."""
-    said = F.when(line.rlike("[\"\u201c\u201e\u00ab]"), _quotes_out(line)).otherwise(line)
     short = F.length(line) <= 420
     rule = F.when(F.length(line) == 0, F.lit(None).cast("string"))
     slot, unresolved = (SLOT_COMMAND, UNRESOLVED_COMMAND) if command else (SLOT_PROSE, UNRESOLVED)
@@ -163,11 +163,15 @@ def verdict(line: Column, command: bool) -> Column:
 
 
 def _lines(rows: DataFrame, kind: str, text: Column, command: bool) -> DataFrame:
-    """(record_kind, record_id, line, rule) of the flagged messages."""
-    lines = rows.select(F.lit(kind).alias("record_kind"), "record_id", F.explode(F.split(text, r"\n")).alias("raw"))
-    # Paragraphs are judged by sentence where a rule asks for a whole message.
-    cut = lines.select("record_kind", "record_id", masked(F.col("raw")).alias("line")).filter("line <> ''")
-    return cut.withColumn("rule", verdict(F.col("line"), command)).filter(F.col("rule").isNotNull())
+    """(record_kind, record_id, line, rule) of the flagged messages.
+
+    The generators keep each message and verdict an attribute that is computed once.
+    """
+    split = F.filter(F.transform(F.split(text, r"\n"), masked), lambda x: x != "")
+    both = F.transform(split, lambda x: F.struct(x.alias("line"), F.when(x.rlike("[\"\u201c\u201e\u00ab]"), _quotes_out(x)).otherwise(x).alias("said")))
+    lines = rows.select("record_id", F.explode(both).alias("m")).select("record_id", "m.line", "m.said")
+    rules = lines.select("record_id", "line", F.explode(F.array_compact(F.array(verdict(F.col("line"), F.col("said"), command)))).alias("rule"))
+    return rules.select(F.lit(kind).alias("record_kind"), "record_id", "line", "rule")
 
 
 def flagged(skills: DataFrame, reports: DataFrame) -> DataFrame:
