@@ -5,11 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomline.llm import language, leakage, lookalike, residue
+from fathomline.llm import language, leakage, lookalike, near_duplicates, residue
 from fathomline.runtime import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of skills whose bodies are alike."""
+    pairs = near_duplicates.Families(near_duplicates.bodies(table(spark, sf_dir, "skill_metadata"))).pairs()
+    return pairs.select(F.col("id_a").alias("skill_id_a"), F.col("id_b").alias("skill_id_b"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every skill with its group of alike skills and its number of links."""
+    return near_duplicates.Families(near_duplicates.bodies(table(spark, sf_dir, "skill_metadata"))).groups()
+
+
+def p2_report_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report names within each group of alike skills."""
+    return near_duplicates.reports_of_groups(p2_groups(spark, sf_dir), table(spark, sf_dir, "scan_report"))
+
+
+def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near duplicates at five words and 0.8."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return near_duplicates.Families(docs, near_duplicates.TEXT).groups()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skills and reports whose text is residue in place of content."""
     return residue.residue(table(spark, sf_dir, "skill_metadata"), table(spark, sf_dir, "scan_report"))
@@ -62,7 +85,7 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_messages": p3_messages, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
+    return {"p2_found": p2_found, "p2_groups": p2_groups, "p2_report_names": p2_report_names, "p2_documents": p2_documents, "p3_found": p3_found, "p3_messages": p3_messages, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 
 
 def oracle_sql() -> dict[str, str]:
