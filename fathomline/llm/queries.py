@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import language, leakage, lookalike, near_duplicates, residue
+from fathomline.llm import credentials, language, leakage, lookalike, near_duplicates, residue
 from fathomline.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on which a usable credential is written out."""
+    found = credentials.credential_lines(table(spark, sf_dir, "bundled_file"), table(spark, sf_dir, "finding"))
+    return found.select("record_kind", "record_id", "line_no").distinct()
+
+
+def p1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines with the places of the literals to mask."""
+    return credentials.credential_lines(table(spark, sf_dir, "bundled_file"), table(spark, sf_dir, "finding"))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that hold credentials, masked and otherwise unbroken."""
+    return credentials.redacted_texts(table(spark, sf_dir, "bundled_file"), table(spark, sf_dir, "finding"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of skills whose bodies are alike."""
     pairs = near_duplicates.Families(near_duplicates.bodies(table(spark, sf_dir, "skill_metadata"))).pairs()
@@ -85,7 +101,7 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_groups": p2_groups, "p2_report_names": p2_report_names, "p2_documents": p2_documents, "p3_found": p3_found, "p3_messages": p3_messages, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
+    return {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups, "p2_report_names": p2_report_names, "p2_documents": p2_documents, "p3_found": p3_found, "p3_messages": p3_messages, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 
 
 def oracle_sql() -> dict[str, str]:
