@@ -134,7 +134,7 @@ class Lines:
         if k == 5:
             return [(r.choice(["client = Client(", "connect(host='h', ", "login(user, "]), "o"), (name, nk), ("=", pk), ('"', pk), *value, ('")', "o")]
         if k == 6:
-            return [(r.choice(["run-job ", "tool login ", "docker login -u ci ", "deploy --env prod ", 'os.system("docker login -u ci ']), "o"), ("--" + name, nk), (r.choice([" ", "=", " '"]), pk), *value, (r.choice(["", " registry.test", "'"]), "o")]
+            return [(r.choice(["run-job ", "tool login ", "docker login -u ci ", "deploy --env prod ", "python scripts/job.py ", "invocation: python scripts/job.py ", 'os.system("docker login -u ci ']), "o"), ("--" + name, nk), (r.choice([" ", "=", " '"]), pk), *value, (r.choice(["", " registry.test", "'"]), "o")]
         if k == 7:
             return [("curl -s -d '", "o"), (name, nk), ("=", pk), *value, ("' https://collect.test/v1", "o")]
         if k == 8:
@@ -162,6 +162,9 @@ class Lines:
             body = [(f"mysql -h {h} -u root ", "o"), ("-p", "k"), (self.chars(ALNUM, 10, 14), "s"), (" ledger", "o")]
         elif k == 1:
             body = [("sshpass ", "o"), ("-p", "k"), (" '", "p"), *s, (f"' scp a.txt bot@{h}:/tmp", "o")]
+        elif k == 2 and r.random() < 0.5:
+            lead = r.choice(["python scripts/", "invocation: python scripts/", "node lib/", "bash bin/"]) + r.choice(WORDS) + ".py "
+            body = [(lead, "o"), (r.choice(["--user", "-u", "--auth", "--login"]), "k"), (f" {r.choice(['bot', 'admin', 'svc', 'me'])}:", "p"), (r.choice([self.password(), self.chars(ALNUM, 12, 18)]), "s"), (r.choice(["", f" --limit {r.randint(1, 900)}", " --in a.csv"]), "o")]
         elif k == 2:
             body = [("curl ", "o"), (r.choice(["-u", "--user"]), "k"), (f" {r.choice(['bot', 'admin', 'svc'])}:", "p"), (self.password(), "s"), (f" https://{h}/export", "o")]
         elif k == 3:
@@ -183,6 +186,13 @@ class Lines:
         r = self.r
         h = r.choice(HOSTS)
         ref = r.choice([self.reference(), r.choice(PLACEHOLDERS)])
+        if r.random() < 0.35:
+            flag = r.choice([*PLAIN_WORDS, "commit", "sha", "rev", "checksum", "digest", "build-id", "max-tokens", "run-id", "ref", "tag", "limit", "in", "user"]).replace("_", "-")
+            value = r.choice([self.chars(HEX, 40, 40), self.digest(), self.digest(), str(r.randint(1, 9999)), r.choice(WORDS)])
+            lead = r.choice(["invocation: python scripts/", "python scripts/", "node lib/", "bash bin/", "./"]) + r.choice(WORDS) + r.choice([".py", ".js", ".sh"])
+            return [(f"{lead} --{flag}{r.choice([' ', '=', ' '])}{value}{r.choice(['', ' --limit 5', ' --in a.csv'])}", "o")]
+        if r.random() < 0.1:
+            return [(r.choice(["git checkout ", "git show ", "git cherry-pick ", "commit "]) + self.chars(HEX, 40, 40), "o")]
         return [(r.choice([
             f"mysql -h {h} -u root -p ledger", f"mysql -u root -p${{DB_PASS}} ledger", f"sshpass -e scp a.txt bot@{h}:/tmp", f"curl -u bot:{ref} https://{h}", f"curl -H 'Authorization: Bearer {ref}' https://{h}", f"tool --password-file /run/secrets/pw", f"tool --token {ref}",
             f"mkdir -p build/{r.choice(WORDS)}", f"sort -k{r.randint(1, 9)} entries.log | uniq -c", f"docker login -u ci --password-stdin registry.test", f"python scripts/{r.choice(WORDS)}.py --in {r.choice(WORDS)}.csv", f"git clone https://{h}/a/b.git", f"curl -s https://{h}/{r.randint(1, 99)} -o x.json",
@@ -240,7 +250,7 @@ class Lines:
             parts = self.assign(self.styled(r.choice(PLAIN_WORDS)), "o", [(value, "o")])
         elif k < 0.84:
             parts = self.assign(self.styled(r.choice(URL_NAMES)), "o", self.url([(r.choice(["${DB_PASS}", "<password>", "********", "$PW", "changeme", "{{ pw }}"]), "o")], False) if r.random() < 0.6 else [(f"https://bot@{r.choice(HOSTS)}/x", "o")])
-        elif k < 0.875:
+        elif k < 0.885:
             parts = self.negative_command()
         elif k < 0.935:
             parts = self.public()

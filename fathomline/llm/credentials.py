@@ -316,6 +316,8 @@ def spans(line: str, before: str, model: Tagger) -> list[tuple[int, int]]:
     if not _MAYBE.search(line):
         return []
     tokens, marks = model.labels(line, before)
+    if len(tokens) == 1 and tokens[0][0] == "chunk" and not _VENDOR.match(tokens[0][1]):
+        return []  # the body of a key block or certificate; only its header line counts
     out: list[list[tuple[int, int, str, str]]] = []
     for i, ((kind, t, at), y) in enumerate(zip(tokens, marks)):
         if y != "s" or kind not in ("chunk", "pem", "flag"):
