@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import credentials, language, leakage, lookalike, near_duplicates, residue
+from fathomline.llm import credentials, language, leakage, lookalike, mixing, near_duplicates, residue
 from fathomline.runtime import table
 
 
@@ -85,6 +85,16 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "n_chars")
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix with their repeats."""
+    return mixing.chosen(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares each mix really reached."""
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of documents that are mixed, or whose label does not name their language."""
     return language.mislabelled(table(spark, sf_dir, "documents"))
@@ -101,7 +111,7 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups, "p2_report_names": p2_report_names, "p2_documents": p2_documents, "p3_found": p3_found, "p3_messages": p3_messages, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
+    return {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups, "p2_report_names": p2_report_names, "p2_documents": p2_documents, "p3_found": p3_found, "p3_messages": p3_messages, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 
 
 def oracle_sql() -> dict[str, str]:
