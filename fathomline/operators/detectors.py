@@ -76,7 +76,12 @@ def placeholder_secret(token: Column) -> Column:
 
 def secrets(texts: DataFrame) -> DataFrame:
     """Issued credentials by their form. The value itself stays in no column."""
-    kinds = F.array(*[F.transform(F.filter(matches(F.col("text"), p), lambda m: ~placeholder_secret(m["hit"])), lambda m, n=n, k=k: F.struct(F.lit(k).alias("k"), F.lit(n).alias("kind"), m["line"].alias("line"))) for k, (n, p) in enumerate(dims.SECRETS)])
+
+    def of(k: int, kind: str, pattern: str) -> Column:
+        sure = F.filter(matches(F.col("text"), pattern), lambda m: ~placeholder_secret(m["hit"]))
+        return F.transform(sure, lambda m: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), m["line"].alias("line")))
+
+    kinds = F.array(*[of(k, kind, p) for k, (kind, p) in enumerate(dims.SECRETS)])
     hint = F.col("text").rlike(r"sk-|gh[pousr]_|github_pat_|AKIA|xox[baprs]-|[sr]k_live_|AIza|PRIVATE KEY-----")
     rows = texts.filter(hint).select("skill_path", "source", *(["file_no"] if "file_no" in texts.columns else []), F.posexplode(F.flatten(kinds)).alias("k", "s"))
     return _finding(rows, 1, F.col("k") + 2000, "hardcoded_secret", "high", F.format_string("%s written out in the text", F.col("s.kind")), F.format_string("line %d", F.col("s.line")))

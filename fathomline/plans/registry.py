@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.plans import training
+from fathomline.plans import reference, training
 
-_MODULES = (training,)
+_MODULES = (reference, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
