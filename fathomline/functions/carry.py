@@ -16,8 +16,9 @@ def last_before(df: DataFrame, keys: list[str], order: str, value: Column, out:
     at = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("bigint")).withColumn("_value", value)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = at.withColumn(out, F.last("_value", ignorenulls=True).over(inside))
-    ends = at.filter(F.col("_value").isNotNull()).groupBy(*keys, "_chunk").agg(F.max_by("_value", order).alias("_end"))
-    chunks = at.select(*keys, "_chunk").distinct().join(ends, [*keys, "_chunk"], "left")
+    held = F.col("_value").isNotNull()
+    # Every chunk has a row; max_by passes over rows whose order is null.
+    chunks = at.groupBy(*keys, "_chunk").agg(F.max_by(F.when(held, F.col("_value")), F.when(held, F.col(order))).alias("_end"))
     along = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = chunks.withColumn("_carried", F.last("_end", ignorenulls=True).over(along)).filter(F.col("_carried").isNotNull()).drop("_end")
     # A chunk without a carried value is the common case: most keys have a single chunk.

@@ -26,12 +26,18 @@ COLUMNS = ("skill_path", "phase", "file_no", "ord", "category", "severity", "sum
 def _finding(rows: DataFrame, phase: int, ord_: Column, category: Column | str, severity: Column | str, summary: Column, detail: Column) -> DataFrame:
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     number = F.col("file_no") if "file_no" in rows.columns else F.lit(0)
+    step = F.col("phase") if "phase" in rows.columns else F.lit(phase)
     return rows.select(
-        "skill_path", F.lit(phase).alias("phase"), number.cast("int").alias("file_no"), ord_.cast("int").alias("ord"), lit(category).alias("category"), lit(severity).alias("severity"),
+        "skill_path", step.cast("int").alias("phase"), number.cast("int").alias("file_no"), ord_.cast("int").alias("ord"), lit(category).alias("category"), lit(severity).alias("severity"),
         summary.alias("summary"), detail.alias("detail"), "source",
     )
 
 
+def _placed(rows: DataFrame) -> list[str]:
+    """The columns on the order of emission that rows bring along."""
+    return [c for c in ("phase", "file_no") if c in rows.columns]
+
+
 def scannable(source: Column) -> Column:
     """Whether a file's text is read at all."""
     return suffix(basename(source)).isin(*dims.TEXT_SUFFIXES) | F.lower(basename(source)).isin(*dims.SECRET_DOTFILES)
@@ -83,7 +89,7 @@ def secrets(texts: DataFrame) -> DataFrame:
 
     kinds = F.array(*[of(k, kind, p) for k, (kind, p) in enumerate(dims.SECRETS)])
     hint = F.col("text").rlike(r"sk-|gh[pousr]_|github_pat_|AKIA|xox[baprs]-|[sr]k_live_|AIza|PRIVATE KEY-----")
-    rows = texts.filter(hint).select("skill_path", "source", *(["file_no"] if "file_no" in texts.columns else []), F.posexplode(F.flatten(kinds)).alias("k", "s"))
+    rows = texts.filter(hint).select("skill_path", "source", *_placed(texts), F.posexplode(F.flatten(kinds)).alias("k", "s"))
     return _finding(rows, 1, F.col("k") + 2000, "hardcoded_secret", "high", F.format_string("%s written out in the text", F.col("s.kind")), F.format_string("line %d", F.col("s.line")))
 
 
@@ -106,7 +112,7 @@ def install_targets(text: Column) -> Column:
 def declared_packages(texts: DataFrame) -> DataFrame:
     """(…, ecosystem, name, version, line): packages of manifests and of install commands in other texts."""
     name = F.lower(basename(F.col("source")))
-    keep = ["skill_path", "source", *(["file_no"] if "file_no" in texts.columns else [])]
+    keep = ["skill_path", "source", *_placed(texts)]
     req = texts.filter(name == "requirements.txt").select(*keep, F.posexplode(requirement_lines(F.col("text"))).alias("k", "e")).select(*keep, "k", F.lit("PyPI").alias("ecosystem"), "e.name", "e.version", F.lit(None).cast("int").alias("line"))
     pkg = texts.filter(name == "package.json").select(*keep, F.posexplode(package_entries(F.col("text"))).alias("k", "e")).select(*keep, "k", F.lit("npm").alias("ecosystem"), "e.name", "e.version", F.lit(None).cast("int").alias("line"))
     cmd = texts.filter(~name.isin("requirements.txt", "package.json") & F.col("text").rlike(r"\b(?:pip3?|npm|yarn)\s")).select(*keep, F.posexplode(install_targets(F.col("text"))).alias("k", "e"))
@@ -176,7 +182,7 @@ def instruction(line: Column) -> Column:
 
 def instructions(texts: DataFrame, phase: int = 1) -> DataFrame:
     """Dangerous prose and hidden characters, line by line; numbers count from 1 and one leading mark is dropped."""
-    keep = ["skill_path", "source", *(["file_no"] if "file_no" in texts.columns else [])]
+    keep = ["skill_path", "source", *_placed(texts)]
     lines = texts.filter(F.length("text") > 0).select(*keep, F.posexplode(split_lines(F.regexp_replace("text", "^﻿", ""))).alias("k", "line"))
     # The generator keeps the verdicts attributes computed once.
     both = lines.select(*keep, "k", "line", F.explode(F.array(F.struct(F.lit(0).alias("t"), hidden_unicode(F.col("line")).alias("hit")), F.struct(F.lit(1).alias("t"), instruction(F.col("line")).alias("hit")))).alias("v")).filter(F.col("v.hit").isNotNull())
@@ -227,10 +233,18 @@ def static_findings(files: DataFrame, metadata: DataFrame, skill_texts: DataFram
     files: skill_path, source, file_no, text; metadata: skill_path, source, description, when_to_use, allowed_tools, paths;
     skill_texts: skill_path, source, text (front matter included, so a hit in a field counts twice by design).
     """
-    parts = [run_on_files(files), instructions(skill_texts, 3), dependencies(skill_texts).withColumn("phase", F.lit(3))]
-    for phase, field in ((4, "description"), (5, "when_to_use")):
-        one = metadata.select("skill_path", "source", F.col(field).cast("string").alias("text"))
-        parts += [instructions(one, phase), dependencies(one).withColumn("phase", F.lit(phase))]
+    shown = files.filter(F.col("text").isNotNull() & scannable(F.col("source")))
+    cols = ["skill_path", "source", "text", "phase", "file_no"]
+    inside = shown.withColumn("phase", F.lit(1))
+    inside = (inside if "file_no" in files.columns else inside.withColumn("file_no", F.lit(0))).select(*cols)
+    whole = skill_texts.withColumn("phase", F.lit(3)).withColumn("file_no", F.lit(0)).select(*cols)
+    fields = metadata.select("skill_path", "source", F.expr("stack(2, string(description), 4, string(when_to_use), 5) AS (text, phase)"), F.lit(0).alias("file_no")).filter(F.col("text").isNotNull()).select(*cols)
+    prose = whole.unionByName(fields)
+    # Texts of all phases go through each detector together, so each is planned once.
+    parts = [
+        base64_blobs(inside), eval_of_decoded(inside), secrets(inside),
+        instructions(inside.filter(suffix(basename(F.col("source"))).isin(*dims.PROSE_SUFFIXES)).unionByName(prose)), dependencies(inside.unionByName(prose)),
+    ]
     parts += [broad_grants(metadata), sensitive_paths(metadata)]
     if hidden is not None:
         parts.append(_finding(hidden, 2, F.lit(0), "hidden_executable", F.col("severity"), F.lit("a hidden file can run"), F.col("source")))

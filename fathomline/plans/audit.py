@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.operators import detectors, discovery, reporting
-from fathomline.runtime import build_session
+from fathomline.runtime import build_session, cut
 from fathomline.sinks import render
 from fathomline.sources import records, skilltree
 from fathomline.textops import text_of
@@ -59,7 +59,7 @@ def static_audit(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def scan(spark: SparkSession, o: Options) -> int:
     files = skilltree.read_tree(spark, o.folder).cache()
     findings, skills, errors = static_audit(files)
-    got = reporting.reports(findings, skills).cache()
+    got = cut(reporting.reports(cut(findings), skills))
     if got.isEmpty():
         return NO_SKILL
     for e in errors.limit(20).collect():

@@ -32,6 +32,10 @@ def write_json_lines(reports: DataFrame, folder: str) -> None:
     json_reports(reports).write.mode("overwrite").text(folder)
 
 
+def _of_section(slug: str) -> Column:
+    return F.filter("findings", lambda f: section(f["category"]) == slug)
+
+
 def _line(x: Column) -> Column:
     return F.concat(F.lit("- **"), F.upper(x["severity"]), F.lit("** "), x["summary"], F.when(F.length(x["source"]) > 0, F.concat(F.lit(" ("), x["source"], F.lit(")"))).otherwise(""))
 
@@ -40,7 +44,7 @@ def markdown(reports: DataFrame, key: str = "skill_path", sandbox_ran: bool = Tr
     """(key, markdown): five fixed sections and 'Other' where it has something."""
     parts = [F.concat(F.lit("# Audit of "), F.col(key), F.format_string("\n\n**Risk score:** %d (%s)\n\n", F.col("risk_score"), F.upper("risk_level")), F.col("guidance"))]
     for slug, title in SECTIONS:
-        rows = F.filter("findings", lambda f, s=slug: section(f["category"]) == s)
+        rows = _of_section(slug)
         static_only = slug in ("network", "subprocess", "file") and not sandbox_ran
         empty = "Not checked (static only)." if static_only else "Not run." if slug == "semantic" and not semantic_ran else "None found."
         text = F.concat(F.lit(f"\n\n## {title}\n\n"), F.when(F.size(rows) > 0, F.array_join(F.transform(rows, _line), "\n")).otherwise(empty))
@@ -54,7 +58,7 @@ def html_bodies(reports: DataFrame, key: str = "skill_path") -> DataFrame:
     item = lambda f: F.concat(F.lit('<li class="'), e(f["severity"]), F.lit('"><b>'), e(f["summary"]), F.lit("</b> <code>"), e(F.coalesce(f["source"], F.lit(""))), F.lit("</code><p>"), e(F.coalesce(f["detail"], F.lit(""))), F.lit("</p></li>"))
     body = []
     for slug, title in SECTIONS:
-        rows = F.filter("findings", lambda f, s=slug: section(f["category"]) == s)
+        rows = _of_section(slug)
         body.append(F.when(F.size(rows) > 0, F.concat(F.lit(f"<h3>{title}</h3><ul>"), F.array_join(F.transform(rows, item), ""), F.lit("</ul>"))).otherwise(""))
     head = F.concat(F.lit("<summary>"), e(F.col(key)), F.format_string(" %s (%d)", F.upper("risk_level"), F.col("risk_score")), F.lit("</summary><p>"), e(F.col("guidance")), F.lit("</p>"))
     return reports.select(key, F.concat(F.lit("<details>"), head, *body, F.lit("</details>")).alias("html"))
