@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from fathomline.runtime import latest
 
 # Letters of other alphabets and the Latin letter each is mistaken for.
-CYRILLIC = dict(zip("асԁеһіјӏорԛѕухԝѵгкмтвнпАВСЕНІЈКМОРЅТУХԚԜѴҮһЬ", "acdehijlopqsyxwvrkmtbhnABCEHIJKMOPSTYXQWVYhb"))
+CYRILLIC = dict(zip("асԁеһіјӏорԛѕухԝѵАВСЕНІЈКМОРЅТУХԚԜѴҮҺЬ", "acdehijlopqsyxwvABCEHIJKMOPSTYXQWVYHb"))
 GREEK = dict(zip("αγεικνορτυωχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ayeikvoptuwxABEZHIKMNOPTYX"))
 ARMENIAN = dict(zip("օոսհցզգՕՍ", "onuhgqqOU"))
 CHEROKEE = dict(zip("ᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCEHJKLMPRSTVWZ"))
@@ -130,6 +130,11 @@ def _stand_ins(text: str) -> tuple[str, bool]:
     return _WORD.sub(mend, text), hit
 
 
+def _folded(text: str) -> str:
+    folded = unicodedata.normalize("NFKC", text.casefold())
+    return _INVISIBLE.sub("", _SPACES.sub(" ", folded))
+
+
 def examine(text: str | None) -> tuple[str | None, list[str]]:
     """The consistent form of one text and the kinds of disguise found in it."""
     if text is None:
@@ -151,8 +156,13 @@ def examine(text: str | None) -> tuple[str | None, list[str]]:
     mended, hit = _stand_ins(composed)
     if hit:
         kinds.append("lookalike")
-    folded = unicodedata.normalize("NFKC", mended.casefold())
-    return _INVISIBLE.sub("", _SPACES.sub(" ", folded)), kinds
+    form = _folded(mended)
+    for _ in range(4):  # folding may settle a word's alphabet, so the form is taken again until it stays
+        again = _folded(_stand_ins(form)[0])
+        if again == form:
+            break
+        form = again
+    return form, kinds
 
 
 _RESULT = T.StructType([T.StructField("canonical", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))])

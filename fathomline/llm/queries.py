@@ -114,5 +114,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups, "p2_report_names": p2_report_names, "p2_documents": p2_documents, "p3_found": p3_found, "p3_messages": p3_messages, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 
 
+_WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT item_id, {_WORDS.format('item_text')} AS w FROM eval_item WHERE item_id IS NOT NULL AND item_text IS NOT NULL),
+a AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS k) WHERE len(w) >= 13),
+b AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM i, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS k) WHERE len(w) >= 13),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g))
+"""
+_ALIKE = f"""
+WITH s AS (SELECT skill_id, max_by(body, loaded_at) AS body FROM skill_metadata WHERE skill_id IS NOT NULL GROUP BY 1),
+w AS (SELECT skill_id, {_WORDS.format('body')} AS w FROM s WHERE body IS NOT NULL),
+g AS (SELECT DISTINCT skill_id, array_to_string(w[k:k + 2], ' ') AS t FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS k) WHERE len(w) >= 30),
+n AS (SELECT skill_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.skill_id AS x, b.skill_id AS y, count(*) AS both FROM g a JOIN g b ON a.t = b.t AND a.skill_id < b.skill_id GROUP BY 1, 2)
+SELECT x AS skill_id_a, y AS skill_id_b FROM c JOIN n p ON p.skill_id = x JOIN n q ON q.skill_id = y WHERE both >= 0.5 * (p.n + q.n - both)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": _ALIKE,
+        "p8_found": _LEAKS + "SELECT doc_id, item_id FROM leaks",
+        "p8_clean": _LEAKS + "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
+    }
