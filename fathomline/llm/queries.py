@@ -127,8 +127,8 @@ WITH s AS (SELECT skill_id, max_by(body, loaded_at) AS body FROM skill_metadata
 w AS (SELECT skill_id, {_WORDS.format('body')} AS w FROM s WHERE body IS NOT NULL),
 g AS (SELECT DISTINCT skill_id, array_to_string(w[k:k + 2], ' ') AS t FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS k) WHERE len(w) >= 30),
 n AS (SELECT skill_id, count(*) AS n FROM g GROUP BY 1),
-c AS (SELECT a.skill_id AS x, b.skill_id AS y, count(*) AS both FROM g a JOIN g b ON a.t = b.t AND a.skill_id < b.skill_id GROUP BY 1, 2)
-SELECT x AS skill_id_a, y AS skill_id_b FROM c JOIN n p ON p.skill_id = x JOIN n q ON q.skill_id = y WHERE both >= 0.5 * (p.n + q.n - both)
+c AS (SELECT a.skill_id AS x, b.skill_id AS y, count(*) AS shared FROM g a JOIN g b ON a.t = b.t AND a.skill_id < b.skill_id GROUP BY 1, 2)
+SELECT x AS skill_id_a, y AS skill_id_b FROM c JOIN n p ON p.skill_id = x JOIN n q ON q.skill_id = y WHERE shared >= 0.5 * (p.n + q.n - shared)
 """
 
 
