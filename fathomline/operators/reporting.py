@@ -7,11 +7,15 @@ named order column and then the key.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline import dims
 from fathomline.operators.snapshot_delta import relative_source, tidy
+from fathomline.runtime import cut
 
 _DIAGNOSTIC = [c for c, _, _, _, gap, _ in dims.CATEGORIES if gap]
 _LABELS = {c: label for c, _, _, _, _, label in dims.CATEGORIES}
@@ -165,6 +169,27 @@ def semantic_findings(responses: DataFrame, tool: str = "report_findings") -> tu
     return good, r.filter(F.col("block").isNull()).select("skill_path", F.lit("no findings block in the response").alias("error"))
 
 
+def semantic_review(skills: DataFrame, call: Callable[[str], str], model: str) -> tuple[DataFrame, DataFrame]:
+    """(findings, errors): requests of all skills through an injected function from request to response text.
+
+    The function runs in the executors, once per skill; what it raises is a skipped skill with an error, never a failed job.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for skill, request in zip(batch["skill_path"], batch["request"]):
+                try:
+                    out.append((skill, call(request), None))
+                except Exception as e:  # noqa: BLE001 - any failure of the outside service is reported alike
+                    out.append((skill, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["skill_path", "response", "failed"])
+
+    answers = cut(semantic_requests(skills, model).mapInPandas(ask, "skill_path string, response string, failed string"))
+    findings, errors = semantic_findings(answers.filter("failed IS NULL").select("skill_path", "response"))
+    return findings, errors.unionByName(answers.filter("failed IS NOT NULL").select("skill_path", F.col("failed").alias("error")))
+
+
 def reports(findings: DataFrame, skills: DataFrame, key: str = "skill_path") -> DataFrame:
     """One row per skill with score, level and its findings in order of emission; arrays are made at this output edge only."""
     cols = ["category", "severity", "summary", "confidence", "mitre_technique", "detail", "source"]

@@ -231,6 +231,17 @@ def test_semantic_findings(spark):
     assert reporting.semantic_requests(spark.createDataFrame([("a", None)], "skill_path string, text string"), "m").count() == 1
 
 
+def test_semantic_review_survives_failing_calls(spark):
+    def call(request):
+        if "bad" in request:
+            raise TimeoutError("no answer")
+        return '{"content": [{"type": "tool_use", "name": "report_findings", "input": {"findings": [{"category": "c", "severity": "low", "summary": "s"}]}}]}'
+
+    found, errors = reporting.semantic_review(spark.createDataFrame([("a", "good"), ("b", "bad")], "skill_path string, text string"), call, "m")
+    assert [r.skill_path for r in found.collect()] == ["a"]
+    assert [tuple(r) for r in errors.collect()] == [("b", "TimeoutError: no answer")]
+
+
 def test_single_reports_always_pair(spark):
     now = spark.createDataFrame([(1, "x")], "now_id int, skill_name string")
     before = spark.createDataFrame([(5, "y")], "before_id int, skill_name string")
