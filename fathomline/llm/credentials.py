@@ -251,9 +251,8 @@ def train(count: int = TRAIN_LINES, epochs: int = EPOCHS, seed: int = SEED, rate
             flat = np.concatenate([t for i in lines for t in ids[i]])
             counts = [len(t) for i in lines for t in ids[i]]
             owner = np.repeat(np.array([k * T + j for k, i in enumerate(lines) for j in range(len(ids[i]))]), counts)
-            E = np.zeros((B * T, L))
-            np.add.at(E, owner, W[flat])
-            E = E.reshape(B, T, L)
+            rows = W[flat]
+            E = np.stack([np.bincount(owner, rows[:, y], B * T) for y in range(L)], 1).reshape(B, T, L)
             size = np.array([len(ids[i]) for i in lines])
             live = np.arange(T)[None] < size[:, None]
             A, Z = np.zeros((B, T, L)), np.zeros((B, T, L))
@@ -279,8 +278,8 @@ def train(count: int = TRAIN_LINES, epochs: int = EPOCHS, seed: int = SEED, rate
                 grad[k, np.arange(len(y)), y] -= 1
                 gS[y[0]] -= 1
                 np.subtract.at(gM, (y[:-1], y[1:]), 1)
-            gW = np.zeros_like(W)
-            np.add.at(gW, flat, grad.reshape(B * T, L)[owner])
+            back = grad.reshape(B * T, L)[owner]
+            gW = np.stack([np.bincount(flat, back[:, y], n) for y in range(L)], 1)
             for x, g, h in ((W, gW, gw), (M, gM, gm), (S, gS, gs)):
                 g = g / B + decay * x
                 h += g * g
