@@ -20,8 +20,6 @@ from fathomline.functions.udfs import decoding_calls_udf, escaped_udf, nearest_p
 from fathomline.sources.records import package_entries, requirement_lines
 from fathomline.textops import any_contains, basename, matches, split_lines, stripped, suffix
 
-COLUMNS = ("skill_path", "phase", "file_no", "ord", "category", "severity", "summary", "detail", "source")
-
 
 def _finding(rows: DataFrame, phase: int, ord_: Column, category: Column | str, severity: Column | str, summary: Column, detail: Column) -> DataFrame:
     lit = lambda x: F.lit(x) if isinstance(x, str) else x

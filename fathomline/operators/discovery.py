@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fathomline import dims
 from fathomline.functions.udfs import front_matter_udf, tool_tokens_udf
-from fathomline.textops import basename, dirname, let, stripped, suffix, text_of
+from fathomline.textops import dirname, let, stripped, suffix, text_of
 
 
 def _parts(path: Column) -> Column:
