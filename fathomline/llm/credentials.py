@@ -348,7 +348,6 @@ def scan_text(text: str, model: Tagger) -> list[tuple[int, list[tuple[int, int]]
 
 
 _BODY = re.compile(r"(-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)(.*?)(?=-----END|\Z)", re.S)
-_SOLID = re.compile(r"\S")
 
 
 def redact(text: str, found: list[tuple[int, list[tuple[int, int]]]]) -> str:
