@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fathomline import dims
 from fathomline.operators import behaviour, detectors, discovery, reporting, trace
 from fathomline.runtime import cut, latest, table
+from fathomline.sinks import render
 from fathomline.sources import records
 from fathomline.textops import split_lines
 
@@ -157,6 +158,51 @@ def matched_reports(spark, d):
     return reporting.matched_reports(now, r.filter("report_id % 2 = 1").select(F.col("report_id").alias("before_id"), "skill_name"))
 
 
+def over_threshold(spark, d):
+    """Skills that would fail a gate at high."""
+    s = reporting.scores(findings(spark, d), "skill_id")
+    return s.filter(dims.severity_rank(F.col("risk_level")) >= 2).select("skill_id", "risk_level")
+
+
+def semantic_findings(spark, d):
+    """Findings as a reviewer's tool would answer them, decoded again."""
+    one = F.struct("category", "severity", "summary", F.col("source").alias("quote"))
+    block = F.struct(F.lit("tool_use").alias("type"), F.lit("report_findings").alias("name"), F.struct(F.array(one).alias("findings")).alias("input"))
+    answers = findings(spark, d).select(F.col("finding_id").alias("skill_path"), F.to_json(F.struct(F.array(block).alias("content"))).alias("response"))
+    return reporting.semantic_findings(answers)[0].select(F.col("skill_path").alias("finding_id"), "severity", "summary", "detail")
+
+
+def _reports(spark, d):
+    f = findings(spark, d).filter(F.col("skill_id").isNotNull())
+    f = f.select(F.col("skill_id").cast("string").alias("skill_path"), F.lit(1).alias("phase"), F.lit(0).alias("file_no"), F.col("finding_id").cast("int").alias("ord"), "category", "severity", "summary", "detail", "source")
+    return cut(reporting.reports(cut(f), f.select("skill_path")))
+
+
+def report_json(spark, d):
+    """One JSON object per skill."""
+    return render.json_reports(_reports(spark, d))
+
+
+def report_markdown(spark, d):
+    """One Markdown report per skill."""
+    return render.markdown(_reports(spark, d))
+
+
+def report_html(spark, d):
+    """One escaped HTML block per skill."""
+    return render.html_bodies(_reports(spark, d))
+
+
+def not_attempted(spark, d):
+    """Skills without anything to run. No SQL: see run_candidates."""
+    s = skills(spark, d, "body").select(F.concat(F.lit("s"), F.col("skill_id")).alias("skill"))
+    return discovery.not_attempted(s, run_candidates(spark, d))
+
+
+def difference_findings(spark, d):
+    return behaviour.difference_findings(differential(spark, d)).select("candidate", "severity", "summary")
+
+
 # --- detectors ------------------------------------------------------------------------------------
 
 
@@ -474,6 +520,12 @@ SELECT skill_id, risk_score, risk_level, CASE WHEN findings = 0 THEN 'No concern
         "report_sections": f"WITH {_F}, {_DIM} SELECT skill_id, coalesce(section, 'other') AS section, count(*) AS n FROM f LEFT JOIN dim USING (category) GROUP BY 1, 2",
         "top_findings": f"""WITH {_F}, {_DIM}, r AS (SELECT f.*, row_number() OVER (PARTITION BY skill_id ORDER BY coalesce({_RANK}, -1) DESC, finding_id) AS place, count(*) OVER (PARTITION BY skill_id) AS n FROM f LEFT JOIN dim USING (category) WHERE NOT coalesce(gap, false))
 SELECT skill_id, finding_id, severity, CAST(place AS INTEGER) AS place, greatest(n - 3, 0) AS more FROM r WHERE place <= 3 AND skill_id IS NOT NULL""",
+        "over_threshold": f"WITH {_F}, {_S} SELECT skill_id, {_LEVEL} AS risk_level FROM s WHERE rank >= 2",
+        "semantic_findings": """WITH f AS (SELECT finding_id, arg_max(category, k) AS category, arg_max(severity, k) AS severity, arg_max(summary, k) AS summary, arg_max(source, k) AS source FROM (SELECT *, (found_at, skill_id, category, severity) AS k FROM finding WHERE finding_id IS NOT NULL) GROUP BY 1)
+SELECT finding_id, lower(severity) AS severity, '[' || lower(coalesce(category, '')) || '] ' || coalesce(summary, '') AS summary, coalesce(source, '') AS detail FROM f WHERE lower(severity) IN ('low', 'medium', 'high', 'critical')""",
+        "difference_findings": f"""WITH {_CALLS}, {_FLOWS}, {_OPENS}, {_RUNS}, {_execs('invocation')}, {_SIG}, a AS (SELECT run_id // 2 AS candidate, kind, d1, d2, d3 FROM sig WHERE run_id % 2 = 0), b AS (SELECT run_id // 2 AS candidate, kind, d1, d2, d3 FROM sig WHERE run_id % 2 = 1)
+SELECT candidate, 'medium' AS severity, 'no longer under changed conditions: ' || concat_ws(' ', kind, d1, d2, d3) AS summary FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+UNION ALL SELECT candidate, 'medium', 'only under changed conditions: ' || concat_ws(' ', kind, d1, d2, d3) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
         "compare_new": f"WITH a AS ({_sig_sql(2)}), b AS ({_sig_sql(1)}) SELECT pair, category, sig_source, summary, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.pair IS NOT DISTINCT FROM a.pair AND b.category IS NOT DISTINCT FROM a.category AND b.sig_source = a.sig_source AND b.summary IS NOT DISTINCT FROM a.summary) GROUP BY 1, 2, 3, 4",
         "compare_resolved": f"WITH a AS ({_sig_sql(2)}), b AS ({_sig_sql(1)}) SELECT pair, count(*) AS resolved FROM (SELECT DISTINCT * FROM b EXCEPT SELECT * FROM a) GROUP BY 1",
         "matched_reports": "WITH r AS (SELECT report_id, arg_max(skill_name, (loaded_at, skill_name)) AS skill_name FROM scan_report WHERE report_id IS NOT NULL GROUP BY 1) SELECT a.report_id AS now_id, max(b.report_id) AS before_id FROM r a JOIN r b USING (skill_name) WHERE a.report_id % 2 = 0 AND b.report_id % 2 = 1 AND length(skill_name) > 0 GROUP BY 1",
@@ -527,7 +579,7 @@ SELECT *, 'baseline' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UN
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        risk_score, worst_first, worst_skill, severity_counts, level_counts, risk_guidance, enriched_findings, report_sections, top_findings, compare_new, compare_resolved, matched_reports,
+        risk_score, worst_first, worst_skill, severity_counts, level_counts, risk_guidance, enriched_findings, report_sections, top_findings, compare_new, compare_resolved, matched_reports, over_threshold, semantic_findings, report_json, report_markdown, report_html, not_attempted, difference_findings,
         prose_instructions, hidden_unicode, secrets_found, secret_words, base64_blobs, js_eval_decode, py_eval_decode, install_targets, manifest_packages, known_malicious, typosquats, broad_grants, sensitive_paths,
         skill_folders, bundled_files, hidden_executables, run_candidates, front_matter, source_lines, system_calls, resolver_queries, http_flows, internet_connects, notable_opens, notable_execs, trace_health,
         connect_fallback, neardup_requests, neardup_opens, neardup_execs, run_findings, run_signature, differential,
