@@ -54,9 +54,9 @@ _TOKEN = re.compile(
 _STAMPS = ("iso", "sys", "glog", "clock")
 
 
-def lex(line: str) -> tuple[list[str], list[str]]:
-    """The types and texts of a line's tokens; signs are their own type, levels in capitals are typed."""
-    kinds, texts = [], []
+def lex(line: str) -> tuple[list[str], list[str], list[int]]:
+    """The types, texts and starts of a line's tokens; signs are their own type, levels in capitals are typed."""
+    kinds, texts, starts = [], [], []
     for m in _TOKEN.finditer(line):
         kind = m.lastgroup
         if kind is None:
@@ -68,7 +68,8 @@ def lex(line: str) -> tuple[list[str], list[str]]:
             kind = "level"
         kinds.append(kind)
         texts.append(text)
-    return kinds, texts
+        starts.append(m.start())
+    return kinds, texts, starts
 
 
 def symbols(kinds: list[str], texts: list[str]) -> list[str]:
@@ -79,19 +80,32 @@ def symbols(kinds: list[str], texts: list[str]) -> list[str]:
 _NGRAMS = "gram string, size int, n bigint"
 
 
+#: All digits as 0: lines that differ in digits only have the same tokens at the same places.
+_ZEROS = str.maketrans("123456789", "000000000")
+_FLUSH = 50_000
+
+
+def _counted(lines: Counter) -> pd.DataFrame:
+    two, three = Counter(), Counter()
+    for line, times in lines.items():
+        s = symbols(*lex(line)[:2])
+        s.append("")
+        for g in zip(s, s[1:]):
+            two[g] += times
+        for g in zip(s, s[1:], s[2:]):
+            three[g] += times
+    grams = [("\x1f".join(g), 2, n) for g, n in two.items()] + [("\x1f".join(g), 3, n) for g, n in three.items()]
+    return pd.DataFrame(grams, columns=["gram", "size", "n"])
+
+
 def _count_ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    lines: Counter = Counter()
     for batch in batches:
-        two, three = Counter(), Counter()
-        for line, times in Counter(batch["raw_line"]).items():
-            if not line:
-                continue
-            s = symbols(*lex(line))
-            s.append("")
-            for counter, grams in ((two, zip(s, s[1:])), (three, zip(s, s[1:], s[2:]))):
-                for g in grams:
-                    counter[g] += times
-        grams = [("\x1f".join(g), 2, n) for g, n in two.items()] + [("\x1f".join(g), 3, n) for g, n in three.items()]
-        yield pd.DataFrame(grams, columns=["gram", "size", "n"])
+        lines.update(x.translate(_ZEROS) for x in batch["raw_line"] if x)
+        if len(lines) > _FLUSH:
+            yield _counted(lines)
+            lines = Counter()
+    yield _counted(lines)
 
 
 def dictionaries(lines: DataFrame) -> set[tuple[str, ...]]:
@@ -119,7 +133,7 @@ def constant_tokens(s: list[str], known: set[tuple[str, ...]]) -> list[bool]:
 
 def template(line: str, known: set[tuple[str, ...]]) -> str:
     """The line with variable words as <*>."""
-    s = symbols(*lex(line))
+    s = symbols(*lex(line)[:2])
     return " ".join(t if c or len(t) < 2 or t[0] == "<" else "<*>" for t, c in zip(s, constant_tokens(s, known)))
 
 
@@ -205,6 +219,16 @@ def _record(value: object) -> tuple | None:
 _NONE = ("X", None, None, None, None, None, None, None, 0)
 
 
+def _planned(shape: str, known: set[tuple[str, ...]]) -> tuple[int, str, dict[str, tuple[int, int]]] | None:
+    """(form, kind of the timestamp, place of each role) of all lines of one shape."""
+    kinds, texts, starts = lex(shape)
+    kinds, texts = kinds[:HEAD], texts[:HEAD]
+    got = roles(kinds, texts, constant_tokens(symbols(kinds, texts), known))
+    if got is None:
+        return None
+    return got["form"], kinds[got["time"]], {r: (starts[i], starts[i] + len(texts[i])) for r, i in got.items() if r != "form"}
+
+
 def read_line(line: str | None, known: set[tuple[str, ...]], plans: dict) -> tuple:
     """(kind, pid, name, level, secs, month, day, at, indent): E entry, U and R parts of a call, J and K braces, C continuation, X neither."""
     if not line or not line.strip():
@@ -226,19 +250,19 @@ def read_line(line: str | None, known: set[tuple[str, ...]], plans: dict) -> tup
         if m[2] == "kind":
             return ("C", None, value if isinstance(value, str) else None, None, None, None, None, None, len(m[1]))
         return ("C", None, None, None, None, None, None, int(value // 1) if isinstance(value, (int, float)) else None, len(m[1]))
-    kinds, texts = lex(line)
-    head = tuple(t if k in ("word", "level") else k for k, t in zip(kinds[:HEAD], texts))
-    plan = plans.get(head, plans)
+    shape = line.translate(_ZEROS)
+    plan = plans.get(shape, plans)
     if plan is plans:
         if len(plans) > 100_000:
             plans.clear()
-        plan = plans[head] = roles(kinds[:HEAD], texts[:HEAD], constant_tokens(symbols(kinds[:HEAD], texts), known))
+        plan = plans[shape] = _planned(shape, known)
     if plan is None:
         return ("C" if _CONTINUED.match(line) else "X", *_NONE[1:])
-    stamp, kind = texts[plan["time"]], kinds[plan["time"]]
+    form, kind, places = plan
+    part = {role: line[a:b] for role, (a, b) in places.items()}
+    stamp, name = part["time"], part["component"].strip('"')
     secs = month = day = at = None
-    level = LEVELS.get(texts[plan["level"]].strip('"').lower(), "") if "level" in plan else ""
-    name = texts[plan["component"]].strip('"')
+    level = LEVELS.get(part["level"].strip('"').lower(), "") if "level" in part else ""
     if kind == "iso":
         at = _instant(stamp)
         if at is None:
@@ -250,10 +274,9 @@ def read_line(line: str | None, known: set[tuple[str, ...]], plans: dict) -> tup
         name = _FILE.sub("", name)
     else:
         secs = _clock(stamp)
-    form = plan["form"]
     if form == 0:
         return ("E", None, name, level, secs, month, day, at, 0)
-    pid = texts[plan["pid"]]
+    pid = part["pid"]
     if form == 2:
         return ("R", pid, name, "", secs, month, day, at, 0)
     if line.rstrip().endswith("<unfinished ...>"):
@@ -304,7 +327,7 @@ def parsed_lines(log: DataFrame) -> DataFrame:
 def entries(log: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, start_line, end_line, entry_ts, log_level, component): one row per log entry."""
     p = parsed_lines(log)
-    headed = last_before(p, ["run_id"], "line_no", F.when(~F.col("kind").isin("C", "K"), F.col("line_no")), "head", inclusive=True)
+    headed = last_before(p, ["run_id"], "line_no", F.when(~F.col("kind").isin("C", "K"), F.col("line_no")), "head", inclusive=True, written=True)
     own = F.col("line_no") == F.col("head")
     pick = lambda c: F.max(F.when(own, F.col(c))).alias(c)
     groups = headed.filter(F.col("head").isNotNull()).groupBy("run_id", "head").agg(
@@ -319,7 +342,7 @@ def entries(log: DataFrame, runs: DataFrame) -> DataFrame:
         "run_id", F.col("head").alias("start_line"), F.col("closed").alias("end_line"), F.col("inner_kind.name").alias("name"), F.lit("").alias("level"), "secs", "month", "day", F.col("inner_at.at").alias("at")
     )
     calls = p.filter("pid IS NOT NULL").select("run_id", "line_no", "kind", "pid", "name", "secs", "month", "day", "at")
-    parts = last_before(calls, ["run_id", "pid"], "line_no", F.struct("kind", "name", "line_no", "secs", "month", "day", "at"), "before", inclusive=False)
+    parts = last_before(calls, ["run_id", "pid"], "line_no", F.struct("kind", "name", "line_no", "secs", "month", "day", "at"), "before", inclusive=False, written=True)
     paired = parts.filter("kind = 'R' AND before.kind = 'U' AND before.name = name").select(
         "run_id", F.col("before.line_no").alias("start_line"), F.col("line_no").alias("end_line"), "name", F.lit("").alias("level"), "before.secs", "before.month", "before.day", "before.at"
     )

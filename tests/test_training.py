@@ -16,8 +16,8 @@ T0 = datetime(2026, 1, 8)
 def test_last_before_equals_a_walk(spark):
     r = random.Random(3)
     rows = [(k, n, r.choice([None, None, n * 10])) for k in (1, 2) for n in sorted(r.sample(range(200), 60))]
-    for inclusive in (True, False):
-        got = {(x.k, x.n): x.got for x in last_before(spark.createDataFrame(rows, "k int, n int, v int"), ["k"], "n", F.col("v"), "got", inclusive, chunk=16).collect()}
+    for inclusive, chunk in ((True, 16), (False, 16), (True, 999), (False, 999)):
+        got = {(x.k, x.n): x.got for x in last_before(spark.createDataFrame(rows, "k int, n int, v int"), ["k"], "n", F.col("v"), "got", inclusive, chunk, written=chunk > 99).collect()}
         for k in (1, 2):
             seen = None
             for _, n, v in [x for x in rows if x[0] == k]:
