@@ -78,12 +78,18 @@ def _tables(elements: DataFrame, bucket: Column, cells: int) -> DataFrame:
     )
 
 
-def _subtracted(tables: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Each snapshot's tables minus those before it, one row per bucket with the cells that differ."""
+def _subtracted(tables: DataFrame, wanted: DataFrame, parent: Column | None = None) -> DataFrame:
+    """Each snapshot's tables minus those before it, one row per bucket with the cells that differ.
+
+    wanted: the pairs; with parent, the bucket of the round before, only the pairs and buckets that failed in it.
+    """
     both = tables.select(
         "*", F.explode(F.array(F.struct(F.col("snapshot_no").alias("pair"), F.lit(1).alias("sign")), F.struct((F.col("snapshot_no") + 1).alias("pair"), F.lit(-1).alias("sign")))).alias("s")
     ).select(F.col("s.pair").alias("pair"), "bucket", "cell", (F.col("n") * F.col("s.sign")).alias("n"), "ka", "kb", "digest", "chk")
-    both = both.join(F.broadcast(snapshots), "pair", "left_semi")
+    if parent is None:
+        both = both.join(F.broadcast(wanted), "pair", "left_semi")
+    else:  # a neighbouring pair that peeled has but one of its two snapshots here
+        both = both.withColumn("parent", parent).join(wanted.select("pair", F.col("bucket").alias("parent")), ["pair", "parent"], "left_semi")
     less = both.groupBy("pair", "bucket", "cell").agg(F.sum("n").alias("n"), *[F.bit_xor(c).alias(c) for c in ("ka", "kb", "digest", "chk")])
     less = less.filter((F.col("n") != 0) | (F.col("ka") != 0) | (F.col("digest") != 0) | (F.col("chk") != 0))
     return less.groupBy("pair", "bucket").agg(F.collect_list(F.struct("cell", "n", "ka", "kb", "digest", "chk")).alias("cells"))
@@ -150,9 +156,10 @@ def differing(elements: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET, cells
     numbers = {r[0] for r in sizes}
     pairs = spark.createDataFrame([(n,) for n in sorted(numbers) if n - 1 in numbers], "pair int")
     buckets = max(1, -(-max([r[1] for r in sizes], default=0) // keys_per_bucket))
-    bucket, split, parts, left = F.pmod(F.col("ka"), F.lit(buckets).cast("bigint")), 1, [], elements
+    first = bucket = F.pmod(F.col("ka"), F.lit(buckets).cast("bigint"))
+    split, parts, left, asked, parent = 1, [], elements, pairs, None
     for k in range(rounds):
-        found = cut(_subtracted(_tables(left, bucket, cells), pairs).repartition(F.col("pair"), F.col("bucket")).mapInPandas(_peeler(cells), _FOUND))
+        found = cut(_subtracted(_tables(left, bucket, cells), asked, parent).repartition(F.col("pair"), F.col("bucket")).mapInPandas(_peeler(cells), _FOUND))
         parts.append(found.filter("sign <> 0").drop("bucket"))
         failed = found.filter("sign = 0").select("pair", "bucket")
         if failed.isEmpty():
@@ -160,14 +167,13 @@ def differing(elements: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET, cells
         # A failed bucket's elements of both snapshots go on, in GROWTH parts under tables GROWTH times as large.
         wanted = failed.select(F.explode(F.array("pair", F.col("pair") - 1)).alias("snapshot_no"), "bucket").distinct()
         left = left.withColumn("bucket", bucket).join(wanted, ["snapshot_no", "bucket"], "left_semi").drop("bucket")
-        pairs_left = failed
-        split, cells = split * GROWTH, cells * GROWTH
         if k + 1 == rounds:
-            parts.append(_compared(left, bucket, pairs_left))
+            parts.append(_compared(left, bucket, failed))
             break
-        done = found.filter("sign <> 0")
-        bucket = bucket + F.lit(buckets).cast("bigint") * F.pmod(F.shiftrightunsigned("kb", 8), F.lit(split).cast("bigint"))
-        parts[-1] = done.drop("bucket")
+        # A part's number modulo those of the round before is the part it was split from.
+        asked, parent = failed, F.pmod(F.col("bucket"), F.lit(buckets * split).cast("bigint"))
+        split, cells = split * GROWTH, cells * GROWTH
+        bucket = first + F.lit(buckets).cast("bigint") * F.pmod(F.shiftrightunsigned("kb", 8), F.lit(split).cast("bigint"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

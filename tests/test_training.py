@@ -80,6 +80,18 @@ def test_changes_equal_a_comparison_even_where_tables_fail(spark, cells, rounds)
     assert {tuple(x) for x in got} == brute_changes(rows)
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_a_bucket_that_fails_for_one_pair_leaves_its_neighbours_alone(spark, rounds):
+    def row(no, k):
+        return (no, T0, k, "/p", "c", "low", f"sum {k}", "high", None, "x" if no < 3 or k >= 60 else "y", "/p/a.py", "n")
+
+    rows = [row(no, k) for no in (1, 2, 3, 4, 5) for k in range(100) if (no, k) not in {(2, 99), (5, 98)}]
+    got = snapshot_delta.changes(spark.createDataFrame(rows, SNAP), cells=8, rounds=rounds).collect()
+    want = brute_changes(rows)
+    assert sum(x[0] == 3 for x in want) == 61 and len(want) == 63
+    assert len(got) == len({tuple(x) for x in got}) and {tuple(x) for x in got} == want
+
+
 def test_changes_of_nulls_and_empty_tables(spark):
     assert snapshot_delta.changes(spark.createDataFrame([], SNAP)).collect() == []
     rows = [(None,) + (T0,) + (1,) + ("/p",) + ("c",) * 7 + ("x",), (1, T0, None, None, None, None, None, None, None, None, None, None), (2, T0, None, None, None, "low", "", None, "", " ", None, None)]
