@@ -152,6 +152,29 @@ def compare_resolved(spark, d):
     return reporting.resolved_counts(_snapshot(spark, d, 2), _snapshot(spark, d, 1))
 
 
+def _followed(spark, d):
+    """(now, before): the findings of every snapshot that follows another and, under its number, those of the one before."""
+    t = table(spark, d, "finding_snapshot").filter(F.col("snapshot_no").isNotNull()).withColumn("snapshot_no", F.col("snapshot_no").cast("int"))
+    numbers = t.select("snapshot_no").distinct()
+    both = F.broadcast(numbers.join(numbers.select((F.col("snapshot_no") + 1).alias("snapshot_no")), "snapshot_no", "left_semi"))
+
+    def of(rows):
+        return rows.join(both, "snapshot_no", "left_semi").select(F.struct("snapshot_no", "skill_id").alias("pair"), "skill_path", "category", "source", "summary")
+
+    return of(t), of(t.withColumn("snapshot_no", F.col("snapshot_no") + 1))
+
+
+def compare_new_all(spark, d):
+    """As compare_new, for each snapshot against the one before."""
+    n = reporting.new_findings(*_followed(spark, d)).groupBy("pair", "category", "sig_source", "summary").agg(F.count("*").alias("n"))
+    return n.select("pair.snapshot_no", F.col("pair.skill_id").alias("pair"), "category", "sig_source", "summary", "n")
+
+
+def compare_resolved_all(spark, d):
+    """As compare_resolved, for each snapshot against the one before."""
+    return reporting.resolved_counts(*_followed(spark, d)).select("pair.snapshot_no", F.col("pair.skill_id").alias("pair"), "resolved")
+
+
 def matched_reports(spark, d):
     r = latest(table(spark, d, "scan_report"), ["report_id"], "skill_name", "skill_path")
     now = r.filter("report_id % 2 = 0").select(F.col("report_id").alias("now_id"), "skill_name")
@@ -490,6 +513,10 @@ def _sig_sql(n: int) -> str:
 FROM (SELECT *, {_NOW} AS p, trim(coalesce(source, '')) AS s FROM finding_snapshot WHERE snapshot_no = {n})"""
 
 
+_FOLLOWED = f"""s AS (SELECT snapshot_no, skill_id AS pair, category, CASE WHEN p <> '' AND s = p THEN '.' WHEN p <> '' AND starts_with(s, p || '/') THEN substr(s, length(p) + 2) ELSE s END AS sig_source, summary
+FROM (SELECT *, {_NOW} AS p, trim(coalesce(source, '')) AS s FROM finding_snapshot WHERE snapshot_no IS NOT NULL)),
+a AS (SELECT * FROM s WHERE snapshot_no - 1 IN (SELECT snapshot_no FROM s)),
+b AS (SELECT * REPLACE (snapshot_no + 1 AS snapshot_no) FROM s WHERE snapshot_no + 1 IN (SELECT snapshot_no FROM s))"""
 _DNSQ, _DNSA = r"'query\[(\w+)\]\s+(\S+)\s+from\s+\S+'", r"'(?:config|reply)\s+(\S+)\s+is\s+(\S+)'"
 _HIDDEN = "CASE " + " ".join(f"WHEN contains(line, chr({c})) THEN '{n}'" for c, n in dims.INVISIBLE) + f" WHEN regexp_matches(line, '[\\x{{E0000}}-\\x{{E007F}}]') THEN '{dims.TAG_CHARACTERS}' END"
 
@@ -528,6 +555,8 @@ SELECT candidate, 'medium' AS severity, 'no longer under changed conditions: ' |
 UNION ALL SELECT candidate, 'medium', 'only under changed conditions: ' || concat_ws(' ', kind, d1, d2, d3) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
         "compare_new": f"WITH a AS ({_sig_sql(2)}), b AS ({_sig_sql(1)}) SELECT pair, category, sig_source, summary, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.pair IS NOT DISTINCT FROM a.pair AND b.category IS NOT DISTINCT FROM a.category AND b.sig_source = a.sig_source AND b.summary IS NOT DISTINCT FROM a.summary) GROUP BY 1, 2, 3, 4",
         "compare_resolved": f"WITH a AS ({_sig_sql(2)}), b AS ({_sig_sql(1)}) SELECT pair, count(*) AS resolved FROM (SELECT DISTINCT * FROM b EXCEPT SELECT * FROM a) GROUP BY 1",
+        "compare_new_all": f"WITH {_FOLLOWED} SELECT snapshot_no, pair, category, sig_source, summary, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.snapshot_no = a.snapshot_no AND b.pair IS NOT DISTINCT FROM a.pair AND b.category IS NOT DISTINCT FROM a.category AND b.sig_source = a.sig_source AND b.summary IS NOT DISTINCT FROM a.summary) GROUP BY 1, 2, 3, 4, 5",
+        "compare_resolved_all": f"WITH {_FOLLOWED} SELECT snapshot_no, pair, count(*) AS resolved FROM (SELECT DISTINCT * FROM b EXCEPT SELECT * FROM a) GROUP BY 1, 2",
         "matched_reports": "WITH r AS (SELECT report_id, arg_max(skill_name, (loaded_at, skill_name)) AS skill_name FROM scan_report WHERE report_id IS NOT NULL GROUP BY 1) SELECT a.report_id AS now_id, max(b.report_id) AS before_id FROM r a JOIN r b USING (skill_name) WHERE a.report_id % 2 = 0 AND b.report_id % 2 = 1 AND length(skill_name) > 0 GROUP BY 1",
         "prose_instructions": f"WITH {_LINES}, k AS (SELECT skill_id, line_no, {kind} AS category FROM l) SELECT *, CASE category WHEN 'skill_md_remote_exec_instruction' THEN 'medium' ELSE 'critical' END AS severity FROM k WHERE category IS NOT NULL",
         "hidden_unicode": f"WITH {_LINES}, k AS (SELECT skill_id, line_no, {_HIDDEN} AS kind FROM l) SELECT * FROM k WHERE kind IS NOT NULL",
@@ -579,7 +608,7 @@ SELECT *, 'baseline' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UN
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        risk_score, worst_first, worst_skill, severity_counts, level_counts, risk_guidance, enriched_findings, report_sections, top_findings, compare_new, compare_resolved, matched_reports, over_threshold, semantic_findings, report_json, report_markdown, report_html, not_attempted, difference_findings,
+        risk_score, worst_first, worst_skill, severity_counts, level_counts, risk_guidance, enriched_findings, report_sections, top_findings, compare_new, compare_resolved, compare_new_all, compare_resolved_all, matched_reports, over_threshold, semantic_findings, report_json, report_markdown, report_html, not_attempted, difference_findings,
         prose_instructions, hidden_unicode, secrets_found, secret_words, base64_blobs, js_eval_decode, py_eval_decode, install_targets, manifest_packages, known_malicious, typosquats, broad_grants, sensitive_paths,
         skill_folders, bundled_files, hidden_executables, run_candidates, front_matter, source_lines, system_calls, resolver_queries, http_flows, internet_connects, notable_opens, notable_execs, trace_health,
         connect_fallback, neardup_requests, neardup_opens, neardup_execs, run_findings, run_signature, differential,

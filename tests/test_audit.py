@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fathomline import dims, textops
 from fathomline.functions import udfs
 from fathomline.operators import behaviour, detectors, discovery, reporting, trace
-from fathomline.plans import audit
+from fathomline.plans import audit, registry
 from fathomline.runtime import cut
 from fathomline.sinks import render
 from fathomline.sources import records, skilltree
@@ -266,3 +266,13 @@ def test_live_calls(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.table("live").collect())
     want = sorted((r.run_id, r.pid, r.timestamp, r.syscall, r.raw_args, r.result) for r in trace.system_calls(lines(spark, STRACE)).collect())
     assert got == want
+
+
+def test_all_consecutive_snapshots_are_compared(spark, tmp_path):
+    seen = [(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "c"), (3, "c"), (4, "c"), (6, "d"), (None, "e")]
+    rows = [(no, None if s == "d" else 7, f"/x{no}", "k", s, f"/x{no}/f.py") for no, s in seen]
+    spark.createDataFrame(rows, "snapshot_no int, skill_id bigint, skill_path string, category string, summary string, source string").write.parquet(str(tmp_path / "finding_snapshot.parquet"))
+    new = registry.queries()["compare_new_all"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in new] == [(3, 7, "k", "f.py", "c", 2)]
+    resolved = registry.queries()["compare_resolved_all"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in resolved) == [(2, 7, 1), (4, 7, 1)]
