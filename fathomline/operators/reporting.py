@@ -149,6 +149,18 @@ def matched_reports(now: DataFrame, before: DataFrame) -> DataFrame:
     return by_name.unionByName(single).distinct()
 
 
+def previous_reports(reports: DataFrame) -> DataFrame:
+    """(now_id, before_id): each report with the last one of its name that was generated earlier; of several at that time the greatest id.
+
+    reports: report_id, skill_name, generated_at. Reports without name or time have no earlier one and are none.
+    """
+    named = reports.filter((F.length("skill_name") > 0) & F.col("generated_at").isNotNull())
+    times = named.groupBy("skill_name", "generated_at").agg(F.max("report_id").alias("last_id"))
+    along = Window.partitionBy("skill_name").orderBy("generated_at")  # one small row per report time
+    earlier = times.withColumn("before_id", F.lag("last_id").over(along)).filter(F.col("before_id").isNotNull())
+    return named.join(earlier, ["skill_name", "generated_at"]).select(F.col("report_id").alias("now_id"), "before_id")
+
+
 _SEMANTIC = "content array<struct<type:string,name:string,input:struct<findings:array<struct<category:string,severity:string,summary:string,quote:string>>>>>"
 
 

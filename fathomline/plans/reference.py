@@ -181,6 +181,11 @@ def matched_reports(spark, d):
     return reporting.matched_reports(now, r.filter("report_id % 2 = 1").select(F.col("report_id").alias("before_id"), "skill_name"))
 
 
+def matched_reports_all(spark, d):
+    """Every report with the last earlier one of its name."""
+    return reporting.previous_reports(latest(table(spark, d, "scan_report"), ["report_id"], "skill_name", "generated_at"))
+
+
 def over_threshold(spark, d):
     """Skills that would fail a gate at high."""
     s = reporting.scores(findings(spark, d), "skill_id")
@@ -558,6 +563,7 @@ UNION ALL SELECT candidate, 'medium', 'only under changed conditions: ' || conca
         "compare_new_all": f"WITH {_FOLLOWED} SELECT snapshot_no, pair, category, sig_source, summary, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.snapshot_no = a.snapshot_no AND b.pair IS NOT DISTINCT FROM a.pair AND b.category IS NOT DISTINCT FROM a.category AND b.sig_source = a.sig_source AND b.summary IS NOT DISTINCT FROM a.summary) GROUP BY 1, 2, 3, 4, 5",
         "compare_resolved_all": f"WITH {_FOLLOWED} SELECT snapshot_no, pair, count(*) AS resolved FROM (SELECT DISTINCT * FROM b EXCEPT SELECT * FROM a) GROUP BY 1, 2",
         "matched_reports": "WITH r AS (SELECT report_id, arg_max(skill_name, (loaded_at, skill_name)) AS skill_name FROM scan_report WHERE report_id IS NOT NULL GROUP BY 1) SELECT a.report_id AS now_id, max(b.report_id) AS before_id FROM r a JOIN r b USING (skill_name) WHERE a.report_id % 2 = 0 AND b.report_id % 2 = 1 AND length(skill_name) > 0 GROUP BY 1",
+        "matched_reports_all": "WITH r AS (SELECT report_id, arg_max((skill_name, generated_at), (loaded_at, skill_name, generated_at)) AS v FROM scan_report WHERE report_id IS NOT NULL GROUP BY 1), n AS (SELECT report_id, v[1] AS skill_name, v[2] AS generated_at FROM r WHERE length(v[1]) > 0) SELECT a.report_id AS now_id, arg_max(b.report_id, (b.generated_at, b.report_id)) AS before_id FROM n a JOIN n b ON a.skill_name = b.skill_name AND b.generated_at < a.generated_at GROUP BY 1",
         "prose_instructions": f"WITH {_LINES}, k AS (SELECT skill_id, line_no, {kind} AS category FROM l) SELECT *, CASE category WHEN 'skill_md_remote_exec_instruction' THEN 'medium' ELSE 'critical' END AS severity FROM k WHERE category IS NOT NULL",
         "hidden_unicode": f"WITH {_LINES}, k AS (SELECT skill_id, line_no, {_HIDDEN} AS kind FROM l) SELECT * FROM k WHERE kind IS NOT NULL",
         "secrets_found": f"""WITH {_FILE_LINES}, keep AS (SELECT file_id FROM bf WHERE true), h AS ({_SECRET_SQL})
@@ -608,7 +614,7 @@ SELECT *, 'baseline' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UN
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        risk_score, worst_first, worst_skill, severity_counts, level_counts, risk_guidance, enriched_findings, report_sections, top_findings, compare_new, compare_resolved, compare_new_all, compare_resolved_all, matched_reports, over_threshold, semantic_findings, report_json, report_markdown, report_html, not_attempted, difference_findings,
+        risk_score, worst_first, worst_skill, severity_counts, level_counts, risk_guidance, enriched_findings, report_sections, top_findings, compare_new, compare_resolved, compare_new_all, compare_resolved_all, matched_reports, matched_reports_all, over_threshold, semantic_findings, report_json, report_markdown, report_html, not_attempted, difference_findings,
         prose_instructions, hidden_unicode, secrets_found, secret_words, base64_blobs, js_eval_decode, py_eval_decode, install_targets, manifest_packages, known_malicious, typosquats, broad_grants, sensitive_paths,
         skill_folders, bundled_files, hidden_executables, run_candidates, front_matter, source_lines, system_calls, resolver_queries, http_flows, internet_connects, notable_opens, notable_execs, trace_health,
         connect_fallback, neardup_requests, neardup_opens, neardup_execs, run_findings, run_signature, differential,
