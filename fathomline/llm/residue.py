@@ -10,7 +10,8 @@ they flag is shuffled.
 Defined results: null, empty or merely short texts are no cases; anything in fenced or
 inline code is left out, as is quoted speech; repeated rows of a key count once, the one
 loaded last; null entries of invocations are skipped; texts of any length are read
-whole; extra columns are not carried.
+whole: lines too long for the rules of whole lines are also judged by sentence and HTML
+element; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -112,6 +113,12 @@ SCRIPT_LINE = rf"^(?=.{{0,200}}$)(?=.*\b{SCRIPTS}\b)(?=.*\b{_NEED}\b)(?=.*\b{_PA
 #: Bare phrases that are residue only where they recur.
 LIKELY_LINE = rf"^\W*(?:{REASONS})\W*$"
 
+#: Lines above this are also judged in parts, cut between sentences and at the tags of HTML blocks.
+LONG_LINE = 140
+_INLINE = r"(?:a|abbr|b|br|code|em|font|i|kbd|q|s|small|span|strong|sub|sup|u)\b"
+SENTENCES = r" (?<=[.!?] )|(?<=。)"
+ELEMENTS = SENTENCES + rf"|(?=<(?!(?i:{_INLINE}))[A-Za-z])|(?<=</(?!(?i:{_INLINE}))[A-Za-z][A-Za-z0-9]{{0,14}}>)"
+
 _ZERO_WIDTH = "\u00ad\u034f\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\ufeff"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u00a0\u2007\u2009\u202f\u3000"
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "     "
@@ -147,19 +154,33 @@ def _quotes_out(line: Column) -> Column:
     return F.regexp_replace(line, "\"[^\"]{1,200}\"|\u201c[^\u201d]{1,200}\u201d|\u00ab[^\u00bb]{1,200}\u00bb|\u201e[^\u201c\u201d]{1,200}[\u201c\u201d]", " ")
 
 
-def verdict(line: Column, said: Column, command: bool) -> Column:
-    """The rule a masked message falls under, null if none. Each rule has a cheap necessary condition before it."""
+def verdict(line: Column, said: Column, part: Column, command: bool) -> Column:
+    """The rule a masked message falls under, null if none. Each rule has a cheap necessary condition before it.
+
+    part: whether it is a part of a long line; those rules that search within a line judge the line alone.
+    For parts letters of any script are letters, so that a sentence that only holds a number is no status code.
+    """
+    whole = ~part
     short = F.length(line) <= 420
     rule = F.when(F.length(line) == 0, F.lit(None).cast("string"))
     slot, unresolved = (SLOT_COMMAND, UNRESOLVED_COMMAND) if command else (SLOT_PROSE, UNRESOLVED)
-    rule = rule.when(short & line.rlike(ERROR_HINT) & line.rlike("(?iu)" + ERROR_LINE), "error page")
-    rule = rule.when(line.rlike(r"[{<\[%@_]|YOUR|(?i)path/to|TODO|FIXME|TBD|CHANGEME|REPLACE") & line.rlike(slot), "unfilled slot")
-    rule = rule.when(line.rlike(r"(?i)object Object|Invalid Date|undefined|null|NaN|None|nil\b") & line.rlike(unresolved), "unresolved value")
+    rule = rule.when(short & line.rlike(ERROR_HINT) & F.when(part, line.rlike("(?iU)" + ERROR_LINE)).otherwise(line.rlike("(?iu)" + ERROR_LINE)), "error page")
+    rule = rule.when(whole & line.rlike(r"[{<\[%@_]|YOUR|(?i)path/to|TODO|FIXME|TBD|CHANGEME|REPLACE") & line.rlike(slot), "unfilled slot")
+    rule = rule.when(whole & line.rlike(r"(?i)object Object|Invalid Date|undefined|null|NaN|None|nil\b") & line.rlike(unresolved), "unresolved value")
     rule = rule.when((F.length(said) <= 200) & said.rlike(rf"(?iu)\b{SCRIPTS}\b") & said.rlike("(?iu)" + SCRIPT_LINE), "scripts needed")
     if not command:
-        rule = rule.when((F.length(line) <= 140) & line.rlike(UNWRITTEN), "unwritten")
-        rule = rule.when(said.rlike(r"(?i)\b(?:lorem|dolor|amet|consectetur|adipiscing|veniam|nostrud|laboris|cillum|pariatur|proident|deserunt|ullamco|aliquip|viverra)\b") & said.rlike(LATIN_FILLER), "filler")
-    return rule.when((F.length(line) <= 60) & line.rlike("(?iu)" + LIKELY_LINE), "likely error page")
+        rule = rule.when((F.length(line) <= 140) & F.when(part, line.rlike("(?U)" + UNWRITTEN)).otherwise(line.rlike(UNWRITTEN)), "unwritten")
+        rule = rule.when(whole & said.rlike(r"(?i)\b(?:lorem|dolor|amet|consectetur|adipiscing|veniam|nostrud|laboris|cillum|pariatur|proident|deserunt|ullamco|aliquip|viverra)\b") & said.rlike(LATIN_FILLER), "filler")
+    return rule.when(whole & (F.length(line) <= 60) & line.rlike("(?iu)" + LIKELY_LINE), "likely error page")
+
+
+def _parts(m: Column) -> Column:
+    """The message and, if it is long, its sentences and elements; of a long JSON object the head."""
+    part = lambda p: F.struct(p.alias("line"), p.alias("said"), F.lit(True).alias("part"))
+    whole = F.array(F.struct(m["line"].alias("line"), m["said"].alias("said"), F.lit(False).alias("part")))
+    head = F.when(F.startswith(m["line"], F.lit("{")), F.array(part(F.left(m["line"], F.lit(300))))).otherwise(F.array().cast("array<struct<line:string,said:string,part:boolean>>"))
+    cut_up = F.transform(F.filter(F.transform(F.when(F.contains(m["said"], F.lit("<")), F.split(m["said"], ELEMENTS)).otherwise(F.split(m["said"], SENTENCES)), F.btrim), lambda x: x != ""), part)
+    return F.when(F.length(m["line"]) > LONG_LINE, F.concat(whole, head, cut_up)).otherwise(whole)
 
 
 def _lines(rows: DataFrame, kind: str, text: Column, command: bool) -> DataFrame:
@@ -169,8 +190,8 @@ def _lines(rows: DataFrame, kind: str, text: Column, command: bool) -> DataFrame
     """
     split = F.filter(F.transform(F.split(text, r"\n"), masked), lambda x: x != "")
     both = F.transform(split, lambda x: F.struct(x.alias("line"), F.when(x.rlike("[\"\u201c\u201e\u00ab]"), _quotes_out(x)).otherwise(x).alias("said")))
-    lines = rows.select("record_id", F.explode(both).alias("m")).select("record_id", "m.line", "m.said")
-    rules = lines.select("record_id", "line", F.explode(F.array_compact(F.array(verdict(F.col("line"), F.col("said"), command)))).alias("rule"))
+    lines = rows.select("record_id", F.explode(F.flatten(F.transform(both, _parts))).alias("m")).select("record_id", "m.line", "m.said", "m.part")
+    rules = lines.select("record_id", "line", F.explode(F.array_compact(F.array(verdict(F.col("line"), F.col("said"), F.col("part"), command)))).alias("rule"))
     return rules.select(F.lit(kind).alias("record_kind"), "record_id", "line", "rule")
 
 

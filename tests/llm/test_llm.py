@@ -126,6 +126,23 @@ def test_residue(spark):
     assert residue.residue(spark.createDataFrame([], SKILL), spark.createDataFrame([], "report_id bigint, invocations array<string>, loaded_at timestamp")).count() == 0
 
 
+def test_residue_in_long_lines(spark):
+    style = "<style>" + "p{margin:0;padding:0} " * 30 + "</style>"
+    prose = "The tool reads each file of the folder once and keeps a small table of what it saw there. " * 6
+    long = [
+        f"<html><head>{style}<title>404 Not Found</title></head><body><h1>Not Found</h1><p>nginx</p></body></html>",
+        f"<!doctype html><html><head>{style}</head><body><noscript>You need to <b>enable JavaScript</b> to run this app.</noscript></body></html>",
+        prose + "Please enable JavaScript to view this page. " + prose,
+        prose + "TODO: describe the output.",
+        '{"error": {"code": 503, "message": "' + "the backend did not answer in time, " * 20 + '"}}',
+    ]
+    fine = [prose, prose + "A 404 Not Found from the server is retried twice. " + prose, prose + "Pages that need JavaScript are opened in a browser by the tool itself. ", f"<p>{prose}</p><p>{prose}</p>", prose + "На 512 папок сканер потратил меньше минуты. " + prose]
+    rows = [(k, None, None, x, T0, "c") for k, x in enumerate(long)] + [(100 + k, None, None, x, T0, "c") for k, x in enumerate(fine)]
+    calls = [(1, [long[0]], T0), (2, ["python a.py --note '" + prose + "'"], T0)]
+    got = residue.residue(spark.createDataFrame(rows, SKILL), spark.createDataFrame(calls, "report_id bigint, invocations array<string>, loaded_at timestamp"))
+    assert {tuple(x) for x in got.collect()} == {("skill", k) for k in range(len(long))} | {("report", 1)}
+
+
 # --- 7 ---
 
 DISGUISED = {"ｆｕｌｌ": "full", "𝐛𝐨𝐥𝐝": "bold", "ﬁle": "file", "été": "été", "zero​width": "zerowidth", "no break": "no break", "thе word": "the word", "ѕрасеѕ in an English text": "spaces in an english text", "stɑԁy": "stady", "нaчало": "начало"}
