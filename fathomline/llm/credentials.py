@@ -293,10 +293,12 @@ def tagger() -> Tagger:
     return train()
 
 
-#: What any line with a credential holds: a word for one, a vendor's form, user and password in a URL, or a long mixed literal.
+#: What any line with a credential holds: a word for one, a vendor's form, user and password in a URL, a long mixed literal, or a mixed literal set under any name.
 _MAYBE = re.compile(
     r"PRIVATE KEY|(?i:pass|pwd|\bpw\b|pw\b|token|secret|key|auth|cred|bearer|login|wort|contras|senha|mot_de|wachtwoord|\s-p\S|\s-u\s|--user\b|--header)|://[^\s/]*:[^\s/]*@|\bvalue\b|[A-Za-z0-9_+/\-.]{20,}|A[KS]IA[A-Z0-9]{8}"
+    r"|[^\W\d_]['\"]?\s{0,3}(?:[:=]|=>|:=|：)\s{0,3}['\"`]?(?=[^\s'\"`]{0,60}[A-Za-z])(?=[^\s'\"`]{0,60}\d)[^\s'\"`()\[\]{}<>]{6,}"
 )
+_FENCE = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]{1,60}-----")
 
 
 def usable(value: str) -> bool:
@@ -310,12 +312,12 @@ def usable(value: str) -> bool:
     return not re.fullmatch(r"(.)\1{7,}", digits)
 
 
-def spans(line: str, before: str, model: Tagger) -> list[tuple[int, int]]:
-    """Start and end of each literal to mask in the line."""
+def spans(line: str, before: str, model: Tagger, inside: bool = False) -> list[tuple[int, int]]:
+    """Start and end of each literal to mask in the line. inside: whether it lies within a key block or certificate."""
     if not _MAYBE.search(line):
         return []
     tokens, marks = model.labels(line, before)
-    if len(tokens) == 1 and tokens[0][0] == "chunk" and not _VENDOR.match(tokens[0][1]):
+    if inside and len(tokens) == 1 and tokens[0][0] == "chunk" and not _VENDOR.match(tokens[0][1]):
         return []  # the body of a key block or certificate; only its header line counts
     out: list[list[tuple[int, int, str, str]]] = []
     for i, ((kind, t, at), y) in enumerate(zip(tokens, marks)):
@@ -332,18 +334,21 @@ def spans(line: str, before: str, model: Tagger) -> list[tuple[int, int]]:
     found = []
     for pieces in out:
         if pieces[0][3] == "pem" or usable("".join(p[2] for p in pieces)):
-            found += [(at, at + len(t)) for _, at, t, _ in pieces]
+            found += [(at + t.rfind("：") + 1, at + len(t)) for _, at, t, _ in pieces]  # a wide colon does not end a token
     return found
 
 
 def scan_text(text: str, model: Tagger) -> list[tuple[int, list[tuple[int, int]]]]:
     """(line number from 1, spans) of the lines that hold a credential."""
-    out, before = [], ""
+    out, before, inside = [], "", False
     for k, line in enumerate(text.split("\n"), 1):
-        s = spans(line, before, model)
+        s = spans(line, before, model, inside)
         if s:
             out.append((k, s))
         before = line
+        if "-----" in line:
+            for m in _FENCE.finditer(line):
+                inside = m[1] == "BEGIN"
     return out
 
 

@@ -53,6 +53,21 @@ def test_lines_found_and_masked(spark, tagger):
     assert credentials.credential_lines(files.limit(0), finds.limit(0)).count() == 0
 
 
+def test_short_literals_under_any_name_and_single_tokens(tagger):
+    for line, at in {"clave: Xk9pQ2zw": 7, "mdp = 'Tr7bVq2m'": 7, "пароль: Zx81kWq7": 8, "密码: Kp94zLm2": 4, "密码：Kp94zLm2": 3}.items():
+        assert credentials.spans(line, "", tagger) == [(at, at + 8)], line
+
+    class All:
+        """Takes every token for a secret."""
+
+        def labels(self, line, before):
+            return [("chunk", line, 0)], "s"
+
+    body = "q7ZpX2mKc9RtVb4WnYs8HdLf"
+    text = f"{body}\n-----BEGIN CERTIFICATE-----\n{body}\n-----END CERTIFICATE-----\n{body}"
+    assert [k for k, _ in credentials.scan_text(text, All()) if text.split("\n")[k - 1] == body] == [1, 5]
+
+
 # --- 2 ---
 
 
