@@ -137,7 +137,7 @@ def template(line: str, known: set[tuple[str, ...]]) -> str:
     return " ".join(t if c or len(t) < 2 or t[0] == "<" else "<*>" for t, c in zip(s, constant_tokens(s, known)))
 
 
-#: Tokens that can belong to a header; the roles of a line depend on no later ones.
+#: Tokens that can belong to a header; the roles of a line depend on no later ones, save for what a key=value line has not named by then.
 HEAD = 24
 _PARTS = {"level": {"level", "lvl", "severity", "loglevel"}, "component": {"component", "logger", "module", "name", "source"}}
 
@@ -145,14 +145,16 @@ _PARTS = {"level": {"level", "lvl", "severity", "loglevel"}, "component": {"comp
 def roles(kinds: list[str], texts: list[str], constant: list[bool]) -> dict[str, int] | None:
     """The places of timestamp, level, component, process and form in a template's header; None if it has no such header."""
     n = len(kinds)
-    pairs = {texts[i]: i + 2 for i in range(n - 2) if kinds[i] == "word" and kinds[i + 1] == "=" and (i == 0 or kinds[i - 1] != "=")}
+    places = [i for i in range(n - 2) if kinds[i] == "word" and kinds[i + 1] == "=" and (i == 0 or kinds[i - 1] != "=")]
+    pairs = {texts[i]: i + 2 for i in places if i + 2 < HEAD}
+    late = [(texts[i], i + 2) for i in places if i + 2 >= HEAD]
     if kinds and kinds[0] == "word" and n > 2 and kinds[1] == "=":
         out = {"form": 0}
-        for key, at in pairs.items():
+        for key, at in [*pairs.items(), *late]:
             if kinds[at] in _STAMPS and "time" not in out:
                 out["time"] = at
             for role, names in _PARTS.items():
-                if key in names and constant[at - 2]:
+                if key in names and constant[at - 2] and (at < HEAD or role not in out):
                     out[role] = at
         return out if {"time", "component"} <= out.keys() else None
     i = 0
@@ -222,8 +224,11 @@ _NONE = ("X", None, None, None, None, None, None, None, 0)
 def _planned(shape: str, known: set[tuple[str, ...]]) -> tuple[int, str, dict[str, tuple[int, int]]] | None:
     """(form, kind of the timestamp, place of each role) of all lines of one shape."""
     kinds, texts, starts = lex(shape)
-    kinds, texts = kinds[:HEAD], texts[:HEAD]
-    got = roles(kinds, texts, constant_tokens(symbols(kinds, texts), known))
+    if kinds[:2] != ["word", "="]:
+        kinds, texts = kinds[:HEAD], texts[:HEAD]
+    constant = constant_tokens(symbols(kinds, texts), known)
+    # Stamps and names before "=" are constant by their type, however rare their layout is.
+    got = roles(kinds, texts, [c or k in _STAMPS or after == "=" for c, k, after in zip(constant, kinds, [*kinds[1:], ""])])
     if got is None:
         return None
     return got["form"], kinds[got["time"]], {r: (starts[i], starts[i] + len(texts[i])) for r, i in got.items() if r != "form"}

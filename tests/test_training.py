@@ -176,3 +176,12 @@ def test_log_entries(spark):
     assert [tuple(x)[3] for x in log_fields.entries(log.filter("run_id = 2"), runs).collect()] == ["2025-12-31 23:59:59"]
     assert log_fields.entries(log.limit(0), runs).count() == 0
     assert log_fields.templates(log).filter("template like '%dnsmasq%'").count() == 2
+
+
+def test_rare_and_long_headers_need_no_frequent_ngrams():
+    many = " ".join(f"k{i}=v{i}" for i in range(12))
+    rare = ["2026-05-13 16:41:42 WARN zork: a", "ts=2026-05-13T16:42:01Z severity=warn logger=zork msg=x", f"{many} ts=2026-05-13T16:42:01Z level=warn component=zork", f"ts=2026-05-13T16:42:01Z level=warn component=zork {many} name=other level=info"]
+    for line in rare:
+        got = log_fields.read_line(line, set(), {})
+        assert (got[0], got[2], got[3]) == ("E", "zork", "warn"), line
+    assert log_fields.read_line("a=b c=d", set(), {})[0] == "X"
