@@ -56,6 +56,14 @@ def static_audit(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return findings, people, errors
 
 
+def run_plan(files: DataFrame, invoke: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(candidates, skills without any): what a sandbox would be given to run for each skill of a file table."""
+    bodies = discovery.read_skills(files).select("skill", "body")
+    owned = discovery.files_of_skills(files, discovery.skill_folders(files))
+    found = discovery.candidates(bodies, discovery.bundled_files(owned), invoke)
+    return found, discovery.not_attempted(bodies, found)
+
+
 def scan(spark: SparkSession, o: Options) -> int:
     files = skilltree.read_tree(spark, o.folder).cache()
     findings, skills, errors = static_audit(files)
@@ -65,6 +73,10 @@ def scan(spark: SparkSession, o: Options) -> int:
     for e in errors.limit(20).collect():
         print(f"skipped {e.skill}: {e.error}", file=sys.stderr)
     render.summary_table(got.withColumn("findings", F.size("findings"))).show(50, truncate=80)
+    if o.invoke:
+        runs, idle = run_plan(files, o.invoke)
+        runs.orderBy("skill", "candidate_no").show(50, truncate=80)
+        print(f"run candidates: {runs.count()}, skills without any: {idle.count()}")
     if o.json:
         render.write_json(reporting.worst_first(got).toLocalIterator(), o.json)
     if o.markdown:

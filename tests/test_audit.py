@@ -285,3 +285,10 @@ def test_every_report_meets_the_one_before(spark, tmp_path):
     df.withColumn("generated_at", F.col("generated_at").cast("timestamp")).withColumn("loaded_at", F.col("loaded_at").cast("timestamp")).write.parquet(str(tmp_path / "scan_report.parquet"))
     got = registry.queries()["matched_reports_all"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == [(3, 6), (4, 2), (6, 2), (7, 3)]
+
+
+def test_scan_plans_the_given_invocation(spark, tmp_path, capsys):
+    if udfs.yaml is None:
+        pytest.skip("needs a YAML reader")
+    audit.scan(spark, audit.Options(str(tree(tmp_path)), invoke="run it"))
+    assert re.search(r"run candidates: [1-9]\d*, skills without any: 0", capsys.readouterr().out)
