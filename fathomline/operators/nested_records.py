@@ -2,11 +2,13 @@
 
 A deterministic bottom-up tree automaton reads each parsed payload: leaves start in a
 scalar state, an array's state is made of its elements', and an object's state follows
-from its keys and their states. The state decides the type of a node (report, finding,
-run, flow, header list, plain map); the state's spelling is the node's structural
-variant. Nodes are routed by type and variant into rows of one typed table each; all
-tables share the parent keys report_id, run_pos and item_pos, so children join to
-parents without generated ids.
+from its keys and their states. The state's spelling is the node's structural variant,
+kept as a label of its row; it also tells a single header given as a pair from a map.
+The table of a node follows from its place (findings, runs, http_flows, headers,
+raw_frontmatter), not from its state: an entry of `findings` counts as a finding, with
+its place, even if it lacks the members that the state asks for. There is one typed
+table for each type, all variants together; all tables share the parent keys report_id,
+run_pos and item_pos, so children join to parents without generated ids.
 
 Defined results: a null, empty, cut-off or otherwise invalid payload gives no row; a
 payload that is a JSON text within a JSON string, or an array around a report, is
@@ -189,7 +191,7 @@ def _shred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def nodes(reports: DataFrame) -> DataFrame:
-    """Every node of the latest payloads, routed by type and variant."""
+    """Every node of the latest payloads, routed by its place and labelled with its variant."""
     last = latest(reports.select(F.col("report_id").cast("bigint").alias("report_id"), "payload", "loaded_at"), ["report_id"], "payload")
     return last.filter(F.length("payload") > 0).mapInPandas(_shred, NODES)
 
