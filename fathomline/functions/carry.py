@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Values of the order that are sorted together.
+CHUNK = 8192
 
-def last_before(df: DataFrame, keys: list[str], order: str, value: Column, out: str, inclusive: bool, chunk: int = 8192, written: bool = False) -> DataFrame:
+
+def last_before(df: DataFrame, keys: list[str], order: str, value: Column, out: str, inclusive: bool, chunk: int = CHUNK) -> DataFrame:
     """Add `out`: the last non-null `value` of the key up to (inclusive) or before this row.
 
     Rows are ordered within chunks of the order column only; each chunk's last value is
     handed on through a table with one row per chunk, so one huge key is shared among
-    many tasks. `order` is a non-negative integer, unique within its key. written: df is
-    read from files, so that looking up its greatest order first is cheap.
+    many tasks. `order` is a non-negative integer, unique within its key.
     """
-    most = df.agg(F.max(order)).first()[0] if written else chunk
-    if most is None or most < chunk:  # every key lies in one chunk: the plain window says the same
-        along = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        return df.withColumn("_value", value).withColumn(out, F.last("_value", ignorenulls=True).over(along)).drop("_value")
     at = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("bigint")).withColumn("_value", value)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = at.withColumn(out, F.last("_value", ignorenulls=True).over(inside))

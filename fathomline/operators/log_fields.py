@@ -1,36 +1,40 @@
 """Problem 6: log lines of many programs into entries with fields.
 
-Lines are read as typed tokens. Distributed counts of token bigrams and trigrams tell
-constant tokens from variable ones; the constants and types of a line are its template,
-and a template's tokens receive their roles (timestamp, level, component, message) by
-type. Roles turn each line into an entry's start, a part of a call, a continuation or
-neither; entries are then put together along each run.
+Lines are read as typed tokens. Distributed counts of token bigrams and trigrams, kept for
+each layout (the types up to a line's timestamp), separate constant tokens from variable
+ones: a place between two tokens is a constant slot where a good part of the layout's lines
+have it, and a word is constant where it makes up a good part of what fills its place. The
+slots and constant keys receive roles by type: the stamp is the timestamp, a level word the
+level, the first constant slot behind the stamp the component, the rest the message. They
+are then applied to the lines as expressions, and entries are put together along each run.
+A line whose layout has no constant slot for it (a rare program's) is read by its types alone.
 
 Defined results: null and blank lines are no entries and end the entry above; repeated
-lines of one (run_id, line_no) count once, the one loaded last; rows without run_id or
-line_no are left out; runs without started_at give a null entry_ts where the line itself
-lacks the date; lines of any length are read whole; ties cannot arise, since line
-numbers are unique within a run; extra columns are not carried.
+lines of one (run_id, line_no) count once, the one loaded last, of several at that time the
+one of the greatest hash; rows without run_id or line_no are left out; runs without
+started_at give a null entry_ts where the line itself lacks the date; lines of any length
+are read whole; extra columns are not carried.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.carry import last_before
-from fathomline.runtime import cut, fan_out, latest
+from fathomline.functions.carry import CHUNK, last_before
+from fathomline.runtime import cut, latest
 
-#: A token n-gram is constant if it makes up at least this share of all n-grams; so at most 1/SHARE are ever kept.
-SHARE = 2e-6
-_MONTHS = {m: k + 1 for k, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())}
+#: A slot or key is constant if at least this share of its layout's lines have it. At most (slots a line) / SLOT of a layout are.
+SLOT = 0.5
+#: A word is constant if it makes up at least this share of what stands between its two neighbours, or, where those are seldom seen together, of what follows the one before.
+FILL, SELDOM = 0.2, 20
+_MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 # Spellings of levels.
 LEVELS = {
     "trace": "debug", "debug": "debug", "dbg": "debug", "verbose": "debug", "d": "debug",
@@ -39,267 +43,250 @@ LEVELS = {
     "error": "error", "err": "error", "critical": "error", "crit": "error", "fatal": "error", "panic": "error",
     "severe": "error", "alert": "error", "emerg": "error", "e": "error", "f": "error",
 }
+#: The kinds of timestamp; both engines of regular expressions read them alike.
+STAMPS = {
+    "iso": r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?",
+    "sys": r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[ ]{1,2}\d{1,2}[ ]\d\d:\d\d:\d\d",
+    "glog": r"[A-Z]\d{4}[ ]\d\d:\d\d:\d\d\.\d+",
+    "clock": r"\d\d:\d\d:\d\d(?:[.,]\d+)?",
+}
 _TOKEN = re.compile(
-    r"""(?P<indent>^[ \t]+)|[ \t]+
-    |(?P<iso>\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?)
-    |(?P<sys>\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[ ]{1,2}\d{1,2}[ ]\d\d:\d\d:\d\d\b)
-    |(?P<glog>\b[A-Z]\d{4}[ ]\d\d:\d\d:\d\d\.\d+)
-    |(?P<clock>\b\d\d:\d\d:\d\d(?:[.,]\d+)?\b)
-    |(?P<quoted>"(?:[^"\\]|\\.)*")
-    |(?P<num>\d[\w.]*)
-    |(?P<word>[^\W\d][\w.\-]*)
-    |(?P<sign>.)""",
-    re.X,
+    r"(?P<indent>^[ \t]+)|[ \t]+|"
+    + "|".join(rf"(?P<{k}>(?<!\w){p}(?!\w))" for k, p in STAMPS.items())
+    + r"""|(?P<quoted>"(?:[^"\\]|\\.)*")|(?P<num>\d[\w.]*)|(?P<word>[^\W\d][\w.\-]*)|(?P<sign>.)""",
+    re.S,
 )
-_STAMPS = ("iso", "sys", "glog", "clock")
 
 
-def lex(line: str) -> tuple[list[str], list[str], list[int]]:
-    """The types, texts and starts of a line's tokens; signs are their own type, levels in capitals are typed."""
-    kinds, texts, starts = [], [], []
+def lex(line: str) -> list[tuple[str, str]]:
+    """(symbol, kind) of each token: words stand for themselves, level words and other tokens for their type, signs beyond ASCII are one sign."""
+    out = []
     for m in _TOKEN.finditer(line):
-        kind = m.lastgroup
+        kind, text = m.lastgroup, m.group()
         if kind is None:
             continue
-        text = m.group()
         if kind == "sign":
-            kind = text
-        elif kind == "word" and text.isupper() and text.lower() in LEVELS and len(text) > 1:
-            kind = "level"
-        kinds.append(kind)
-        texts.append(text)
-        starts.append(m.start())
-    return kinds, texts, starts
+            out.append((text if text < "\x7f" else "\u00a4", kind))
+        elif kind == "word" and (len(text) < 2 or text.lower() not in LEVELS):
+            out.append((text, kind))
+        else:
+            out.append((f"<{'level' if kind == 'word' else kind}>", kind))
+    return out
 
 
-def symbols(kinds: list[str], texts: list[str]) -> list[str]:
-    """What n-grams are made of: the word itself, else the type."""
-    return [t if k == "word" else f"<{k}>" if len(k) > 1 else k for k, t in zip(kinds, texts)]
+def layout_of(tokens: list[tuple[str, str]]) -> str:
+    """What lines are counted by: 'pairs' for key=value lines, else the types up to a timestamp among the first three tokens, '' without one."""
+    if len(tokens) > 2 and tokens[0][1] == "word" and tokens[1][0] == "=":
+        return "pairs"
+    for k, (symbol, kind) in enumerate(tokens[:3]):
+        if kind in STAMPS:
+            return " ".join(s for s, _ in tokens[: k + 1])
+        if kind not in ("num", "sign"):
+            break
+    return ""
 
 
-_NGRAMS = "gram string, size int, n bigint"
+_NGRAMS = "layout string, a string, t string, b string, word boolean, n bigint"
 
 
-#: All digits as 0: lines that differ in digits only have the same tokens at the same places.
-_ZEROS = str.maketrans("123456789", "000000000")
-_FLUSH = 50_000
+def _count_ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Trigrams around every token; bigrams are their sums. The layout's number of lines is the count of its line starts."""
+    for batch in batches:
+        seen: Counter = Counter()
+        for shape, n in zip(batch["shape"], batch["n"]):
+            tokens = lex(shape)
+            layout = layout_of(tokens)
+            symbols = ["^", *[s for s, _ in tokens], "$"]
+            for k, (_, kind) in enumerate(tokens):
+                seen[(layout, symbols[k], symbols[k + 1], symbols[k + 2], symbols[k + 1][0] != "<" and kind == "word")] += n
+        yield pd.DataFrame([(*g, n) for g, n in seen.items()], columns=["layout", "a", "t", "b", "word", "n"])
 
 
-def _counted(lines: Counter) -> pd.DataFrame:
-    two, three = Counter(), Counter()
-    for line, times in lines.items():
-        s = symbols(*lex(line)[:2])
-        s.append("")
-        for g in zip(s, s[1:]):
-            two[g] += times
-        for g in zip(s, s[1:], s[2:]):
-            three[g] += times
-    grams = [("\x1f".join(g), 2, n) for g, n in two.items()] + [("\x1f".join(g), 3, n) for g, n in three.items()]
-    return pd.DataFrame(grams, columns=["gram", "size", "n"])
+def shapes(lines: DataFrame) -> DataFrame:
+    """(shape, n): lines with what quotes hold left out and all digits as 0, counted. Tokens of equal shapes are of equal types."""
+    bare = F.translate(F.regexp_replace("raw_line", r'"(?:[^"\\]++|\\.)*+"', '""'), "123456789", "000000000")
+    return lines.filter(F.length(F.btrim("raw_line")) > 0).groupBy(bare.alias("shape")).agg(F.count("*").alias("n"))
 
 
-def _count_ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    lines: Counter = Counter()
-    for batch in batches:
-        lines.update(x.translate(_ZEROS) for x in batch["raw_line"] if x)
-        if len(lines) > _FLUSH:
-            yield _counted(lines)
-            lines = Counter()
-    yield _counted(lines)
-
-
-def dictionaries(lines: DataFrame) -> set[tuple[str, ...]]:
-    """The constant bigrams and trigrams. At most 1/SHARE of each size exist, whatever the data."""
-    counts = lines.select("raw_line").mapInPandas(_count_ngrams, _NGRAMS).groupBy("gram", "size").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
-    totals = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
-    least = F.when(F.col("size") == 2, totals.get(2, 0) * SHARE).otherwise(totals.get(3, 0) * SHARE)
-    return {tuple(r["gram"].split("\x1f")) for r in counts.filter(F.col("n") >= least).select("gram").collect()}
-
-
-def constant_tokens(s: list[str], known: set[tuple[str, ...]]) -> list[bool]:
-    """Whether each token is constant: part of a constant trigram, or of a constant bigram within an unseen trigram."""
-    s = [*s, ""]
-    out = [False] * len(s)
-    for i in range(len(s) - 1):
-        if tuple(s[i : i + 3]) in known:
-            out[i] = out[i + 1] = True
-            if i + 2 < len(s):
-                out[i + 2] = True
-        elif tuple(s[i : i + 2]) in known:
-            out[i] = out[i + 1] = True
-    return out[:-1]
-
-
-def template(line: str, known: set[tuple[str, ...]]) -> str:
-    """The line with variable words as <*>."""
-    s = symbols(*lex(line)[:2])
-    return " ".join(t if c or len(t) < 2 or t[0] == "<" else "<*>" for t, c in zip(s, constant_tokens(s, known)))
-
-
-#: Tokens that can belong to a header; the roles of a line depend on no later ones, save for what a key=value line has not named by then.
-HEAD = 24
-_PARTS = {"level": {"level", "lvl", "severity", "loglevel"}, "component": {"component", "logger", "module", "name", "source"}}
-
-
-def roles(kinds: list[str], texts: list[str], constant: list[bool]) -> dict[str, int] | None:
-    """The places of timestamp, level, component, process and form in a template's header; None if it has no such header."""
-    n = len(kinds)
-    places = [i for i in range(n - 2) if kinds[i] == "word" and kinds[i + 1] == "=" and (i == 0 or kinds[i - 1] != "=")]
-    pairs = {texts[i]: i + 2 for i in places if i + 2 < HEAD}
-    late = [(texts[i], i + 2) for i in places if i + 2 >= HEAD]
-    if kinds and kinds[0] == "word" and n > 2 and kinds[1] == "=":
-        out = {"form": 0}
-        for key, at in [*pairs.items(), *late]:
-            if kinds[at] in _STAMPS and "time" not in out:
-                out["time"] = at
-            for role, names in _PARTS.items():
-                if key in names and constant[at - 2] and (at < HEAD or role not in out):
-                    out[role] = at
-        return out if {"time", "component"} <= out.keys() else None
-    i = 0
-    out = {}
-    if i < n and kinds[i] == "num":
-        out["pid"] = i
-        i += 1
-    if i < n and kinds[i] == "[":
-        i += 1
-    if i >= n or kinds[i] not in _STAMPS or not constant[i]:
-        return None
-    out["time"] = i
-    stamp, i = kinds[i], i + 1
-    while i < n and kinds[i] in ("]", "["):
-        i += 1
-    if i < n and kinds[i] in ("level", "word") and texts[i].lower() in LEVELS and len(texts[i]) > 1 and (i + 1 < n and kinds[i + 1] in ("]", "word", "(", ":", "[")):
-        out["level"] = i
-        i += 1
-    while i < n and kinds[i] in ("]", "(", "["):
-        i += 1
-    if i < n and kinds[i] == "num" and stamp == "glog":
-        i += 1
-    if i + 3 < n and kinds[i : i + 4] == ["<", ".", ".", "."]:
-        out["form"] = 2
-        i += 4
-        return {**out, "component": i} if "pid" in out and i + 1 < n and kinds[i] == "word" and texts[i + 1] == "resumed" else None
-    if i >= n or kinds[i] != "word":
-        return None
-    out["component"] = i
-    after = kinds[i + 1] if i + 1 < n else ""
-    if "pid" in out and stamp == "clock":
-        out["form"] = 1
-        return out if after == "(" else None
-    out["form"] = 0
-    return out if after in (":", ")", "]", "[") else None
-
-
-_MEMBER = re.compile(r'^([ \t]+)"(kind|timestamp)"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?)')
-_CONTINUED = re.compile(r"[ \t]|Traceback \(|[A-Za-z_][\w.]*(?:Error|Exception|Warning|Exit|Interrupt|Group)\b|During handling|The above exception|Caused by:")
-_FILE = re.compile(r"\.[A-Za-z0-9]{1,4}$")
-LINES = "run_id bigint, line_no int, kind string, pid string, name string, level string, secs int, month int, day int, at bigint, indent int"
-
-
-def _instant(text: str) -> int | None:
-    """Seconds since the epoch of an ISO timestamp; without an offset it is UTC."""
-    try:
-        t = datetime.fromisoformat(text.replace(",", "."))
-    except ValueError:
-        return None
-    return int((t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp() // 1)
-
-
-def _clock(text: str) -> int:
-    return int(text[:2]) * 3600 + int(text[3:5]) * 60 + int(text[6:8])
-
-
-def _record(value: object) -> tuple | None:
-    if isinstance(value, dict) and isinstance(value.get("kind"), str):
-        t = value.get("timestamp")
-        return ("E", None, value["kind"], "", None, None, None, int(t // 1) if isinstance(t, (int, float)) and not isinstance(t, bool) else None, 0)
-    return None
-
-
-_NONE = ("X", None, None, None, None, None, None, None, 0)
-
-
-def _planned(shape: str, known: set[tuple[str, ...]]) -> tuple[int, str, dict[str, tuple[int, int]]] | None:
-    """(form, kind of the timestamp, place of each role) of all lines of one shape."""
-    kinds, texts, starts = lex(shape)
-    if kinds[:2] != ["word", "="]:
-        kinds, texts = kinds[:HEAD], texts[:HEAD]
-    constant = constant_tokens(symbols(kinds, texts), known)
-    # Stamps and names before "=" are constant by their type, however rare their layout is.
-    got = roles(kinds, texts, [c or k in _STAMPS or after == "=" for c, k, after in zip(constant, kinds, [*kinds[1:], ""])])
-    if got is None:
-        return None
-    return got["form"], kinds[got["time"]], {r: (starts[i], starts[i] + len(texts[i])) for r, i in got.items() if r != "form"}
-
-
-def read_line(line: str | None, known: set[tuple[str, ...]], plans: dict) -> tuple:
-    """(kind, pid, name, level, secs, month, day, at, indent): E entry, U and R parts of a call, J and K braces, C continuation, X neither."""
-    if not line or not line.strip():
-        return _NONE
-    if line[0] == "{":
-        if line.rstrip() == "{":
-            return ("J", *_NONE[1:])
-        try:
-            return _record(json.loads(line)) or _NONE
-        except ValueError:
-            return _NONE
-    if line.rstrip() == "}":
-        return ("K", *_NONE[1:])
-    if line[0] in " \t":
-        m = _MEMBER.match(line)
-        if m is None:
-            return ("C", *_NONE[1:])
-        value = json.loads(m[3])
-        if m[2] == "kind":
-            return ("C", None, value if isinstance(value, str) else None, None, None, None, None, None, len(m[1]))
-        return ("C", None, None, None, None, None, None, int(value // 1) if isinstance(value, (int, float)) else None, len(m[1]))
-    shape = line.translate(_ZEROS)
-    plan = plans.get(shape, plans)
-    if plan is plans:
-        if len(plans) > 100_000:
-            plans.clear()
-        plan = plans[shape] = _planned(shape, known)
-    if plan is None:
-        return ("C" if _CONTINUED.match(line) else "X", *_NONE[1:])
-    form, kind, places = plan
-    part = {role: line[a:b] for role, (a, b) in places.items()}
-    stamp, name = part["time"], part["component"].strip('"')
-    secs = month = day = at = None
-    level = LEVELS.get(part["level"].strip('"').lower(), "") if "level" in part else ""
-    if kind == "iso":
-        at = _instant(stamp)
-        if at is None:
-            return _NONE
-    elif kind == "sys":
-        month, day, secs = _MONTHS[stamp[:3]], int(stamp[3:-8]), _clock(stamp[-8:])
-    elif kind == "glog":
-        month, day, secs, level = int(stamp[1:3]), int(stamp[3:5]), _clock(stamp[6:]), LEVELS.get(stamp[0].lower(), "")
-        name = _FILE.sub("", name)
+def dictionary(counted: DataFrame) -> DataFrame:
+    """(layout, a, t, b, word, n): the trigrams of all lines, t being the middle token and word whether it is a word."""
+    spread = counted.repartition(counted.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInPandas(_count_ngrams, _NGRAMS).groupBy("layout", "a", "t", "b", "word").agg(F.sum("n").alias("n"))
+
+
+_IS_WORD = r"^[\p{L}_]"
+
+
+@dataclass(frozen=True)
+class Roles:
+    """What the dictionary says of the layouts: (layout, sign or type before, sign after) of component slots, and the keys of key=value lines."""
+
+    slots: tuple[tuple[str, str, str], ...]
+    time_keys: tuple[str, ...]
+    level_keys: tuple[str, ...]
+    name_keys: tuple[str, ...]
+
+
+def learned(grams: DataFrame, share: float = SLOT) -> Roles:
+    """The constant slots and keys with their roles. Layouts, types and signs are few by their alphabet, and a key must stand in a share of all key=value lines."""
+    total = grams.filter("a = '^'").groupBy("layout").agg(F.sum("n").alias("lines"))
+    is_word = lambda c: F.col(c).rlike(_IS_WORD)
+    slot = grams.filter(F.col("word") & ~is_word("a") & (F.col("a") != "^") & ~is_word("b") & ~F.startswith("b", F.lit("<")) & (F.col("b") != "$") & ~F.col("layout").isin("", "pairs"))
+    slot = slot.groupBy("layout", "a", "b").agg(F.sum("n").alias("n"))
+    key = grams.filter((F.col("layout") == "pairs") & (F.col("t") == "=") & is_word("a"))
+    key = key.groupBy("layout", "a", F.when(is_word("b"), "<word>").otherwise(F.col("b")).alias("b")).agg(F.sum("n").alias("n"))
+    kept = slot.unionByName(key).join(total, "layout").filter(F.col("n") >= share * F.col("lines"))
+    rows = sorted(kept.collect(), key=lambda r: (-r["n"] / r["lines"], r["layout"], r["a"], r["b"]))
+    of = lambda *kinds: tuple(dict.fromkeys(r["a"] for r in rows if r["layout"] == "pairs" and r["b"] in kinds))
+    return Roles(tuple((r["layout"], r["a"], r["b"]) for r in rows if r["layout"] != "pairs"), of(*[f"<{k}>" for k in STAMPS]), of("<level>"), of("<word>"))
+
+
+# --- application: roles as expressions over lines ---------------------------------------------------
+
+_LEVEL = "(?i:" + "|".join(sorted((k for k in LEVELS if len(k) > 1), key=lambda k: (-len(k), k))) + r")(?![\p{L}\p{N}_])"
+_NAME = r"[\p{L}_][\p{L}\p{N}_.\-]*+"
+_FAR = r"[^\p{L}_<]*"
+#: Keys that say what their value is, for key=value lines without the learned ones.
+_KEYS = {"level": ("level", "lvl", "severity", "loglevel"), "name": ("component", "logger", "module", "name", "source")}
+_PAIRS = r'"(?:[^"\\]++|\\.)*+"|' + _NAME + r'=(?:"(?:[^"\\]++|\\.)*+"|[^\s"]*+)'
+_CONTINUED = r"^(?:[ \t]|Traceback \(|[A-Za-z_][\w.]*(?:Error|Exception|Warning|Exit|Interrupt|Group)\b|During handling|The above exception|Caused by:)"
+_MARK = "\x01"
+
+
+def _quoted(symbol: str) -> str:
+    return {"<num>": r"\d[\p{L}\p{N}_.]*+", "<level>": _LEVEL}.get(symbol) or (rf"(?:{STAMPS[symbol[1:-1]]})" if symbol[1:-1] in STAMPS else r'"(?:[^"\\]++|\\.)*+"' if symbol == "<quoted>" else "\\" + symbol if symbol != "\u00a4" else r"[^\x00-\x7f]")
+
+
+def _header(layout: str, before: str, after: str) -> str:
+    """The pattern of a learned slot's lines: process, stamp, level and name in groups 1 to 4, everything matched whole."""
+    *lead, stamp = layout.split(" ")
+    head = "^" + "".join((rf"({_quoted(s)})\s*" if s == "<num>" and "<num>" not in lead[:k] else _quoted(s) + r"\s*") for k, s in enumerate(lead))
+    head = head if "<num>" in lead else "^()" + head[1:]
+    head += rf"({_quoted(stamp)})"
+    if before == stamp:
+        between = r"()\s*"
+    elif before == "<level>":
+        between = rf"{_FAR}({_LEVEL})\s*"
     else:
-        secs = _clock(stamp)
-    if form == 0:
-        return ("E", None, name, level, secs, month, day, at, 0)
-    pid = part["pid"]
-    if form == 2:
-        return ("R", pid, name, "", secs, month, day, at, 0)
-    if line.rstrip().endswith("<unfinished ...>"):
-        return ("U", pid, name, "", secs, month, day, at, 0)
-    return ("E", pid, name, "", secs, month, day, at, 0) if ") = " in line or line.rstrip().endswith(") = ?") else _NONE
+        between = rf"(?:{_FAR}({_LEVEL}))?{_FAR}{_quoted(before)}\s*"
+    return rf"{head}{between}({_NAME})\s*{_quoted(after)}(?s:.*)$"
+
+
+def _any_header(kind: str) -> str:
+    """A stamp-led line by its types alone: an optional level, then a name and one of the signs that end one."""
+    return rf"^\[?\s*({STAMPS[kind]})(?:{_FAR}({_LEVEL}))?{_FAR}({_NAME})\s*[:)\]\[](?s:.*)$"
+
+
+def _replaced(x: Column, roles: Roles) -> Column:
+    """Stamp's kind, form, process, stamp, level and name of a headed line, joined by marks; other lines stay as they are.
+
+    Each pattern starts at the line's start and spans the line, so what one has replaced no later one matches.
+    """
+    out = x
+    for layout, before, after in roles.slots:
+        call = after == "(" and layout.startswith("<num>")
+        out = F.regexp_replace(out, _header(layout, before, after), _MARK.join([layout.split(" ")[-1][1:-1], "call" if call else "line", "$1", "$2", "$3", "$4"]))
+        if call:
+            resumed = rf"^({_quoted('<num>')})\s+({STAMPS['clock']})\s+<\.\.\. ({_NAME}) resumed>(?s:.*)$"
+            out = F.regexp_replace(out, resumed, _MARK.join(["clock", "rest", "$1", "$2", "", "$3"]))
+    for kind in STAMPS:
+        out = F.regexp_replace(out, _any_header(kind), _MARK.join([kind, "line", "", "$1", "$2", "$3"]))
+    return out
+
+
+def _value(found: Column, key: str) -> Column:
+    """The value a key has in an array of key=value texts, null if it is missing."""
+    first = F.get(F.filter(found, lambda p: F.startswith(p, F.lit(key + "="))), F.lit(0))
+    return F.regexp_extract(first, r'(?s)^[^=]*="?(.*?)"?$', 1)
+
+
+def _epoch(stamp: Column) -> Column:
+    """Seconds since the epoch of an ISO timestamp; without an offset it is UTC."""
+    plain = F.replace(stamp, F.lit(","), F.lit("."))
+    zoned = F.when(plain.rlike(r"[+-]\d{4}$"), F.regexp_replace(plain, r"(\d\d)$", ":$1")).when(plain.rlike(r"(?:Z|[+-]\d\d:\d\d)$"), plain).otherwise(F.concat(plain, F.lit("Z")))
+    return F.unix_seconds(zoned.try_cast("timestamp"))
 
 
-def _reader(known: set[tuple[str, ...]]):
-    columns = [c.split()[0] for c in LINES.split(", ")]
+def _clock(stamp: Column, at: int) -> Column:
+    part = lambda k: F.substring(stamp, at + k, 2).cast("int")
+    return part(0) * 3600 + part(3) * 60 + part(6)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plans: dict = {}
-        for batch in batches:
-            rows = [(r, n, *read_line(x, known, plans)) for r, n, x in zip(batch["run_id"], batch["line_no"], batch["raw_line"])]
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({"secs": "Int32", "month": "Int32", "day": "Int32", "at": "Int64"})
 
-    return run
+def _level(word: Column) -> Column:
+    names = F.create_map(*[F.lit(v) for kv in LEVELS.items() for v in kv])
+    return F.coalesce(F.try_element_at(names, F.lower(word)), F.lit(""))
+
+
+def _first_of(found: Column, learned_keys: tuple[str, ...], usual: tuple[str, ...]) -> Column:
+    """The value of the learned key, else of the first usual one: a constant key of a usual name comes before other constant keys."""
+    best = [k for k in learned_keys if k in usual][:1] or list(learned_keys[:1])
+    return F.coalesce(*[_value(found, k) for k in dict.fromkeys([*best, *usual])])
+
+
+#: kind: E entry, U and R parts of a call, J and K braces, C continuation, X neither.
+FIELDS = ["kind", "pid", "name", "level", "secs", "month", "day", "at", "indent"]
+
+
+def read_lines(log: DataFrame, roles: Roles) -> DataFrame:
+    """log with the FIELDS of every line."""
+    x = F.col("raw_line")
+    first, end = F.left(x, F.lit(1)), F.regexp_replace(x, r"[ \t\r]++$", "")
+    blank = x.isNull() | (F.length(F.btrim(x)) == 0)
+    outer = blank | first.isin("{", "}", " ", "\t")
+    key_led = x.rlike("^" + _NAME + "=")
+    member = r'^([ \t]+)"(kind|timestamp)"\s*:\s*("(?:[^"\\]++|\\.)*+"|-?\d+(?:\.\d+)?)(?s:.*)$'
+    step = log.select(
+        *log.columns,
+        F.when(~outer & ~key_led, F.split(_replaced(x, roles), _MARK)).alias("_h"),
+        F.when(~outer & key_led, F.regexp_extract_all(x, F.lit(_PAIRS), F.lit(0))).alias("_p"),
+        F.when(first.isin(" ", "\t") & (F.contains(x, F.lit('"kind"')) | F.contains(x, F.lit('"timestamp"'))), F.split(F.regexp_replace(x, member, _MARK.join(["$2", "$1", "$3"])), _MARK)).alias("_m"),
+        F.when((first == "{") & (F.length(F.btrim(x)) > 1), F.from_json(x, "kind string, timestamp double, _bad string", {"columnNameOfCorruptRecord": "_bad"})).alias("_j"),
+        F.when(~blank & first.isin("{", "}"), end).alias("_brace"),
+    )
+    h, p, m, j = F.col("_h"), F.col("_p"), F.col("_m"), F.col("_j")
+    stamped = F.filter(p, lambda v: v.rlike(rf'="?{STAMPS["iso"]}"?$'))
+    headed = F.size(h) == 6
+    step = step.select(
+        *log.columns, "_brace", "_j",
+        F.when(F.size(m) == 3, m).alias("_m"),
+        F.when(headed, h[0]).when(p.isNotNull(), "iso").alias("_stamp_kind"),
+        F.when(headed, h[1]).alias("_form"),
+        F.when(headed & (h[1] != "line"), h[2]).alias("pid"),
+        F.when(headed, h[3]).otherwise(F.coalesce(*[_value(p, k) for k in roles.time_keys[:1]], F.regexp_extract(F.get(stamped, F.lit(0)), r'(?s)^[^=]*="?(.*?)"?$', 1))).alias("_stamp"),
+        F.when(headed, h[4]).when(p.isNotNull(), _first_of(p, roles.level_keys, _KEYS["level"])).alias("_level"),
+        F.when(headed, h[5]).when(p.isNotNull(), _first_of(p, roles.name_keys, _KEYS["name"])).alias("_name"),
+    )
+    s, k = F.col("_stamp"), F.col("_stamp_kind")
+    j, m = F.col("_j"), F.col("_m")
+    inner = lambda kind: m[0] == kind
+    step = step.select(
+        *log.columns, "pid", "_form", "_brace", "_j", "_m", "_name", "_stamp_kind", "_level",
+        F.when(k == "iso", _epoch(s)).when(inner("timestamp") & ~F.startswith(m[2], F.lit('"')), F.floor(m[2].try_cast("double")).cast("bigint")).when(j.isNotNull(), F.floor("_j.timestamp").cast("bigint")).alias("at"),
+        F.when(k == "sys", _clock(s, -8)).when(k == "glog", _clock(s, 7)).when(k == "clock", _clock(s, 1)).alias("secs"),
+        F.when(k == "sys", F.floor((F.expr(f"instr('{''.join(_MONTHS)}', left(_stamp, 3))") + 2) / 3)).when(k == "glog", F.substring(s, 2, 2)).cast("int").alias("month"),
+        F.when(k == "sys", F.btrim(F.substring(s, 5, 2))).when(k == "glog", F.substring(s, 4, 2)).cast("int").alias("day"),
+        F.left(s, F.lit(1)).alias("_letter"),
+    )
+    record = F.col("_j._bad").isNull() & F.col("_j.kind").isNotNull() & x.rlike(r'"kind"\s*:\s*"')
+    call, done = F.col("_form") == "call", F.contains(x, F.lit(") = ")) | x.rlike(r"\) = \?[ \t\r]*$")
+    entry = F.col("_stamp_kind").isNotNull() & F.col("_name").isNotNull() & ((F.col("_stamp_kind") != "iso") | F.col("at").isNotNull())
+    kind = (
+        F.when(blank, "X")
+        .when(F.col("_brace") == "{", "J")
+        .when(F.col("_brace") == "}", "K")
+        .when(j.isNotNull(), F.when(record, "E").otherwise("X"))
+        .when(first.isin(" ", "\t"), "C")
+        .when(entry & (F.col("_form") == "rest"), "R")
+        .when(entry & call, F.when(x.rlike(r"<unfinished \.\.\.>[ \t\r]*$"), "U").when(done, "E").otherwise("X"))
+        .when(entry, "E")
+        .when(F.col("_stamp_kind").isNotNull() & F.col("_form").isNotNull(), "X")
+        .when(x.rlike(_CONTINUED), "C")
+        .otherwise("X")
+    )
+    name = F.when(inner("kind") & F.startswith(m[2], F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), m[2], F.lit("}")), "$.v")).when(j.isNotNull(), F.col("_j.kind"))
+    name = name.when(F.col("_stamp_kind") == "glog", F.regexp_replace("_name", r"\.[A-Za-z0-9]{1,4}$", "")).otherwise(F.col("_name"))
+    level = F.when(F.col("_stamp_kind") == "glog", _level(F.col("_letter"))).when(F.col("_level").isNotNull(), _level(F.col("_level"))).otherwise("")
+    return step.select(*log.columns, kind.alias("kind"), "pid", name.alias("name"), level.alias("level"), "secs", "month", "day", "at", F.length(m[1]).alias("indent"))
 
 
 def _dated(started: Column, secs: Column, month: Column, day: Column) -> Column:
@@ -322,38 +309,68 @@ def _utc_text(seconds: Column) -> Column:
     return (F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).cast("string")
 
 
-def parsed_lines(log: DataFrame) -> DataFrame:
-    """Every line with its kind and fields, written once."""
-    lines = cut(latest(log.select(F.col("run_id").cast("bigint").alias("run_id"), F.col("line_no").cast("int").alias("line_no"), "raw_line", "loaded_at"), ["run_id", "line_no"], "raw_line"))
-    spread = fan_out(lines)
-    return cut(spread.mapInPandas(_reader(dictionaries(spread)), LINES))
+def _lines(log: DataFrame) -> DataFrame:
+    keyed = log.select(F.col("run_id").cast("bigint").alias("run_id"), F.col("line_no").cast("int").alias("line_no"), "raw_line", "loaded_at")
+    return keyed.filter(F.col("run_id").isNotNull() & F.col("line_no").isNotNull())
 
 
-def entries(log: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, start_line, end_line, entry_ts, log_level, component): one row per log entry."""
-    p = parsed_lines(log)
-    headed = last_before(p, ["run_id"], "line_no", F.when(~F.col("kind").isin("C", "K"), F.col("line_no")), "head", inclusive=True, written=True)
+_HELD = ["kind", "pid", "name", "level", "secs", "month", "day", "at"]
+
+
+def _groups(log: DataFrame, roles: Roles) -> DataFrame:
+    """One row per line that is no continuation, with what the lines that follow it directly add, written once.
+
+    Lines are ordered within stretches of CHUNK line numbers, so a run of any length is shared among tasks.
+    """
+    read = read_lines(_lines(log), roles)
+    best = read.groupBy("run_id", "line_no").agg(F.max(F.struct("loaded_at", F.xxhash64("raw_line").alias("tie"), *FIELDS)).alias("r"))
+    p = best.select("run_id", "line_no", F.floor(F.col("line_no") / CHUNK).alias("stretch"), *[F.col(f"r.{c}").alias(c) for c in FIELDS])
+    along = Window.partitionBy("run_id", "stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("head", F.last(F.when(~F.col("kind").isin("C", "K"), F.col("line_no")), ignorenulls=True).over(along))
     own = F.col("line_no") == F.col("head")
-    pick = lambda c: F.max(F.when(own, F.col(c))).alias(c)
-    groups = headed.filter(F.col("head").isNotNull()).groupBy("run_id", "head").agg(
-        pick("kind"), pick("name"), pick("level"), pick("secs"), pick("month"), pick("day"), pick("at"),
-        F.max(F.when(F.col("kind") != "K", F.col("line_no"))).alias("last"),
-        F.min(F.when(F.col("kind") == "K", F.col("line_no"))).alias("closed"),
-        F.min(F.when(~own & F.col("name").isNotNull(), F.struct("indent", "line_no", "name"))).alias("inner_kind"),
-        F.min(F.when(~own & F.col("at").isNotNull(), F.struct("indent", "line_no", "at"))).alias("inner_at"),
+    return cut(
+        p.groupBy("run_id", "stretch", "head").agg(
+            *[F.max(F.when(own, F.col(c))).alias(c) for c in _HELD],
+            F.max(F.when(F.col("kind") != "K", F.col("line_no"))).alias("last"),
+            F.min(F.when(F.col("kind") == "K", F.col("line_no"))).alias("closed"),
+            F.min(F.when(~F.coalesce(own, F.lit(False)) & F.col("name").isNotNull(), F.struct("indent", "line_no", "name"))).alias("inner_kind"),
+            F.min(F.when(~F.coalesce(own, F.lit(False)) & F.col("at").isNotNull(), F.struct("indent", "line_no", "at"))).alias("inner_at"),
+        )
+    )
+
+
+def _joined_up(groups: DataFrame) -> DataFrame:
+    """Groups with the lines before the first head of later stretches added to the group they continue: a row per stretch is moved."""
+    heads = groups.groupBy("run_id", "stretch").agg(F.max("head").alias("top"))
+    before = Window.partitionBy("run_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    owner = heads.withColumn("head", F.last("top", ignorenulls=True).over(before)).select("run_id", "stretch", F.col("head").alias("owner"))
+    more = groups.filter("head IS NULL").join(owner, ["run_id", "stretch"]).filter("owner IS NOT NULL").groupBy("run_id", F.col("owner").alias("head")).agg(
+        F.max("last").alias("last_"), F.min("closed").alias("closed_"), F.min("inner_kind").alias("kind_"), F.min("inner_at").alias("at_")
+    )
+    j = groups.filter("head IS NOT NULL").join(more, ["run_id", "head"], "left")
+    return j.select(
+        "run_id", "head", *_HELD, F.greatest("last", "last_").alias("last"), F.least("closed", "closed_").alias("closed"),
+        F.least("inner_kind", "kind_").alias("inner_kind"), F.least("inner_at", "at_").alias("inner_at"),
     )
-    plain = groups.filter("kind = 'E'").select("run_id", F.col("head").alias("start_line"), F.when(F.col("closed") < F.col("last"), F.col("head")).otherwise(F.col("last")).alias("end_line"), "name", "level", "secs", "month", "day", "at")
-    blocks = groups.filter("kind = 'J' AND closed IS NOT NULL AND inner_kind IS NOT NULL").select(
+
+
+def entries(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, start_line, end_line, entry_ts, log_level, component): one row per log entry."""
+    roles = learned(dictionary(shapes(_lines(log))))
+    written = _groups(log, roles)
+    g = _joined_up(written)
+    plain = g.filter("kind = 'E'").select("run_id", F.col("head").alias("start_line"), F.when(F.col("closed") < F.col("last"), F.col("head")).otherwise(F.col("last")).alias("end_line"), "name", "level", "secs", "month", "day", "at")
+    blocks = g.filter("kind = 'J' AND closed IS NOT NULL AND inner_kind IS NOT NULL").select(
         "run_id", F.col("head").alias("start_line"), F.col("closed").alias("end_line"), F.col("inner_kind.name").alias("name"), F.lit("").alias("level"), "secs", "month", "day", F.col("inner_at.at").alias("at")
     )
-    calls = p.filter("pid IS NOT NULL").select("run_id", "line_no", "kind", "pid", "name", "secs", "month", "day", "at")
-    parts = last_before(calls, ["run_id", "pid"], "line_no", F.struct("kind", "name", "line_no", "secs", "month", "day", "at"), "before", inclusive=False, written=True)
+    calls = written.filter("pid IS NOT NULL AND head IS NOT NULL").select("run_id", F.col("head").alias("line_no"), "kind", "pid", "name", "secs", "month", "day", "at")
+    parts = last_before(calls, ["run_id", "pid"], "line_no", F.struct("kind", "name", "line_no", "secs", "month", "day", "at"), "before", inclusive=False)
     paired = parts.filter("kind = 'R' AND before.kind = 'U' AND before.name = name").select(
         "run_id", F.col("before.line_no").alias("start_line"), F.col("line_no").alias("end_line"), "name", F.lit("").alias("level"), "before.secs", "before.month", "before.day", "before.at"
     )
     found = plain.unionByName(blocks).unionByName(paired)
-    started = latest(runs.select(F.col("run_id").cast("bigint").alias("run_id"), "started_at", "loaded_at") if "loaded_at" in runs.columns else runs.select(F.col("run_id").cast("bigint").alias("run_id"), "started_at", F.lit(0).alias("loaded_at")), ["run_id"], "started_at")
-    slots = found.withColumn("slot", F.floor(F.col("start_line") / 8192))
+    started = latest(runs.select(F.col("run_id").cast("bigint").alias("run_id"), "started_at", F.col("loaded_at") if "loaded_at" in runs.columns else F.lit(0).alias("loaded_at")), ["run_id"], "started_at")
+    slots = found.withColumn("slot", F.floor(F.col("start_line") / CHUNK))
     # One row per run and stretch of lines, so that a run with very many entries joins in many tasks.
     dates = slots.select("run_id", "slot").distinct().join(started, "run_id", "left")
     dated = slots.join(dates, ["run_id", "slot"], "left")
@@ -361,17 +378,36 @@ def entries(log: DataFrame, runs: DataFrame) -> DataFrame:
     return dated.select("run_id", "start_line", "end_line", _utc_text(when).alias("entry_ts"), F.col("level").alias("log_level"), F.col("name").alias("component"))
 
 
+def constant_words(grams: DataFrame) -> DataFrame:
+    """(layout, a, t, b, constant): whether the word t is constant between a and b."""
+    keys = ["layout", "a", "t", "b"]
+    between = grams.groupBy("layout", "a", "b").agg(F.sum("n").alias("between"))
+    pairs = grams.groupBy("layout", "a", "t").agg(F.sum("n").alias("pair"))
+    after = pairs.groupBy("layout", "a").agg(F.sum("pair").alias("after"))
+    j = grams.filter("word").join(between, ["layout", "a", "b"]).join(pairs, ["layout", "a", "t"]).join(after, ["layout", "a"])
+    constant = F.when(F.col("between") >= SELDOM, F.col("n") >= FILL * F.col("between")).otherwise(F.col("pair") >= FILL * F.col("after"))
+    return j.select(*keys, constant.alias("constant"))
+
+
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for shape, n in zip(batch["shape"], batch["n"]):
+            tokens = lex(shape)
+            layout, symbols = layout_of(tokens), ["^", *[s for s, _ in tokens], "$"]
+            rows += [(shape, n, layout, k, symbols[k], symbols[k + 1], symbols[k + 2], symbols[k + 1][0] != "<" and kind == "word") for k, (_, kind) in enumerate(tokens)]
+        yield pd.DataFrame(rows, columns=["shape", "n", "layout", "place", "a", "t", "b", "word"])
+
+
 def templates(log: DataFrame) -> DataFrame:
-    """(template, lines): the distinct templates with how many lines have each."""
-    lines = fan_out(cut(latest(log.select("run_id", "line_no", "raw_line", "loaded_at"), ["run_id", "line_no"], "raw_line")))
-    known = dictionaries(lines)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for x, n in Counter(batch["raw_line"]).items():
-                if x:
-                    seen[template(x, known)] += n
-            yield pd.DataFrame(list(seen.items()), columns=["template", "lines"])
-
-    return lines.select("raw_line").mapInPandas(run, "template string, lines bigint").groupBy("template").agg(F.sum("lines").alias("lines"))
+    """(template, lines): the distinct templates, variable words as <*>, with how many lines have each."""
+    last = latest(_lines(log), ["run_id", "line_no"], "raw_line")
+    counted = cut(shapes(last).withColumn("id", F.xxhash64("shape")))
+    grams = cut(dictionary(counted))
+    spread = counted.repartition(counted.sparkSession.sparkContext.defaultParallelism)
+    tokens = spread.mapInPandas(_tokens, "shape string, n bigint, layout string, place int, a string, t string, b string, word boolean")
+    tokens = tokens.select(F.xxhash64("shape").alias("id"), "n", "layout", "place", "a", "t", "b", "word")
+    told = tokens.join(constant_words(grams), ["layout", "a", "t", "b"], "left")
+    shown = told.select("id", "n", "place", F.when(F.col("word") & ~F.coalesce("constant", F.lit(False)), "<*>").otherwise(F.col("t")).alias("t"))
+    whole = shown.groupBy("id", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda p: p["t"]), " ").alias("template"))
+    return whole.groupBy("template").agg(F.sum("n").alias("lines"))
