@@ -177,13 +177,18 @@ def _any_header(kind: str) -> str:
     return rf"^\[?\s*({STAMPS[kind]})(?:{_FAR}({_LEVEL}))?{_FAR}({_NAME})\s*[:)\]\[](?s:.*)$"
 
 
+#: How a traced call is read where no slot for calls is constant.
+_CALL_BY_TYPE = ("<num> <clock>", "<clock>", "(")
+
+
 def _replaced(x: Column, roles: Roles) -> Column:
     """Stamp's kind, form, process, stamp, level and name of a headed line, joined by marks; other lines stay as they are.
 
     Each pattern starts at the line's start and spans the line, so what one has replaced no later one matches.
     """
     out = x
-    for layout, before, after in roles.slots:
+    traced = () if any(s[2] == "(" and s[0].startswith("<num>") for s in roles.slots) else (_CALL_BY_TYPE,)
+    for layout, before, after in (*roles.slots, *traced):
         call = after == "(" and layout.startswith("<num>")
         out = F.regexp_replace(out, _header(layout, before, after), _MARK.join([layout.split(" ")[-1][1:-1], "call" if call else "line", "$1", "$2", "$3", "$4"]))
         if call:
@@ -314,29 +319,36 @@ def _lines(log: DataFrame) -> DataFrame:
     return keyed.filter(F.col("run_id").isNotNull() & F.col("line_no").isNotNull())
 
 
-_HELD = ["kind", "pid", "name", "level", "secs", "month", "day", "at"]
+_HELD = ("kind", "pid", "name", "level", "at")
 
 
-def _groups(log: DataFrame, roles: Roles) -> DataFrame:
-    """One row per line that is no continuation, with what the lines that follow it directly add, written once.
+def _groups(log: DataFrame, runs: DataFrame, roles: Roles) -> DataFrame:
+    """One row per line that is no continuation, with its time and what the lines that follow it directly add, written once.
 
-    Lines are ordered within stretches of CHUNK line numbers, so a run of any length is shared among tasks.
+    Lines are ordered within stretches of CHUNK line numbers, so a run of any length is shared among tasks; the run's
+    start is joined to each stretch.
     """
-    read = read_lines(_lines(log), roles)
+    lines = _lines(log).withColumn("stretch", F.floor(F.col("line_no") / CHUNK))
+    started = latest(runs.select(F.col("run_id").cast("bigint").alias("run_id"), "started_at", F.col("loaded_at") if "loaded_at" in runs.columns else F.lit(0).alias("loaded_at")), ["run_id"], "started_at")
+    dates = lines.select("run_id", "stretch").distinct().join(started, "run_id", "left")
+    read = read_lines(lines.drop("stretch"), roles)
     best = read.groupBy("run_id", "line_no").agg(F.max(F.struct("loaded_at", F.xxhash64("raw_line").alias("tie"), *FIELDS)).alias("r"))
     p = best.select("run_id", "line_no", F.floor(F.col("line_no") / CHUNK).alias("stretch"), *[F.col(f"r.{c}").alias(c) for c in FIELDS])
+    p = p.join(dates.hint("shuffle_hash"), ["run_id", "stretch"], "left")
     along = Window.partitionBy("run_id", "stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("head", F.last(F.when(~F.col("kind").isin("C", "K"), F.col("line_no")), ignorenulls=True).over(along))
     own = F.col("line_no") == F.col("head")
-    return cut(
-        p.groupBy("run_id", "stretch", "head").agg(
-            *[F.max(F.when(own, F.col(c))).alias(c) for c in _HELD],
-            F.max(F.when(F.col("kind") != "K", F.col("line_no"))).alias("last"),
-            F.min(F.when(F.col("kind") == "K", F.col("line_no"))).alias("closed"),
-            F.min(F.when(~F.coalesce(own, F.lit(False)) & F.col("name").isNotNull(), F.struct("indent", "line_no", "name"))).alias("inner_kind"),
-            F.min(F.when(~F.coalesce(own, F.lit(False)) & F.col("at").isNotNull(), F.struct("indent", "line_no", "at"))).alias("inner_at"),
-        )
+    follows = ~F.coalesce(own, F.lit(False))
+    g = p.groupBy("run_id", "stretch", "head").agg(
+        F.max(F.when(own, F.struct(*_HELD, "secs", "month", "day", "started_at"))).alias("own"),
+        F.max(F.when(F.col("kind") != "K", F.col("line_no"))).alias("last"),
+        F.min(F.when(F.col("kind") == "K", F.col("line_no"))).alias("closed"),
+        F.min(F.when(follows & F.col("name").isNotNull(), F.struct("indent", "line_no", "name"))).alias("inner_kind"),
+        F.min(F.when(follows & F.col("at").isNotNull(), F.struct("indent", "line_no", "at"))).alias("inner_at"),
     )
+    flat = g.select("run_id", "stretch", "head", "own.*", "last", "closed", "inner_kind", "inner_at")
+    at = F.coalesce("at", _dated(F.col("started_at"), F.col("secs"), F.col("month"), F.col("day")))
+    return cut(flat.withColumn("at", at).drop("secs", "month", "day", "started_at"))
 
 
 def _joined_up(groups: DataFrame) -> DataFrame:
@@ -356,26 +368,20 @@ def _joined_up(groups: DataFrame) -> DataFrame:
 
 def entries(log: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, start_line, end_line, entry_ts, log_level, component): one row per log entry."""
-    roles = learned(dictionary(shapes(_lines(log))))
-    written = _groups(log, roles)
-    g = _joined_up(written)
-    plain = g.filter("kind = 'E'").select("run_id", F.col("head").alias("start_line"), F.when(F.col("closed") < F.col("last"), F.col("head")).otherwise(F.col("last")).alias("end_line"), "name", "level", "secs", "month", "day", "at")
-    blocks = g.filter("kind = 'J' AND closed IS NOT NULL AND inner_kind IS NOT NULL").select(
-        "run_id", F.col("head").alias("start_line"), F.col("closed").alias("end_line"), F.col("inner_kind.name").alias("name"), F.lit("").alias("level"), "secs", "month", "day", F.col("inner_at.at").alias("at")
-    )
-    calls = written.filter("pid IS NOT NULL AND head IS NOT NULL").select("run_id", F.col("head").alias("line_no"), "kind", "pid", "name", "secs", "month", "day", "at")
-    parts = last_before(calls, ["run_id", "pid"], "line_no", F.struct("kind", "name", "line_no", "secs", "month", "day", "at"), "before", inclusive=False)
+    roles = learned(cut(dictionary(shapes(_lines(log)))))
+    written = _groups(log, runs, roles)
+    g = _joined_up(written).filter("kind = 'E' OR (kind = 'J' AND closed IS NOT NULL AND inner_kind IS NOT NULL)")
+    block = F.col("kind") == "J"
+    whole = g.select(
+        "run_id", F.col("head").alias("start_line"), F.when(block, F.col("closed")).when(F.col("closed") < F.col("last"), F.col("head")).otherwise(F.col("last")).alias("end_line"),
+        F.when(block, F.col("inner_at.at")).otherwise(F.col("at")).alias("at"), F.when(block, "").otherwise(F.col("level")).alias("level"), F.when(block, F.col("inner_kind.name")).otherwise(F.col("name")).alias("name"),
+    )
+    calls = written.filter("pid IS NOT NULL AND head IS NOT NULL").select("run_id", F.col("head").alias("line_no"), "kind", "pid", "name", "at")
+    parts = last_before(calls, ["run_id", "pid"], "line_no", F.struct("kind", "name", "line_no", "at"), "before", inclusive=False)
     paired = parts.filter("kind = 'R' AND before.kind = 'U' AND before.name = name").select(
-        "run_id", F.col("before.line_no").alias("start_line"), F.col("line_no").alias("end_line"), "name", F.lit("").alias("level"), "before.secs", "before.month", "before.day", "before.at"
+        "run_id", F.col("before.line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.col("before.at").alias("at"), F.lit("").alias("level"), "name"
     )
-    found = plain.unionByName(blocks).unionByName(paired)
-    started = latest(runs.select(F.col("run_id").cast("bigint").alias("run_id"), "started_at", F.col("loaded_at") if "loaded_at" in runs.columns else F.lit(0).alias("loaded_at")), ["run_id"], "started_at")
-    slots = found.withColumn("slot", F.floor(F.col("start_line") / CHUNK))
-    # One row per run and stretch of lines, so that a run with very many entries joins in many tasks.
-    dates = slots.select("run_id", "slot").distinct().join(started, "run_id", "left")
-    dated = slots.join(dates, ["run_id", "slot"], "left")
-    when = F.coalesce("at", _dated(F.col("started_at"), F.col("secs"), F.col("month"), F.col("day")))
-    return dated.select("run_id", "start_line", "end_line", _utc_text(when).alias("entry_ts"), F.col("level").alias("log_level"), F.col("name").alias("component"))
+    return whole.unionByName(paired).select("run_id", "start_line", "end_line", _utc_text(F.col("at")).alias("entry_ts"), F.col("level").alias("log_level"), F.col("name").alias("component"))
 
 
 def constant_words(grams: DataFrame) -> DataFrame:

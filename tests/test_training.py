@@ -17,7 +17,7 @@ def test_last_before_equals_a_walk(spark):
     r = random.Random(3)
     rows = [(k, n, r.choice([None, None, n * 10])) for k in (1, 2) for n in sorted(r.sample(range(200), 60))]
     for inclusive, chunk in ((True, 16), (False, 16), (True, 999), (False, 999)):
-        got = {(x.k, x.n): x.got for x in last_before(spark.createDataFrame(rows, "k int, n int, v int"), ["k"], "n", F.col("v"), "got", inclusive, chunk, written=chunk > 99).collect()}
+        got = {(x.k, x.n): x.got for x in last_before(spark.createDataFrame(rows, "k int, n int, v int"), ["k"], "n", F.col("v"), "got", inclusive, chunk).collect()}
         for k in (1, 2):
             seen = None
             for _, n, v in [x for x in rows if x[0] == k]:
@@ -178,10 +178,43 @@ def test_log_entries(spark):
     assert log_fields.templates(log).filter("template like '%dnsmasq%'").count() == 2
 
 
-def test_rare_and_long_headers_need_no_frequent_ngrams():
-    many = " ".join(f"k{i}=v{i}" for i in range(12))
-    rare = ["2026-05-13 16:41:42 WARN zork: a", "ts=2026-05-13T16:42:01Z severity=warn logger=zork msg=x", f"{many} ts=2026-05-13T16:42:01Z level=warn component=zork", f"ts=2026-05-13T16:42:01Z level=warn component=zork {many} name=other level=info"]
-    for line in rare:
-        got = log_fields.read_line(line, set(), {})
-        assert (got[0], got[2], got[3]) == ("E", "zork", "warn"), line
-    assert log_fields.read_line("a=b c=d", set(), {})[0] == "X"
+LOGGED = "run_id bigint, line_no int, raw_line string, loaded_at timestamp, skill_name string"
+RUNS = "run_id bigint, started_at timestamp_ntz"
+
+
+def entries_of(spark, lines, runs=()):
+    log = spark.createDataFrame([(1, k, x, T0, "s") for k, x in enumerate(lines, 1)], LOGGED)
+    return sorted(tuple(x)[1:] for x in log_fields.entries(log, spark.createDataFrame(list(runs), RUNS)).collect())
+
+
+def test_rare_programs_are_read_by_type(spark):
+    common = [f"2026-05-13 16:41:{k:02d} INFO main.loop: step {k}" for k in range(50)]
+    many = " ".join(f"k{i}=v{i}" for i in range(40))
+    rare = ["2026-05-13 16:42:42 zork[17] said nothing", f"{many} ts=2026-05-13T16:42:43Z level=warn component=zork", "ts=2026-05-13T16:42:44Z severity=warn logger=zork msg=x", "Feb  3 01:02:03 zork: a"]
+    got = entries_of(spark, common + rare, [(1, datetime(2026, 2, 3, 1, 0, 0))])
+    assert [x[2:] for x in got][50:] == [("2026-05-13 16:42:42", "", "zork"), ("2026-05-13 16:42:43", "warn", "zork"), ("2026-05-13 16:42:44", "warn", "zork"), ("2026-02-03 01:02:03", "", "zork")]
+
+
+def test_the_dictionary_decides(spark):
+    calls = [f"{k}    16:41:43.{k:06d} read(3, \"x\", {k}) = 1" for k in range(1, 20)] + ["20    16:41:44.0 --- SIGCHLD {si_signo=SIGCHLD} ---"]
+    log = spark.createDataFrame([(1, k, x, T0, "s") for k, x in enumerate(calls, 1)], LOGGED)
+    roles = log_fields.learned(log_fields.dictionary(log_fields.shapes(log)))
+    assert roles.slots == (("<num> <clock>", "<clock>", "("),)
+    kinds = lambda r: [x.kind for x in log_fields.read_lines(log, r).orderBy("line_no").collect()]
+    assert kinds(roles) == ["E"] * 19 + ["X"]
+    assert kinds(log_fields.Roles((*roles.slots, ("<num> <clock>", "-", "{")), (), (), ()))[-1] == "E"
+
+
+def test_templates_mask_what_varies(spark):
+    names = ["alpha", "beta", "gamma", "delta", "omega", "zeta"]
+    lines = [f"2026-05-13 16:41:00 INFO {n}.{n}: lookup of {m} took {k}ms" for k, n in enumerate(names) for m in names]
+    log = spark.createDataFrame([(1, k, x, T0, "s") for k, x in enumerate(lines, 1)], LOGGED)
+    assert [tuple(x) for x in log_fields.templates(log).collect()] == [("<iso> <level> <*> : lookup of <*> took <num>", 36)]
+
+
+def test_stretches_are_joined_up(spark, monkeypatch):
+    monkeypatch.setattr(log_fields, "CHUNK", 4)
+    lines = ["2026-05-13 16:41:40 INFO a.b: x", *["  more"] * 9, "{", '  "kind": "http_request",', '  "timestamp": 1778690506.2', *["  \"k\": 1,"] * 6, "}", "7    16:41:41.0 read(3, <unfinished ...>", *["8    16:41:42.0 stat(1) = 0"] * 9, "7    16:41:43.0 <... read resumed>) = 1"]
+    got = entries_of(spark, lines, [(1, datetime(2026, 5, 13, 16, 41, 0))])
+    assert got[:3] == [(1, 10, "2026-05-13 16:41:40", "info", "a.b"), (11, 20, "2026-05-13 16:41:46", "", "http_request"), (21, 31, "2026-05-13 16:41:41", "", "read")]
+    assert len(got) == 12
