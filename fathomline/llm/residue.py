@@ -1,11 +1,11 @@
 """Problem 3: template residue, filler, error pages and please-enable-scripts notices.
 
-Texts are cut into messages (lines outside code). Numbers, addresses and dates are
-masked, messages are classified by phrase and placeholder rules, and equal normalised
-messages are grouped by hash across all skills and reports: a message that is only
-likely residue (a bare status phrase, say) counts once it recurs across sources.
-Rules read the masked message alone, so they run before the grouping and only what
-they flag is shuffled.
+Texts are cut into messages (lines outside code; of long lines also the sentences and
+elements). Numbers, addresses and dates are masked, and equal normalised messages are
+grouped by hash with the number of sources (skills and reports) they stand in. Each
+distinct message is classified once, by phrase and placeholder rules, a message that is
+only likely residue (a bare status phrase, say) only if it recurs across sources. What is
+classified as residue is joined back to its sources by hash.
 
 Defined results: null, empty or merely short texts are no cases; anything in fenced or
 inline code is left out, as is quoted speech; repeated rows of a key count once, the one
@@ -16,14 +16,14 @@ element; extra columns are not carried.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.runtime import cut, latest
 
-#: Sources in which a likely message must stand to count.
-RECURRENCE = 2
-
 # Reason phrases of HTTP, filler vocabulary, words for scripts.
 REASONS = (
     "Bad Request|Unauthori[sz]ed|Payment Required|Forbidden|Not Found|Method Not Allowed|Not Acceptable|Request Time-?out|Conflict|Gone|"
@@ -104,8 +104,6 @@ ERROR_LINE = "|".join(
         r"^\W*(?:just a moment\W*|checking your browser\b.{0,60}|verify (?:that )?you are (?:a )?human\b.{0,80}|please wait while we (?:verify|check)\b.{0,60})$",
     )
 )
-#: What any error line holds.
-ERROR_HINT = r"(?iu)[45]\d\d|error|ошибка|wrong|found|find|denied|permission|expired|unavailable|removed|deleted|limit|moment|checking|human|wait|unexpected|<h|<center|not exist"
 #: Notices that scripts are needed: a line about scripts, a need and a page at once.
 _NEED = r"(?:enabled?|enabling|disabled|turn(?:ed)?[\w ]{0,6} (?:on|off)|switch(?:ed)?[\w ]{0,6} (?:on|off)|activ\w*|aktivier\w*|need(?:s|ed)?|requires?|required|support|besoin|necesita|requiere|precisa|richiede|vereist|нужен|включите)"
 _PAGE = r"(?:this (?:page|site|app|application|website|content|check)|your browser|this app\b|to continue|to view|to run|the page|diese seite|ce site|cette page|esta p[áa]gina|questa pagina|deze pagina|if nothing happens|страниц\w*)"
@@ -124,95 +122,134 @@ _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u00a0\u2007\u2009\u20
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "     "
 
 
-def plain(text: Column) -> Column:
-    """Full-width forms as ordinary ones, without invisible characters, lines ended by LF."""
-    one = F.translate(F.regexp_replace(text, "\r\n?", "\n"), _WIDE + _ZERO_WIDTH, _NARROW)
-    return one
+def _steps(rows: DataFrame, column: str, *steps: tuple[Callable[[Column], Column], Callable[[Column], Column]]) -> DataFrame:
+    """rows with each (needs, change) applied to column in turn where needs holds."""
+    c = F.col(column)
+    for needs, change in steps:
+        rows = rows.withColumn(column, F.when(needs(c), change(c)).otherwise(c))
+    return rows
 
 
-def outside_code(text: Column) -> Column:
-    """Text without fenced blocks, inline code and quoted speech."""
-    fences = F.regexp_replace(text, r"(?sm)^[ \t>]*(?:```|~~~).*?(?:^[ \t>]*(?:```|~~~)[ \t]*$|\z)", "\n")
-    return F.regexp_replace(fences, r"(`+)[^`\n]+\1", " ")
+def _has(*words: str) -> Callable[[Column], Column]:
+    """Whether one of the words stands in a text: a plain search, far cheaper than a pattern."""
+    return lambda c: reduce(lambda x, y: x | y, [F.contains(c, F.lit(w)) for w in words])
 
 
-def masked(line: Column) -> Column:
-    """A message with numbers, addresses, dates and ids masked; status codes stay, since rules read them."""
-    def where(needs: str, c: Column, pattern: str, mark: str) -> Column:
-        # The one-element transform binds c, which would else be evaluated at every use.
-        return F.transform(F.array(c), lambda v: F.when(v.rlike(needs), F.regexp_replace(v, pattern, mark)).otherwise(v))[0]
+def _gone(pattern: str, mark: str) -> Callable[[Column], Column]:
+    return lambda c: F.regexp_replace(c, pattern, mark)
 
-    out = where("://", line, r"(?i)\b(?:https?|ftp)://[^\s{}<>\[\]\"']+", "\u27e8url\u27e9")
-    out = where("@", out, r"[\w.+-]+@[\w-]+\.[\w.-]+", "\u27e8mail\u27e9")
-    out = where(r"\d{4}-\d", out, r"\b\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?", "\u27e8date\u27e9")
-    out = where(r"(?i)\d[a-f]|[a-f]\d", out, r"(?i)\b(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{6,}\b", "\u27e8id\u27e9")
-    out = where(r"\d", out, r"\b(?![45]\d\d\b)\d+(?:\.\d+)*\b", "0")
-    return F.btrim(where(r"\s\s|[^\S ]", out, r"\s+", " "))
+
+#: Full-width forms as ordinary ones, without invisible characters, lines ended by LF.
+PLAIN = (
+    (_has("\r"), _gone("\r\n?", "\n")),
+    (lambda c: c.rlike(r"[^\x00-\x7f]"), lambda c: F.translate(c, _WIDE + _ZERO_WIDTH, _NARROW)),
+)
+#: Without fenced blocks and inline code.
+NO_CODE = (
+    (_has("```", "~~~"), _gone(r"(?sm)^[ \t>]*(?:```|~~~).*?(?:^[ \t>]*(?:```|~~~)[ \t]*$|\z)", "\n")),
+    (_has("`"), _gone(r"(`+)[^`\n]+\1", " ")),
+)
+#: Numbers, addresses, dates and ids masked; status codes stay, since rules read them.
+MASKS = (
+    (_has("://"), _gone(r"(?i)\b(?:https?|ftp)://[^\s{}<>\[\]\"']+", "\u27e8url\u27e9")),
+    (_has("@"), _gone(r"[\w.+-]+@[\w-]+\.[\w.-]+", "\u27e8mail\u27e9")),
+    (lambda c: c.rlike(r"\d{4}-\d"), _gone(r"\b\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?", "\u27e8date\u27e9")),
+    (lambda c: c.rlike(r"\d[A-Fa-f]|[A-Fa-f]\d"), _gone(r"(?i)\b(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{6,}\b", "\u27e8id\u27e9")),
+    (lambda c: c.rlike(r"\d"), _gone(r"\b(?![45]\d\d\b)\d+(?:\.\d+)*\b", "0")),
+    (lambda c: c.rlike(r"\s\s|[^\S ]"), _gone(r"\s+", " ")),
+)
 
 
 def _quotes_out(line: Column) -> Column:
     return F.regexp_replace(line, "\"[^\"]{1,200}\"|\u201c[^\u201d]{1,200}\u201d|\u00ab[^\u00bb]{1,200}\u00bb|\u201e[^\u201c\u201d]{1,200}[\u201c\u201d]", " ")
 
 
-def verdict(line: Column, said: Column, part: Column, command: bool) -> Column:
+#: Words of which a message of each rule holds one, in lower case.
+_HINTS = {
+    "unresolved": ("object object", "invalid date", "undefined", "null", "nan", "none", "nil"),
+    "scripts": ("script", "js", "cookies"),
+    "unwritten": ("todo", "fixme", "tbd", "tba", "xxx", "to be ", "coming soon", "here", "replace this", "text", "description", "content", "asdf", "qwerty", "blah", "foo", "test", "abc", "blank", "empty", "a placeholder", "under construction"),
+    "filler": ("lorem", "dolor", "amet", "consectetur", "adipiscing", "veniam", "nostrud", "laboris", "cillum", "pariatur", "proident", "deserunt", "ullamco", "aliquip", "viverra"),
+    "error": ("error", "\u043e\u0448\u0438\u0431\u043a\u0430", "wrong", "found", "find", "denied", "permission", "expired", "unavailable", "removed", "deleted", "limit", "moment", "checking", "human", "wait", "unexpected", "<h", "<center", "not exist"),
+    "slot": ("path/to", "your_"),
+    "command slot": ("path/to", "your_", "todo", "fixme", "tbd", "changeme", "replace"),
+}
+
+
+def verdict(line: Column, low: Column, said: Column, part: Column, command: Column) -> Column:
     """The rule a masked message falls under, null if none. Each rule has a cheap necessary condition before it.
 
-    part: whether it is a part of a long line; those rules that search within a line judge the line alone.
+    low: line in lower case; part: whether it is a part of a long line; those rules that search within a line judge the line alone.
     For parts letters of any script are letters, so that a sentence that only holds a number is no status code.
     """
     whole = ~part
+    hint = lambda name: _has(*_HINTS[name])(low)
     short = F.length(line) <= 420
+    either = lambda of_command, of_prose: (command & line.rlike(of_command)) | (~command & line.rlike(of_prose))
     rule = F.when(F.length(line) == 0, F.lit(None).cast("string"))
-    slot, unresolved = (SLOT_COMMAND, UNRESOLVED_COMMAND) if command else (SLOT_PROSE, UNRESOLVED)
-    rule = rule.when(short & line.rlike(ERROR_HINT) & F.when(part, line.rlike("(?iU)" + ERROR_LINE)).otherwise(line.rlike("(?iu)" + ERROR_LINE)), "error page")
-    rule = rule.when(whole & line.rlike(r"[{<\[%@_]|YOUR|(?i)path/to|TODO|FIXME|TBD|CHANGEME|REPLACE") & line.rlike(slot), "unfilled slot")
-    rule = rule.when(whole & line.rlike(r"(?i)object Object|Invalid Date|undefined|null|NaN|None|nil\b") & line.rlike(unresolved), "unresolved value")
-    rule = rule.when((F.length(said) <= 200) & said.rlike(rf"(?iu)\b{SCRIPTS}\b") & said.rlike("(?iu)" + SCRIPT_LINE), "scripts needed")
-    if not command:
-        rule = rule.when((F.length(line) <= 140) & F.when(part, line.rlike("(?U)" + UNWRITTEN)).otherwise(line.rlike(UNWRITTEN)), "unwritten")
-        rule = rule.when(whole & said.rlike(r"(?i)\b(?:lorem|dolor|amet|consectetur|adipiscing|veniam|nostrud|laboris|cillum|pariatur|proident|deserunt|ullamco|aliquip|viverra)\b") & said.rlike(LATIN_FILLER), "filler")
+    rule = rule.when(short & (line.rlike(r"[45]\d\d") | hint("error")) & F.when(part, line.rlike("(?iU)" + ERROR_LINE)).otherwise(line.rlike("(?iu)" + ERROR_LINE)), "error page")
+    rule = rule.when(whole & (line.rlike(r"[{<\[%@_]") | F.when(command, hint("command slot")).otherwise(hint("slot"))) & either(SLOT_COMMAND, SLOT_PROSE), "unfilled slot")
+    rule = rule.when(whole & hint("unresolved") & either(UNRESOLVED_COMMAND, UNRESOLVED), "unresolved value")
+    rule = rule.when(hint("scripts") & (F.length(said) <= 200) & said.rlike(rf"(?iu)\b{SCRIPTS}\b") & said.rlike("(?iu)" + SCRIPT_LINE), "scripts needed")
+    rule = rule.when(~command & (F.length(line) <= 140) & hint("unwritten") & F.when(part, line.rlike("(?U)" + UNWRITTEN)).otherwise(line.rlike(UNWRITTEN)), "unwritten")
+    rule = rule.when(~command & whole & hint("filler") & said.rlike(r"(?i)\b(?:lorem|dolor|amet|consectetur|adipiscing|veniam|nostrud|laboris|cillum|pariatur|proident|deserunt|ullamco|aliquip|viverra)\b") & said.rlike(LATIN_FILLER), "filler")
     return rule.when(whole & (F.length(line) <= 60) & line.rlike("(?iu)" + LIKELY_LINE), "likely error page")
 
 
-def _parts(m: Column) -> Column:
+def _parts(line: Column, said: Column) -> Column:
     """The message and, if it is long, its sentences and elements; of a long JSON object the head."""
-    part = lambda p: F.struct(p.alias("line"), p.alias("said"), F.lit(True).alias("part"))
-    whole = F.array(F.struct(m["line"].alias("line"), m["said"].alias("said"), F.lit(False).alias("part")))
-    head = F.when(F.startswith(m["line"], F.lit("{")), F.array(part(F.left(m["line"], F.lit(300))))).otherwise(F.array().cast("array<struct<line:string,said:string,part:boolean>>"))
-    cut_up = F.transform(F.filter(F.transform(F.when(F.contains(m["said"], F.lit("<")), F.split(m["said"], ELEMENTS)).otherwise(F.split(m["said"], SENTENCES)), F.btrim), lambda x: x != ""), part)
-    return F.when(F.length(m["line"]) > LONG_LINE, F.concat(whole, head, cut_up)).otherwise(whole)
+    one = lambda p, q, part: F.struct(p.alias("line"), F.lower(p).alias("low"), q.alias("said"), F.lit(part).alias("part"))
+    part = lambda p: one(p, p, True)
+    head = F.when(F.startswith(line, F.lit("{")), F.array(part(F.left(line, F.lit(300))))).otherwise(F.array().cast("array<struct<line:string,low:string,said:string,part:boolean>>"))
+    cut_up = F.transform(F.filter(F.transform(F.when(F.contains(said, F.lit("<")), F.split(said, ELEMENTS)).otherwise(F.split(said, SENTENCES)), F.btrim), lambda x: x != ""), part)
+    whole = F.array(one(line, said, False))
+    return F.when(F.length(line) > LONG_LINE, F.concat(whole, head, cut_up)).otherwise(whole)
 
 
-def _lines(rows: DataFrame, kind: str, text: Column, command: bool) -> DataFrame:
-    """(record_kind, record_id, line, rule) of the flagged messages.
+def _with_said(rows: DataFrame) -> DataFrame:
+    """said: the line without quoted speech."""
+    return rows.withColumn("said", F.when(F.col("line").rlike("[\"\u201c\u201e\u00ab]"), _quotes_out(F.col("line"))).otherwise(F.col("line")))
 
-    The generators keep each message and verdict an attribute that is computed once.
-    """
-    split = F.filter(F.transform(F.split(text, r"\n"), masked), lambda x: x != "")
-    both = F.transform(split, lambda x: F.struct(x.alias("line"), F.when(x.rlike("[\"\u201c\u201e\u00ab]"), _quotes_out(x)).otherwise(x).alias("said")))
-    lines = rows.select("record_id", F.explode(F.flatten(F.transform(both, _parts))).alias("m")).select("record_id", "m.line", "m.said", "m.part")
-    rules = lines.select("record_id", "line", F.explode(F.array_compact(F.array(verdict(F.col("line"), F.col("said"), F.col("part"), command)))).alias("rule"))
-    return rules.select(F.lit(kind).alias("record_kind"), "record_id", "line", "rule")
 
+def _lines(rows: DataFrame) -> DataFrame:
+    """(record_kind, record_id, h, line) of the normalised lines of (record_kind, record_id, text): h is the hash of kind and line."""
+    split = rows.select("record_kind", "record_id", F.explode(F.array_distinct(F.split("text", r"\n"))).alias("line"))
+    masked = _steps(split.filter(F.length(F.btrim("line")) > 0), "line", *MASKS)
+    return masked.select("record_kind", "record_id", F.xxhash64("record_kind", F.btrim("line")).alias("h"), F.btrim("line").alias("line"))
 
-def flagged(skills: DataFrame, reports: DataFrame) -> DataFrame:
-    """All flagged messages of skill bodies and report invocations."""
+
+def sources(skills: DataFrame, reports: DataFrame) -> DataFrame:
+    """(record_kind, record_id, h, line): the normalised lines of every body and invocation, written once."""
     body = latest(skills.select(F.col("skill_id").cast("bigint").alias("record_id"), "body", "loaded_at"), ["record_id"], "body").filter(F.length("body") > 0)
     calls = latest(reports.select(F.col("report_id").cast("bigint").alias("record_id"), "invocations", "loaded_at"), ["record_id"], "invocations")
-    calls = calls.select("record_id", F.explode("invocations").alias("call")).filter(F.length("call") > 0)
-    return _lines(body, "skill", outside_code(plain(F.col("body"))), False).unionByName(_lines(calls, "report", plain(F.col("call")), True))
+    calls = calls.select("record_id", F.explode("invocations").alias("text")).filter(F.length("text") > 0)
+    texts = _steps(body.select("record_id", F.col("body").alias("text")), "text", *PLAIN, *NO_CODE)
+    both = texts.select(F.lit("skill").alias("record_kind"), "record_id", "text").unionByName(_steps(calls, "text", *PLAIN).select(F.lit("report").alias("record_kind"), "record_id", "text"))
+    return cut(_lines(both))
+
+
+def classified(lines: DataFrame, single: bool = False) -> DataFrame:
+    """(h, record_kind, line, rule): the distinct normalised messages that are residue, each classified once; a long one by each of its parts.
+
+    A message that is only likely residue counts where it recurs across sources; single: also where it stands in one.
+    """
+    groups = lines.groupBy("h", "record_kind", "line").agg((F.min("record_id") < F.max("record_id")).alias("recurs"))
+    # The generators keep each part and each verdict an attribute that is computed once.
+    parts = _with_said(groups).select("h", "record_kind", F.col("line").alias("message"), "recurs", F.explode(_parts(F.col("line"), F.col("said"))).alias("m"))
+    rule = verdict(F.col("m.line"), F.col("m.low"), F.col("m.said"), F.col("m.part"), F.col("record_kind") == "report")
+    judged = parts.select("h", "record_kind", "message", "recurs", F.explode(F.array_compact(F.array(rule))).alias("rule"))
+    sure = judged.filter((F.col("rule") != "likely error page") | F.col("recurs") | F.lit(single))
+    return sure.select("h", "record_kind", F.col("message").alias("line"), "rule")
 
 
 def messages(skills: DataFrame, reports: DataFrame) -> DataFrame:
-    """(message, rule, records): every flagged message with the number of records it stands in."""
-    found = flagged(skills, reports).select("record_kind", "record_id", "line", "rule").distinct()
+    """(message, rule, records): every message that is residue, or likely so, with the number of records it stands in."""
+    lines = sources(skills, reports)
+    found = lines.select("record_id", "h").join(classified(lines, single=True).distinct(), "h").select("record_kind", "record_id", "line", "rule").distinct()
     return found.groupBy(F.col("line").alias("message"), "rule").agg(F.count("*").alias("records"))
 
 
 def residue(skills: DataFrame, reports: DataFrame) -> DataFrame:
     """(record_kind, record_id) of the skills and reports to leave out."""
-    found = cut(flagged(skills, reports).select("record_kind", "record_id", "rule", F.xxhash64(F.lower("line")).alias("h")).distinct())
-    sure = found.filter("rule <> 'likely error page'").select("record_kind", "record_id")
-    likely = found.filter("rule = 'likely error page'").select("record_kind", "record_id", "h")
-    recurring = likely.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= RECURRENCE).select("h")
-    return sure.unionByName(likely.join(recurring, "h", "left_semi").select("record_kind", "record_id")).distinct()
+    lines = sources(skills, reports)
+    return lines.select("record_kind", "record_id", "h").join(classified(lines).select("h").distinct(), "h", "left_semi").select("record_kind", "record_id").distinct()
