@@ -1,25 +1,27 @@
 """Problem 5: deeply nested records into related flat tables.
 
-A deterministic bottom-up tree automaton reads each parsed payload: leaves start in a
-scalar state, an array's state is made of its elements', and an object's state follows
-from its keys and their states. The state's spelling is the node's structural variant,
-kept as a label of its row; it also tells a single header given as a pair from a map.
-The table of a node follows from its place (findings, runs, http_flows, headers,
-raw_frontmatter), not from its state: an entry of `findings` counts as a finding, with
-its place, even if it lacks the members that the state asks for. There is one typed
-table for each type, all variants together; all tables share the parent keys report_id,
-run_pos and item_pos, so children join to parents without generated ids.
+A tree automaton reads each parsed payload in two directions. Bottom-up it gives every node
+its shape: leaves their kind, arrays what their elements are, objects their members with
+those members' shapes. Top-down it gives every node its state: the state of a child follows
+from the parent's state, the member's name and the child's shape by the table ROUTES; a
+node without a route has no state and belongs to the record around it. State and shape
+together are a node's structural variant. The state routes the node to its table, the
+variant to a typed subtype table whose columns are the variant's own members; all tables
+share the supertype's keys report_id, run_pos and item_pos, so children join to their
+parents without generated ids.
 
 Defined results: a null, empty, cut-off or otherwise invalid payload gives no row; a
 payload that is a JSON text within a JSON string, or an array around a report, is
 unwrapped; a single object in place of an array has place 0; null members are absent;
-repeated names count once; of several payloads of one report the one loaded last
+repeated names count once; lone surrogates become U+FFFD; records nested deeper than the
+stack allows share the shape 'deep'; of several payloads of one report the one loaded last
 counts; other columns are not carried.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,14 +33,27 @@ from fathomline.runtime import cut, latest
 
 NODES = "report_id bigint, entity string, variant string, run_pos int, item_pos int, entry_key string, entry_value string, fields string"
 
-#: Keys that place an object in a type; the first rule that fits counts.
-RULES = (
-    ("report", frozenset({"skill_path"}), frozenset({"findings", "runs", "risk_score", "generated_at", "raw_frontmatter"})),
-    ("finding", frozenset({"category"}), frozenset({"severity", "summary", "source"})),
-    ("run", frozenset(), frozenset({"invocation", "http_flows", "timed_out"})),
-    ("flow", frozenset({"kind"}), frozenset({"host", "headers", "method", "path"})),
-    ("pair", frozenset({"name", "value"}), frozenset()),
-)
+#: Top-down steps: (state, member or '*') to (state, shapes that take it). 'items' are an array's elements in the same state, each with its place.
+ROUTES = {
+    ("report", "items"): ("report", ("object", "array", "text")),
+    ("report", "findings"): ("finding", ("object", "array", "text")),
+    ("report", "runs"): ("run", ("object", "array", "text")),
+    ("report", "raw_frontmatter"): ("frontmatter", ("object", "array", "text")),
+    ("finding", "items"): ("finding", ("object",)),
+    ("finding", "extra"): ("extra", ("object", "array", "text")),
+    ("extra", "items"): ("extra", ("object",)),
+    ("extra", "*"): ("finding_extra", ("object", "array", "text", "leaf")),
+    ("run", "items"): ("run", ("object",)),
+    ("run", "http_flows"): ("flow", ("object", "array", "text")),
+    ("flow", "items"): ("flow", ("object",)),
+    ("flow", "headers"): ("headers", ("object", "array", "text")),
+    ("headers", "items"): ("headers", ("object", "array")),
+    ("headers", "*"): ("flow_header", ("object", "array", "text", "leaf", "null")),
+    ("frontmatter", "*"): ("frontmatter", ("object", "array", "text", "leaf")),
+}
+#: States whose nodes are records with members of their own, and states that only hold others and may be a JSON text.
+RECORDS = ("report", "finding", "run", "flow")
+HOLDERS = (*RECORDS, "extra", "headers", "frontmatter")
 
 
 def _refuse(_: str) -> None:
@@ -56,22 +71,17 @@ def parse(text: object) -> object:
 
 
 @lru_cache(50_000)
-def object_state(keys: tuple[tuple[str, str], ...]) -> str:
-    """The automaton's step for an object: its type and, for records, which members have which kind."""
-    names = {k for k, _ in keys}
-    for kind, need, some in RULES:
-        if need <= names and (not some or names & some) and (kind != "pair" or len(names) == 2):
-            return kind + "{" + ",".join(f"{k}:{s.partition('{')[0]}" for k, s in keys if s != "null") + "}"
-    return "map"
+def object_shape(members: tuple[tuple[str, str], ...]) -> str:
+    """The bottom-up step for an object: its members that are not null with the class of their shapes."""
+    return "{" + ",".join(f"{k}:{s.partition('{')[0].partition('(')[0] or 'object'}" for k, s in members if s != "null") + "}"
 
 
-def state(node: object) -> str:
-    """The state the automaton reaches at a node."""
+def shape(node: object) -> str:
+    """The shape the automaton reaches at a node, bottom-up."""
     if isinstance(node, dict):
-        return object_state(tuple(sorted((k, state(v)) for k, v in node.items())))
+        return object_shape(tuple(sorted((k, shape(v)) for k, v in node.items())))
     if isinstance(node, list):
-        inner = sorted({state(v).partition("{")[0] for v in node})
-        return "list(" + "|".join(inner) + ")"
+        return "list(" + "|".join(sorted({shape(v).partition("{")[0].partition("(")[0] or "object" for v in node})) + ")"
     if node is None:
         return "null"
     if isinstance(node, bool):
@@ -79,16 +89,22 @@ def state(node: object) -> str:
     return {str: "text", int: "int", float: "real"}[type(node)]
 
 
-def variant(node: object) -> str:
-    """The node's structural variant; records nested deeper than the stack allows share one."""
+def variant(state: str, node: object) -> str:
+    """The structural variant of a node in a state."""
     try:
-        return state(node)
+        return state + " " + shape(node)
     except RecursionError:
-        return "deep"
+        return state + " deep"
+
+
+def _class(node: object) -> str:
+    return "object" if isinstance(node, dict) else "array" if isinstance(node, list) else "null" if node is None else "text" if isinstance(node, str) else "leaf"
 
 
-def _many(node: object) -> list:
-    return node if isinstance(node, list) else [] if node is None else [node]
+def routed(state: str, member: str, child: object) -> str | None:
+    """The top-down step: a child's state, None if nothing is routed there."""
+    to = ROUTES.get((state, member)) or (ROUTES.get((state, "*")) if member != "items" else None)
+    return to[0] if to and _class(child) in to[1] else None
 
 
 def _unwrapped(node: object) -> object:
@@ -99,8 +115,18 @@ def _unwrapped(node: object) -> object:
     return node
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def _text(value: object) -> str | None:
-    return value if isinstance(value, str) or value is None else json.dumps(value, ensure_ascii=False)
+    if value is None:
+        return None
+    return _LONE.sub("\ufffd", value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+
+
+def _own(state: str, node: dict) -> str:
+    """A record's members that are not routed elsewhere, as JSON of texts."""
+    return _text({k: _text(v) for k, v in node.items() if v is not None and routed(state, k, v) is None})
 
 
 def _leaves(node: object, path: str) -> Iterator[tuple[str, object]]:
@@ -115,65 +141,77 @@ def _leaves(node: object, path: str) -> Iterator[tuple[str, object]]:
             stack += [(f"{at}.{k}" if at else str(k), v) for k, v in inner]
 
 
-def _members(node: dict, *nested: str) -> str:
-    return json.dumps({k: _text(v) for k, v in node.items() if k not in nested and v is not None}, ensure_ascii=False)
-
-
-def headers(node: object) -> list[tuple[str, object]]:
-    """(name, value) of headers given as a map, as pairs or as objects with name and value."""
-    node = _unwrapped(node)
-    if isinstance(node, dict) and variant(node).startswith("pair"):
-        node = [node]
+def _named(node: object) -> list[tuple[object, object]]:
+    """The (name, value) of a node in state headers that is no array of others: a map, a pair as array, an object with name and value."""
     if isinstance(node, dict):
-        return list(node.items())
-    out = []
-    for x in _many(node):
-        if isinstance(x, dict):
-            out += [(x["name"], x.get("value"))] if "name" in x else list(x.items())
-        elif isinstance(x, list) and x:
-            out.append((x[0], x[1] if len(x) > 1 else None))
-    return [(k, v) for k, v in out if isinstance(k, str)]
-
-
-def shred_payload(report_id: int, payload: object) -> Iterator[tuple]:
-    """All rows of one payload, as in NODES."""
-    top = _unwrapped(parse(payload))
-    if isinstance(top, str):
-        top = _unwrapped(parse(top))
-    place = {"finding": 0, "run": 0}
-    for report in _many(top):
-        report = _unwrapped(report)
-        if not isinstance(report, dict):
-            continue
-        yield report_id, "report", variant(report), -1, -1, "", None, _members(report, "findings", "runs", "raw_frontmatter")
-        for finding in _many(_unwrapped(report.get("findings"))):
-            at = place["finding"]
-            place["finding"] += 1
-            if not isinstance(finding, dict):
-                continue
-            yield report_id, "finding", variant(finding), -1, at, "", None, _members(finding, "extra")
-            extra = _unwrapped(finding.get("extra"))
-            for part in extra if isinstance(extra, list) else [extra]:
-                if isinstance(part, dict):
-                    for k, v in part.items():
-                        if v is not None:
-                            yield report_id, "finding_extra", variant(v), -1, at, k, _text(v), None
-        for run in _many(_unwrapped(report.get("runs"))):
-            run_at = place["run"]
-            place["run"] += 1
-            if not isinstance(run, dict):
-                continue
-            yield report_id, "run", variant(run), run_at, -1, "", None, _members(run, "http_flows")
-            for at, flow in enumerate(_many(_unwrapped(run.get("http_flows")))):
-                if not isinstance(flow, dict):
+        return [(node["name"], node.get("value"))] if node.keys() == {"name", "value"} else list(node.items())
+    return [(node[0], node[1] if len(node) > 1 else None)] if node and isinstance(node[0], str) else []
+
+
+class Shredder:
+    """One payload's rows, as in NODES: nodes are visited in their states and emitted where the state says."""
+
+    def __init__(self, report_id: int):
+        self.report_id, self.rows, self.places = report_id, [], {"finding": 0, "run": 0, "flow": 0}
+
+    def emit(self, entity: str, node: object, at: tuple[int, int], key: str = "", value: str | None = None, fields: str | None = None) -> None:
+        self.rows.append((self.report_id, entity, _text(variant(entity, node)), *at, _text(key), value, fields))
+
+    def visit(self, state: str, node: object, at: tuple[int, int] = (-1, -1)) -> None:
+        node = _unwrapped(node) if state in HOLDERS else node
+        if state == "frontmatter":
+            if isinstance(node, (dict, list)):
+                for k, v in _leaves(node, ""):
+                    self.emit(state, v, (-1, -1), k, _text(v))
+            return
+        if isinstance(node, list) and not (state == "headers" and node and not isinstance(node[0], (dict, list))):
+            for x in node:
+                if state == "headers" and isinstance(x, dict) and "name" in x:
+                    self.header(x["name"], x.get("value"), at)
                     continue
-                yield report_id, "flow", variant(flow), run_at, at, "", None, _members(flow, "headers")
-                for k, v in headers(flow.get("headers")):
-                    yield report_id, "flow_header", variant(v), run_at, at, k.lower(), _text(v), None
-        front = _unwrapped(report.get("raw_frontmatter"))
-        if isinstance(front, (dict, list)):
-            for k, v in _leaves(front, ""):
-                yield report_id, "frontmatter", variant(v), -1, -1, k, _text(v), None
+                to = routed(state, "items", x)
+                if to:
+                    self.visit(to, x, at)
+                elif state in self.places:
+                    self.places[state] += 1  # what is no record still has a place
+            return
+        if state in RECORDS and isinstance(node, dict):
+            self.record(state, node, at)
+        elif state == "extra" and isinstance(node, dict):
+            for k, v in node.items():
+                if to := routed(state, k, v):
+                    self.emit(to, v, at, k, _text(v))
+        elif state == "headers" and isinstance(node, (dict, list)):
+            for k, v in _named(node):
+                self.header(k, v, at)
+
+    def header(self, name: object, value: object, at: tuple[int, int]) -> None:
+        to = routed("headers", "*", value)
+        if to and isinstance(name, str):
+            self.emit(to, value, at, name.lower(), _text(value))
+
+    def record(self, state: str, node: dict, at: tuple[int, int]) -> None:
+        if state in self.places:
+            k = self.places[state]
+            self.places[state] += 1
+            at = (k, -1) if state == "run" else (at[0], k)
+        if state == "run":
+            self.places["flow"] = 0
+        self.emit(state, node, at, fields=_own(state, node))
+        for k, v in node.items():
+            to = routed(state, k, v)
+            if to:
+                self.visit(to, v, at)
+
+
+def shred_payload(report_id: int, payload: object) -> list[tuple]:
+    """All rows of one payload, as in NODES."""
+    top = parse(payload)
+    for _ in range(2):
+        top = _unwrapped(top)
+    s = Shredder(report_id)
+    s.visit("report", top)
+    return s.rows
 
 
 _COLUMNS = [c.split()[0] for c in NODES.split(", ")]
@@ -191,7 +229,7 @@ def _shred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def nodes(reports: DataFrame) -> DataFrame:
-    """Every node of the latest payloads, routed by its place and labelled with its variant."""
+    """Every node of the latest payloads, routed by its state and labelled with its variant."""
     last = latest(reports.select(F.col("report_id").cast("bigint").alias("report_id"), "payload", "loaded_at"), ["report_id"], "payload")
     return last.filter(F.length("payload") > 0).mapInPandas(_shred, NODES)
 
@@ -212,10 +250,37 @@ TYPED = {
 
 
 def typed_table(all_nodes: DataFrame, entity: str) -> DataFrame:
-    """The flat table of one object type: parent keys, structural variant, typed columns."""
+    """The flat table of one object type, all variants together: parent keys, structural variant, the usual columns and, as a map, all members."""
     spec = [c.split() for c in TYPED[entity].split(", ")]
-    got = all_nodes.filter(F.col("entity") == entity).select("report_id", "run_pos", "item_pos", "variant", F.from_json("fields", "map<string,string>").alias("m"))
-    return got.select("report_id", "run_pos", "item_pos", "variant", *[F.col("m")[name].try_cast(kind).alias(name) for name, kind in spec])
+    got = all_nodes.filter(F.col("entity") == entity).select("report_id", "run_pos", "item_pos", "variant", F.from_json("fields", "map<string,string>").alias("members"))
+    return got.select("report_id", "run_pos", "item_pos", "variant", *[F.col("members")[name].try_cast(kind).alias(name) for name, kind in spec], "members")
+
+
+_SQL = {"text": "string", "int": "bigint", "real": "double", "bool": "boolean"}
+
+
+def subtype_table(all_nodes: DataFrame, variant: str) -> DataFrame:
+    """The typed table of one structural variant: the supertype's keys and a column for each of its own members, arrays and objects as JSON.
+
+    Names that clash with the keys, or with each other but for case, get a trailing number.
+    """
+    entity, _, members = variant.partition(" ")
+    spec = [m.rpartition(":")[::2] for m in members.strip("{}").split(",") if m]
+    got = all_nodes.filter((F.col("entity") == entity) & (F.col("variant") == variant)).select("report_id", "run_pos", "item_pos", F.from_json("fields", "map<string,string>").alias("m"))
+    taken, columns = {"report_id", "run_pos", "item_pos"}, []
+    for k, kind in spec:
+        name, n = k, 2
+        while name.lower() in taken:
+            name, n = f"{k}_{n}", n + 1
+        taken.add(name.lower())
+        columns.append(F.try_element_at("m", F.lit(k)).try_cast(_SQL.get(kind, "string")).alias(name))
+    return got.select("report_id", "run_pos", "item_pos", *columns)
+
+
+def write_subtypes(all_nodes: DataFrame, folder: str) -> None:
+    """All variants' rows in one pass, a folder for each entity and variant, members as a map; subtype_table reads one of them typed."""
+    rows = all_nodes.filter(F.col("fields").isNotNull()).select("entity", F.sha2("variant", 256).alias("shape"), "variant", "report_id", "run_pos", "item_pos", "fields")
+    rows.write.mode("overwrite").partitionBy("entity", "shape").parquet(folder)
 
 
 def flat_tables(reports: DataFrame) -> dict[str, DataFrame]:

@@ -24,13 +24,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed table of nested findings with their variants."""
-    return nested_records.typed_table(nested_records.nodes(table(spark, sf_dir, "scan_report")), "finding")
+    """The flat table of nested findings with their parents' places."""
+    return nested_records.typed_table(nested_records.nodes(table(spark, sf_dir, "scan_report")), "finding").drop("variant", "members")
 
 
 def p5_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed table of nested flows with their parents' places."""
-    return nested_records.typed_table(nested_records.nodes(table(spark, sf_dir, "scan_report")), "flow")
+    """The flat table of nested flows with their parents' places."""
+    return nested_records.typed_table(nested_records.nodes(table(spark, sf_dir, "scan_report")), "flow").drop("variant", "members")
 
 
 def p5_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,22 +86,28 @@ o AS (SELECT report_id, CASE WHEN json_type(j) = 'ARRAY' THEN j->0 ELSE j END AS
 f AS (SELECT report_id, CAST(t.key AS INTEGER) AS pos, t.value AS v FROM o, json_each(CASE json_type(j->'findings') WHEN 'OBJECT' THEN json_array(j->'findings') WHEN 'ARRAY' THEN j->'findings' ELSE '[]' END) t),
 x AS (SELECT report_id, pos, CASE json_type(v->'extra') WHEN 'VARCHAR' THEN CASE WHEN json_valid(v->>'extra') THEN CAST(v->>'extra' AS JSON) END ELSE v->'extra' END AS e FROM f),
 rn AS (SELECT report_id, CAST(t.key AS INTEGER) AS run, t.value AS v FROM o, json_each(CASE json_type(j->'runs') WHEN 'OBJECT' THEN json_array(j->'runs') WHEN 'ARRAY' THEN j->'runs' ELSE '[]' END) t),
-fl AS (SELECT report_id, run, CAST(t.key AS INTEGER) AS pos, t.value->'headers' AS h FROM rn, json_each(CASE json_type(v->'http_flows') WHEN 'OBJECT' THEN json_array(v->'http_flows') WHEN 'ARRAY' THEN v->'http_flows' ELSE '[]' END) t),
+fl AS (SELECT report_id, run, CAST(t.key AS INTEGER) AS pos, t.value->'headers' AS h, t.value AS v FROM rn, json_each(CASE json_type(v->'http_flows') WHEN 'OBJECT' THEN json_array(v->'http_flows') WHEN 'ARRAY' THEN v->'http_flows' ELSE '[]' END) t),
 hd AS (SELECT report_id, run, pos, lower(CASE json_type(h) WHEN 'OBJECT' THEN t.key ELSE CASE json_type(t.value) WHEN 'ARRAY' THEN t.value->>0 ELSE t.value->>'name' END END) AS k FROM fl, json_each(CASE WHEN json_type(h) IN ('OBJECT', 'ARRAY') THEN h ELSE '[]' END) t),
 fm AS (SELECT report_id, regexp_replace(replace(replace(substr(t.fullkey, 3), '"', ''), ']', ''), '\[', '.', 'g') AS k FROM o, json_tree(CASE WHEN json_type(j->'raw_frontmatter') = 'OBJECT' THEN j->'raw_frontmatter' ELSE '{}' END) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL'))
-SELECT DISTINCT report_id, 'finding_extra' AS entity, -1 AS run_pos, pos AS item_pos, t.key AS entry_key FROM x, json_each(CASE WHEN json_type(e) = 'OBJECT' THEN e ELSE '{}' END) t WHERE t.type <> 'NULL'
+"""
+_ENTRY_ROWS = """SELECT DISTINCT report_id, 'finding_extra' AS entity, -1 AS run_pos, pos AS item_pos, t.key AS entry_key FROM x, json_each(CASE WHEN json_type(e) = 'OBJECT' THEN e ELSE '{}' END) t WHERE t.type <> 'NULL'
 UNION ALL SELECT DISTINCT report_id, 'flow_header', run, pos, k FROM hd WHERE k IS NOT NULL
 UNION ALL SELECT DISTINCT report_id, 'frontmatter', -1, -1, k FROM fm
 """
 
 
+_FLOW = (("kind", "VARCHAR"), ("host", "VARCHAR"), ("port", "INTEGER"), ("method", "VARCHAR"), ("path", "VARCHAR"), ("status_code", "INTEGER"), ("sni", "VARCHAR"), ("timestamp", "DOUBLE"))
+
+
 def queries() -> dict:
     return {"p4_found": p4_found, "p4_resolved": p4_resolved, "p5_found": p5_found, "p5_findings": p5_findings, "p5_flows": p5_flows, "p5_variants": p5_variants, "p6_found": p6_found, "p6_templates": p6_templates}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p5_found": _ENTRIES,
+        "p5_found": _ENTRIES + _ENTRY_ROWS,
+        "p5_findings": _ENTRIES + "SELECT report_id, -1 AS run_pos, pos AS item_pos, " + ", ".join(f"v->>'{c}' AS {c}" for c in ("category", "severity", "summary", "confidence", "mitre_technique", "detail", "source")) + " FROM f WHERE json_type(v) = 'OBJECT'",
+        "p5_flows": _ENTRIES + "SELECT report_id, run AS run_pos, pos AS item_pos, " + ", ".join(f"TRY_CAST(v->>'{c}' AS {t}) AS {c}" for c, t in _FLOW) + " FROM fl WHERE json_type(v) = 'OBJECT'",
         "p4_found": _CHANGES + "SELECT snapshot_no, skill_id, category, rel_source, summary, change_kind FROM changes",
         "p4_resolved": _CHANGES + "SELECT snapshot_no, skill_id, count(*) AS resolved_count FROM changes WHERE change_kind = 'removed' GROUP BY 1, 2",
     }

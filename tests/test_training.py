@@ -130,6 +130,29 @@ def test_flat_tables_join_to_their_parents(spark):
     assert nested_records.entries(spark.createDataFrame([], REPORT)).count() == 0
 
 
+def test_surrogates_deep_records_and_lost_states(spark, monkeypatch):
+    odd = '{"findings": [{"category": "c", "extra": {"k": "\\ud800x", "\\udc00": 1}}, 7, {"extra": {"z": 1}}], "raw_frontmatter": {"a": "\\ud83d\\ude00"}}'
+    deep = '{"findings": [{"extra": {"d": ' + "[" * 900 + "]" * 900 + "}}]}"
+    df = spark.createDataFrame([(1, odd, T0, ""), (2, deep, T0, ""), (3, "[" * 100_000, T0, "")], REPORT)
+    got = {(x.report_id, x.entity, x.item_pos, x.entry_key): x.entry_value for x in nested_records.entries(df).collect()}
+    assert got == {(1, "finding_extra", 0, "k"): "\ufffdx", (1, "finding_extra", 0, "\ufffd"): "1", (1, "finding_extra", 2, "z"): "1", (1, "frontmatter", -1, "a"): "\U0001f600", (2, "finding_extra", 0, "d"): got[(2, "finding_extra", 0, "d")]}
+    monkeypatch.delitem(nested_records.ROUTES, ("finding", "extra"))
+    assert {r[1] for r in nested_records.shred_payload(1, odd)} == {"report", "finding", "frontmatter"}
+
+
+def test_a_typed_table_for_each_variant(spark, tmp_path):
+    rows = [(1, payload(findings=[{"category": "c", "severity": "low", "n": 2, "report_id": "x", "Odd,{k": 1}, {"category": "d", "ok": True, "more": {"a": [1]}}]), T0, ""), (2, payload(findings={"category": "e", "ok": False, "more": {}}), T0, "")]
+    kept = nested_records.nodes(spark.createDataFrame(rows, REPORT)).cache()
+    variants = sorted(r.variant for r in kept.filter("entity = 'finding'").select("variant").distinct().collect())
+    assert variants[1] == "finding {category:text,more:object,ok:bool}"
+    t = nested_records.subtype_table(kept, variants[1])
+    assert t.dtypes[3:] == [("category", "string"), ("more", "string"), ("ok", "boolean")]
+    assert sorted((x.report_id, x.item_pos, x.category, x.more, x.ok) for x in t.collect()) == [(1, 1, "d", '{"a":[1]}', True), (2, 0, "e", "{}", False)]
+    assert [(x.report_id_2, x.n) for x in nested_records.subtype_table(kept, variants[0]).collect()] == [("x", 2)]
+    nested_records.write_subtypes(kept, str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "v")).filter("entity = 'finding'").count() == 3
+
+
 LOG = """2026-05-13 16:41:42,791 CRITICAL a.b: boom
 Traceback (most recent call last):
   File "x.py", line 1
