@@ -125,89 +125,155 @@ def brief(kind: str, t: str) -> tuple[str, ...]:
     return (kind, "s:" + subs[-1] if subs and len(t) <= 32 else "long", *(["has:" + s for s in subs] if len(t) <= 32 else ()))
 
 
+def naming(kind: str, t: str) -> tuple[str, ...]:
+    """What a token says as the name before a value; nothing if it cannot be one."""
+    return tuple(f"n={s}" for s in subwords(t)[-3:]) if kind in ("chunk", "flag") and len(t) <= 40 else ()
+
+
+def above(tokens: list[tuple[str, str, int]], before: str) -> tuple[str, ...]:
+    """The name on the line above a line that only holds a value."""
+    if any(t == "value" for _, t, _ in tokens[:3]) and "name" in before:
+        return tuple(s for _, t, _ in lex(before)[-3:] for s in subwords(t))
+    return ()
+
+
+def alone(tokens: list[tuple[str, str, int]]) -> bool:
+    return len(tokens) <= 2 and sum(k == "chunk" for k, _, _ in tokens) == 1
+
+
 def described(line: str, before: str) -> tuple[list[tuple[str, str, int]], list[list[tuple[str, tuple[str, ...]]]]]:
-    """Tokens and, for each, its feature groups: (role, features)."""
+    """Tokens and, for each, its feature groups: (role, features). What training sees; tagging reads the same sums from tables."""
     tokens = lex(line)
     rows = []
     named: tuple[str, ...] = ()
     edge = ("edge",)
-    above = ()
-    if tokens and any(t == "value" for _, t, _ in tokens[:3]) and "name" in before:
-        above = tuple(s for _, t, _ in lex(before)[-3:] for s in subwords(t))
-    lone = sum(k == "chunk" for k, _, _ in tokens) == 1 and len(tokens) <= 2
+    upper, lone = above(tokens, before), alone(tokens)
     for i, (kind, t, _) in enumerate(tokens):
-        groups = [
-            ("0", own(kind, t)),
-            ("-1", brief(*tokens[i - 1][:2]) if i else edge),
-            ("-2", brief(*tokens[i - 2][:2]) if i > 1 else edge),
-            ("+1", brief(*tokens[i + 1][:2]) if i + 1 < len(tokens) else edge),
-            ("+2", brief(*tokens[i + 2][:2]) if i + 2 < len(tokens) else edge),
-            ("key", named),
-        ]
-        if above:
-            groups.append(("above", above))
+        groups = [("0", own(kind, t)), ("key", named)]
+        for role, k in (("-1", i - 1), ("-2", i - 2), ("+1", i + 1), ("+2", i + 2)):
+            groups.append((role, brief(*tokens[k][:2]) if 0 <= k < len(tokens) else edge))
+        if upper:
+            groups.append(("above", upper))
         if lone:
             groups.append(("lone", own(kind, t)[-12:]))
         rows.append(groups)
-        if kind in ("chunk", "flag") and len(t) <= 40 and (subs := subwords(t)):
-            named = tuple(f"n={s}" for s in subs[-3:])
+        named = naming(kind, t) or named
     return tokens, rows
 
 
+#: The roles in which a token's features are seen: by itself, by its neighbours, as the name before a value, alone on its line.
+_ROLES = ("0", "-1", "-2", "+1", "+2", "key", "lone")
+_PATHS_AT_ONCE = 400_000
+
+
 class Tagger:
-    """Feature weights and label transitions; scores are kept per feature group, since groups recur from line to line."""
+    """Feature weights and label transitions. Tokens recur from line to line, so each has a number and its scores in every role a row."""
 
     def __init__(self, weights: dict[str, np.ndarray], moves: np.ndarray, first: np.ndarray):
         self.weights, self.moves, self.first = weights, moves, first
-        self._cache: dict = {}
+        self._forget()
 
     def __getstate__(self):
-        return {"weights": self.weights, "moves": self.moves, "first": self.first, "_cache": {}}
-
-    def _score(self, role: str, features: tuple[str, ...]) -> list[float]:
-        key = (role, features)
-        s = self._cache.get(key)
-        if s is None:
-            if len(self._cache) > 300_000:
-                self._cache.clear()
-            total = np.zeros(len(LABELS))
-            for f in features:
-                w = self.weights.get(role + "|" + f)
-                if w is not None:
-                    total = total + w
-            s = self._cache[key] = total.tolist()
-        return s
+        return {"weights": self.weights, "moves": self.moves, "first": self.first}
+
+    def __setstate__(self, state: dict):
+        self.__init__(**state)
+
+    def _forget(self) -> None:
+        self._numbers: dict[tuple[str, str], int] = {}
+        self._table = np.zeros((4096, len(_ROLES), len(LABELS)))
+        self._namer = np.zeros(4096, bool)
+        # Row 0 stands for the line's edge.
+        for role in (1, 2, 3, 4):
+            self._table[0, role] = self._sum(_ROLES[role], ("edge",))
+
+    def _sum(self, role: str, features: tuple[str, ...]) -> np.ndarray:
+        total = np.zeros(len(LABELS))
+        for f in features:
+            w = self.weights.get(role + "|" + f)
+            if w is not None:
+                total = total + w
+        return total
+
+    def _number(self, kind: str, text: str) -> int:
+        n = len(self._numbers) + 1
+        if n == len(self._table):
+            self._table = np.concatenate([self._table, np.zeros_like(self._table)])
+            self._namer = np.concatenate([self._namer, np.zeros_like(self._namer)])
+        mine, seen = own(kind, text), brief(kind, text)
+        for k, role in enumerate(_ROLES[:5]):
+            self._table[n, k] = self._sum(role, seen if k else mine)
+        names = naming(kind, text)
+        self._table[n, 5], self._namer[n] = self._sum("key", names), bool(names)
+        self._table[n, 6] = self._sum("lone", mine[-12:])
+        self._numbers[(kind, text)] = n
+        return n
 
     def labels(self, line: str, before: str = "") -> tuple[list[tuple[str, str, int]], str]:
-        """The tokens and their most probable label sequence (Viterbi)."""
-        tokens, rows = described(line, before)
-        if not rows:
-            return tokens, ""
-        n = len(LABELS)
-        moves = self.moves.tolist()
-        best, back = self.first.tolist(), []
-        for i, groups in enumerate(rows):
-            emit = [0.0] * n
-            for role, features in groups:
-                s = self._score(role, features)
-                for y in range(n):
-                    emit[y] += s[y]
-            if i == 0:
-                best = [best[y] + emit[y] for y in range(n)]
-                continue
-            step, came = [0.0] * n, [0] * n
-            for y in range(n):
-                x = max(range(n), key=lambda k: best[k] + moves[k][y])
-                came[y] = x
-                step[y] = best[x] + moves[x][y] + emit[y]
-            best = step
-            back.append(came)
-        y = max(range(n), key=best.__getitem__)
-        path = [y]
-        for came in reversed(back):
-            y = came[y]
-            path.append(y)
-        return tokens, "".join(LABELS[y] for y in reversed(path))
+        """The tokens of a line and their most probable labels."""
+        return self.tagged([(line, before)])[0]
+
+    def tagged(self, lines: list[tuple[str, str]]) -> list[tuple[list[tuple[str, str, int]], str]]:
+        """labels() of many (line, line before)."""
+        if len(self._numbers) > 300_000:
+            self._forget()
+        known = self._numbers
+        told = [lex(line) for line, _ in lines]
+        ids = np.array([known.get(t[:2]) or self._number(*t[:2]) for tokens in told for t in tokens], np.int64)
+        sizes = np.array([len(tokens) for tokens in told], np.int64)
+        scores = self._scores(ids, sizes, [alone(tokens) for tokens in told])
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        for k, ((_, before), tokens) in enumerate(zip(lines, told)):
+            if before and (extra := above(tokens, before)):
+                scores[begins[k] : begins[k + 1]] += self._sum("above", extra)
+        paths = self._paths(scores, begins)
+        return [(tokens, paths[begins[k] : begins[k + 1]]) for k, tokens in enumerate(told)]
+
+    def _scores(self, ids: np.ndarray, sizes: np.ndarray, lone: list[bool]) -> np.ndarray:
+        """The score of every label at every token of consecutive lines."""
+        n = len(ids)
+        line = np.repeat(np.arange(len(sizes)), sizes)
+        pad = np.concatenate([[0, 0], ids, [0, 0]])
+        whose = np.concatenate([[-1, -1], line, [-1, -1]])
+        total = self._table[ids, 0]
+        for role, shift in ((1, -1), (2, -2), (3, 1), (4, 2)):
+            at = np.arange(2, n + 2) + shift
+            total = total + self._table[np.where(whose[at] == line, pad[at], 0), role]
+        # The name before a token is the last token before it on its line that can be one.
+        place = np.where(self._namer[ids], np.arange(n), -1)
+        last = np.concatenate([[-1], np.maximum.accumulate(place)[:-1]]) if n else place
+        named = (last >= 0) & (line[np.maximum(last, 0)] == line)
+        total = total + np.where(named[:, None], self._table[ids[np.maximum(last, 0)], 5], 0)
+        return total + np.where(np.array(lone, bool)[line][:, None], self._table[ids, 6], 0)
+
+    def _paths(self, scores: np.ndarray, begins: np.ndarray) -> str:
+        """The most probable label sequences of all lines (Viterbi), lines of like length together; joined up."""
+        sizes = np.diff(begins)
+        out = np.zeros(len(scores), np.int64)
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        at = 0
+        while at < len(order):
+            longest = sizes[order[at : at + 4096]]
+            take = max(1, min(len(longest), int((np.arange(1, len(longest) + 1) * longest <= _PATHS_AT_ONCE).sum())))
+            some = order[at : at + take]
+            at += take
+            size, start = sizes[some], begins[some]
+            best = self.first + scores[start]
+            came = np.zeros((int(size.max()), len(some), len(LABELS)), np.int8)
+            for t in range(1, int(size.max())):
+                live = t < size
+                x = best[:, :, None] + self.moves
+                came[t] = x.argmax(1)
+                step = x.max(1) + scores[np.minimum(start + t, len(scores) - 1)]
+                best = np.where(live[:, None], step, best)
+            y = best.argmax(1)
+            rows = np.arange(len(some))
+            for t in range(int(size.max()) - 1, -1, -1):
+                live = t < size
+                out[(start + t)[live]] = y[live]
+                y = np.where(live, came[t, rows, y], y)
+        return "".join(np.array(list(LABELS))[out].tolist())
 
 
 def _examples(count: int, seed: int) -> tuple[list, list]:
@@ -293,11 +359,6 @@ def tagger() -> Tagger:
     return train()
 
 
-#: What any line with a credential holds: a word for one, a vendor's form, user and password in a URL, a long mixed literal, or a mixed literal set under any name.
-_MAYBE = re.compile(
-    r"PRIVATE KEY|(?i:pass|pwd|\bpw\b|pw\b|token|secret|key|auth|cred|bearer|login|wort|contras|senha|mot_de|wachtwoord|\s-p\S|\s-u\s|--user\b|--header)|://[^\s/]*:[^\s/]*@|\bvalue\b|[A-Za-z0-9_+/\-.]{20,}|A[KS]IA[A-Z0-9]{8}"
-    r"|[^\W\d_]['\"]?\s{0,3}(?:[:=]|=>|:=|：)\s{0,3}['\"`]?(?=[^\s'\"`]{0,60}[A-Za-z])(?=[^\s'\"`]{0,60}\d)[^\s'\"`()\[\]{}<>]{6,}"
-)
 _FENCE = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]{1,60}-----")
 
 
@@ -312,11 +373,9 @@ def usable(value: str) -> bool:
     return not re.fullmatch(r"(.)\1{7,}", digits)
 
 
-def spans(line: str, before: str, model: Tagger, inside: bool = False) -> list[tuple[int, int]]:
-    """Start and end of each literal to mask in the line. inside: whether it lies within a key block or certificate."""
-    if not _MAYBE.search(line):
+def _spans(tokens: list[tuple[str, str, int]], marks: str, inside: bool) -> list[tuple[int, int]]:
+    if "s" not in marks:
         return []
-    tokens, marks = model.labels(line, before)
     if inside and len(tokens) == 1 and tokens[0][0] == "chunk" and not _VENDOR.match(tokens[0][1]):
         return []  # the body of a key block or certificate; only its header line counts
     out: list[list[tuple[int, int, str, str]]] = []
@@ -338,21 +397,83 @@ def spans(line: str, before: str, model: Tagger, inside: bool = False) -> list[t
     return found
 
 
-def scan_text(text: str, model: Tagger) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(line number from 1, spans) of the lines that hold a credential."""
-    out, before, inside = [], "", False
-    for k, line in enumerate(text.split("\n"), 1):
-        s = spans(line, before, model, inside)
-        if s:
-            out.append((k, s))
-        before = line
-        if "-----" in line:
-            for m in _FENCE.finditer(line):
-                inside = m[1] == "BEGIN"
+def spans(line: str, before: str, model: Tagger, inside: bool = False) -> list[tuple[int, int]]:
+    """Start and end of each literal to mask in the line. inside: whether it lies within a key block or certificate."""
+    return _spans(*model.labels(line, before), inside)
+
+
+def _above(line: str, before: str) -> str:
+    """The line before, where the features of this one look at it."""
+    return before if "value" in line and "name" in before else ""
+
+
+#: Distinct lines tagged at a time.
+LINES_AT_ONCE = 20_000
+
+
+def scan_texts(texts: list[str], model: Tagger) -> list[list[tuple[int, list[tuple[int, int]]]]]:
+    """For each text (line number from 1, spans) of the lines that hold a credential. Equal lines are tagged once."""
+    lined = [text.split("\n") for text in texts]
+    distinct = list(dict.fromkeys((line, _above(line, before)) for lines in lined for before, line in zip(["", *lines], lines) if line))
+    told: dict = {}
+    for k in range(0, len(distinct), LINES_AT_ONCE):
+        some = distinct[k : k + LINES_AT_ONCE]
+        told.update((key, t) for key, t in zip(some, model.tagged(some)) if "s" in t[1])
+    out = []
+    for lines in lined:
+        found, before, inside = [], "", False
+        for k, line in enumerate(lines, 1):
+            t = told.get((line, _above(line, before)))
+            if t and (s := _spans(*t, inside)):
+                found.append((k, s))
+            before = line
+            if "-----" in line:
+                for m in _FENCE.finditer(line):
+                    inside = m[1] == "BEGIN"
+        out.append(found)
     return out
 
 
-_BODY = re.compile(r"(-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)(.*?)(?=-----END|\Z)", re.S)
+def scan_text(text: str, model: Tagger) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(line number from 1, spans) of the lines of one text that hold a credential."""
+    return scan_texts([text], model)[0]
+
+
+_HEAD = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+_TAIL = re.compile(r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+_RUN = re.compile(r"[A-Za-z0-9+/=]+")
+_ESCAPED = re.compile(r"(\\[nrt])")
+#: A line that is nothing but key material, with what may stand around it: comment or quote marks before, a line end and joining marks behind.
+_BODY_LINE = re.compile(r"^([ \t>#*|/]*)([A-Za-z0-9+/=]+)((?:\\[nrt])*[ \t\r]*)$")
+_LITERAL = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`")
+
+
+def _starred(text: str) -> str:
+    """Every run of key characters as stars; escapes stay."""
+    return "".join(part if k % 2 else _RUN.sub(lambda m: "*" * len(m.group()), part) for k, part in enumerate(_ESCAPED.split(text)))
+
+
+def _masked_body(body: str, closed: bool) -> str:
+    """What follows a key block's header: to its end mark, or, without one, as far as lines are nothing but key material.
+
+    On the header's own line the key runs on up to a quote or blank; on later lines whole lines of key material and, within a closed block, quoted pieces.
+    """
+    lines = body.split("\n")
+    run = re.match(r"(?:\\[nrt]|[A-Za-z0-9+/=])*", lines[0]).end()
+    lines[0] = _starred(lines[0][:run]) + lines[0][run:]
+    if not closed and lines[0][run:].strip(" \t\r\"'`,;+\\()"):
+        return "\n".join(lines)  # the header is only named in a line of code
+    for k, line in enumerate(lines[1:], 1):
+        m = _BODY_LINE.match(line)
+        if m and (closed or len(m[2]) >= 16 or k > 1):
+            lines[k] = m[1] + "*" * len(m[2]) + m[3]
+            continue
+        pieces = [] if m else [x for x in _LITERAL.finditer(line) if x.group()[1:-1] and re.fullmatch(r"(?:\\[nrt]|[A-Za-z0-9+/=])+", x.group()[1:-1])]
+        if pieces and (closed or len(pieces[0].group()) >= 18):
+            lines[k] = _LITERAL.sub(lambda x: x.group()[0] + _starred(x.group()[1:-1]) + x.group()[-1] if re.fullmatch(r"(?:\\[nrt]|[A-Za-z0-9+/=])+", x.group()[1:-1]) else x.group(), line)
+        elif not closed:
+            break
+    return "\n".join(lines)
 
 
 def redact(text: str, found: list[tuple[int, list[tuple[int, int]]]]) -> str:
@@ -364,13 +485,15 @@ def redact(text: str, found: list[tuple[int, list[tuple[int, int]]]]) -> str:
             if not line[a:b].startswith("-----BEGIN"):
                 line = line[:a] + "*" * (b - a) + line[b:]
         lines[k - 1] = line
-    out = "\n".join(lines)
-
-    def mask(m: re.Match) -> str:
-        body = re.sub(r"[A-Za-z0-9+/=]{16,}", lambda x: "*" * len(x.group()), m[2])
-        return m[1] + body
-
-    return _BODY.sub(mask, out) if "PRIVATE KEY" in out else out
+    out, at, done = "\n".join(lines), 0, []
+    while head := _HEAD.search(out, at):
+        nxt = _HEAD.search(out, head.end())
+        limit = nxt.start() if nxt else len(out)
+        tail = _TAIL.search(out, head.end(), limit)
+        end = tail.start() if tail else limit
+        done += [out[at : head.end()], _masked_body(out[head.end() : end], tail is not None)]
+        at = end
+    return "".join(done) + out[at:]
 
 
 _FOUND = "record_kind string, record_id bigint, line_no bigint, span_starts array<int>, span_ends array<int>"
@@ -380,9 +503,10 @@ def _scanner(model: Tagger):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for kind, i, text in zip(batch["record_kind"], batch["record_id"], batch["text"]):
-                whole = [(1, spans(text, "", model))] if kind == "finding" else scan_text(text, model)
-                rows += [(kind, i, k, [a for a, _ in s], [b for _, b in s]) for k, s in whole if s]
+            # The source of a finding is one line, whatever ends it holds.
+            lined = [t.replace("\n", " ") if kind == "finding" else t for kind, t in zip(batch["record_kind"], batch["text"])]
+            for kind, i, found in zip(batch["record_kind"], batch["record_id"], scan_texts(lined, model)):
+                rows += [(kind, i, k, [a for a, _ in s], [b for _, b in s]) for k, s in found]
             yield pd.DataFrame(rows, columns=["record_kind", "record_id", "line_no", "span_starts", "span_ends"])
 
     return run
@@ -392,8 +516,7 @@ def _redactor(model: Tagger):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for kind, i, text in zip(batch["record_kind"], batch["record_id"], batch["text"]):
-                found = scan_text(text, model)
+            for kind, i, text, found in zip(batch["record_kind"], batch["record_id"], batch["text"], scan_texts(list(batch["text"]), model)):
                 if found:
                     rows.append((kind, i, redact(text, found), sum(len(s) for _, s in found)))
             yield pd.DataFrame(rows, columns=["record_kind", "record_id", "redacted", "places"])

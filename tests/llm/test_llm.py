@@ -60,14 +60,57 @@ def test_short_literals_under_any_name_and_single_tokens(tagger):
     class All:
         """Takes every token for a secret."""
 
-        def labels(self, line, before):
-            return [("chunk", line, 0)], "s"
+        def tagged(self, lines):
+            return [([("chunk", line, 0)], "s") for line, _ in lines]
 
     body = "q7ZpX2mKc9RtVb4WnYs8HdLf"
     text = f"{body}\n-----BEGIN CERTIFICATE-----\n{body}\n-----END CERTIFICATE-----\n{body}"
     assert [k for k, _ in credentials.scan_text(text, All()) if text.split("\n")[k - 1] == body] == [1, 5]
 
 
+def test_every_line_is_tagged_as_by_a_search_of_its_own(tagger):
+    g = Lines(5)
+    drawn = [g.draw() for _ in range(400)]
+    together = tagger.tagged([(text, before) for text, _, before in drawn])
+    for (text, _, before), (tokens, marks) in zip(drawn, together):
+        told, rows = credentials.described(text, before)
+        scores = np.array([sum(tagger._sum(role, f) for role, f in groups) for groups in rows])
+        best, back = tagger.first + scores[0], []
+        for row in scores[1:]:
+            x = best[:, None] + tagger.moves
+            back.append(x.argmax(0))
+            best = x.max(0) + row
+        path = [int(best.argmax())]
+        for came in reversed(back):
+            path.append(int(came[path[-1]]))
+        assert tokens == told and marks == "".join(credentials.LABELS[y] for y in reversed(path))
+
+
+def test_redaction_leaves_code_whole(tagger):
+    import ast
+
+    r = random.Random(9)
+    begin, end = "-----BEGIN RSA " + "PRIVATE KEY-----", "-----END RSA " + "PRIVATE KEY-----"
+    a, b, short = secret(r, 64), secret(r, 64), "TailSecret12="
+    codes = [
+        f'key = "{begin}\\n{a}\\n{short}\\n{end}"\nprint(len(key))\n',
+        f"key = '''{begin}\n{a}\n{b}\n{short}\n{end}'''\nimportantIdentifierBehind = 1\n",
+        f'key = ("{begin}\\n"\n       "{a}\\n"\n       "{short}\\n"\n       "{end}")\n',
+        f'key = "{begin}\\n"\nkey += "{a}\\n"\nkey += "{short}\\n" + "{end}"\n',
+        f'if "{begin}" in text:\n    someVeryLongIdentifierName = anotherVeryLongIdentifier\n    aNameAsLongAsAKeyLineIs12\n',
+        f'note = """\n{begin}\nProc-Type: 4,ENCRYPTED\n\n{a}\n{short}\n{end}\n"""\n',
+        f"# {begin}\n# {a}\n# {short}\nvalue = someFunctionWithALongName\n",
+    ]
+    for code in codes:
+        red = credentials.redact(code, credentials.scan_text(code, tagger))
+        assert len(red) == len(code) and a not in red and b not in red and short not in red, red
+        assert [type(n) for n in ast.walk(ast.parse(red))] == [type(n) for n in ast.walk(ast.parse(code))], red
+        for line, masked in zip(code.split("\n"), red.split("\n")):
+            if not any(x in line for x in (a, b, short)):
+                assert line == masked
+        assert credentials.redact(red, credentials.scan_text(red, tagger)) == red
+
+
 # --- 2 ---
 
 
