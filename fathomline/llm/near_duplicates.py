@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -63,14 +64,13 @@ class _Words(dict):
         return h
 
 
-def shingles(text: str, k: int, min_words: int, known: _Words | None = None) -> np.ndarray | None:
-    """Sorted distinct 64-bit hashes of all runs of k words; None if there are too few words."""
-    words = _WORD.findall(text.lower())
-    if len(words) < max(min_words, k):
-        return None
-    known = _Words() if known is None else known
-    w = np.array([known[x] for x in words], np.uint64)
-    n = len(w) - k + 1
+def shingles(texts: list[str], k: int, min_words: int, known: _Words) -> Iterator[np.ndarray | None]:
+    """For each text the sorted distinct 64-bit hashes of all its runs of k words; None if it has too few words."""
+    listed = [_WORD.findall(text.lower()) for text in texts]
+    sizes = [len(words) for words in listed]
+    w = np.fromiter(map(known.__getitem__, chain.from_iterable(listed)), np.uint64, sum(sizes))
+    # Runs are hashed over all texts at once; those that cross from one text into the next are never read.
+    n = max(0, len(w) - k + 1)
     h = w[:n] * _MIX
     for j in range(1, k):
         h ^= h >> np.uint64(31)
@@ -79,7 +79,10 @@ def shingles(text: str, k: int, min_words: int, known: _Words | None = None) ->
     h ^= h >> np.uint64(33)
     h *= _MIX
     h ^= h >> np.uint64(29)
-    return np.unique(h)
+    at = 0
+    for size in sizes:
+        yield np.unique(h[at : at + size - k + 1]) if size >= max(min_words, k) else None
+        at += size
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +94,8 @@ def minima(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The minimum of each hash function over the set (its items' upper halves), mixed so that low bits are fair. Long sets go in pieces."""
     x = (items >> np.uint64(32)).astype(np.uint32)
     out = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(x), 2048):
-        y = x[at : at + 2048, None] * a
+    for at in range(0, len(x), 256):
+        y = x[at : at + 256, None] * a
         y += b
         np.minimum(out, y.min(0), out=out)
     out ^= out >> np.uint32(16)
@@ -125,8 +128,7 @@ def _to_sets(plan: Plan):
         known = _Words()
         for batch in batches:
             ids, sets, ca, cb, sig, bands = [], [], [], [], [], []
-            for i, text in zip(batch["id"], batch["text"]):
-                s = shingles(text, plan.shingle, plan.min_words, known)
+            for i, s in zip(batch["id"], shingles(list(batch["text"]), plan.shingle, plan.min_words, known)):
                 if s is not None:
                     m = minima(s, a, b)
                     ids.append(i)
@@ -165,7 +167,8 @@ class Families:
         #: sit in one task; the aggregate combines before the shuffle and the join's small side is one row a class.
         self.members = cut(self.sets.select("id", "class_a", "class_b").join(reps, ["class_a", "class_b"]).select("id", "rep", "copies"))
         #: (rep, items, sig, bands) of the representatives: all but the copies, which as a rule are few.
-        self.unique = self.sets.join(self.members.filter("id <> rep").select("id"), "id", "left_anti").select(F.col("id").alias("rep"), "items", "sig", "bands")
+        copies = cut(self.members.filter("id <> rep").select("id"))
+        self.unique = self.sets.join(copies, "id", "left_anti").select(F.col("id").alias("rep"), "items", "sig", "bands")
 
     def candidates(self) -> DataFrame:
         """(a, b), a < b: representatives that share a band bucket; large buckets are met in blocks spread over tasks."""
@@ -194,13 +197,16 @@ class Families:
             .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
         )
         near = cut(guess.filter(estimate_udf("sa", "sb") >= self.plan.floor).select("a", "b"))
-        exact = near.join(self.unique.select(F.col("rep").alias("a"), F.col("items").alias("ia")), "a").join(self.unique.select(F.col("rep").alias("b"), F.col("items").alias("ib")), "b")
+        # Only the sets of texts in some near pair are moved.
+        needed = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        sets = self.unique.select("rep", "items").join(needed, "rep", "left_semi")
+        exact = near.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("ib")), "b")
         both = F.size(F.array_intersect("ia", "ib"))
         return exact.select("a", "b", (both / (F.size("ia") + F.size("ib") - both)).alias("similarity")).filter(F.col("similarity") >= self.plan.threshold)
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b): every pair of texts, copies expanded. Its size is the result's own."""
-        links = self.links().select("a", "b")
+        links = cut(self.links().select("a", "b"))
         m = self.members.select("id", "rep")
         across = links.join(m.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
         copies = self.members.filter("copies > 1").withColumn("blocks", F.ceil(F.col("copies") / BLOCK).cast("int"))
