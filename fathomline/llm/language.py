@@ -56,9 +56,18 @@ SEEDS = {
     "ja": "作業が終わると、結果はファイルに書き込まれます。誰も変更していないので、二回送る必要はありません。それぞれはそのままにしておき、足りない場合は別のものを頼むことができます。始める前に、すべての一覧が閉じているか確認してください。サービスは一時間もかからずに間違いの原因を見つけました。昨日この説明を読みましたが、まだやり方が分かりません。ページがない場合、検索は何回か試した後に止まります。最後に変更された行の一覧が表示されます。",
 }
 
-#: Documents sampled per label and bytes of a dictionary: the bounds of training.
+#: Other languages of the same script: they compete for a sentence, and one that they win has none of the languages above.
+RIVALS = {
+    "uk": "Результати записуються у файл, коли робота закінчена. Немає потреби надсилати це двічі, бо ніхто нічого не змінював. Кожен із них має залишитися таким, яким був, і можна попросити інший. Перед початком перевірте, що всі списки закриті. Служба знайшла помилку менше ніж за годину. Учора ми читали цю інструкцію і ще не знаємо, як це робиться. Якщо сторінки немає, пошук припиняється після кількох спроб. Наприкінці показано список змінених рядків.",
+    "bg": "Резултатите се записват във файл, когато работата е завършена. Няма нужда това да се изпраща два пъти, защото никой не е променил нищо. Всеки от тях трябва да остане такъв, какъвто беше, и може да се поиска друг. Преди началото проверете дали всички списъци са затворени. Услугата намери грешката за по-малко от час. Вчера четохме това ръководство и още не знаем как се прави. Ако страницата я няма, търсенето спира след няколко опита. Накрая се показва списък с променените редове.",
+    "sr": "Резултати се уписују у датотеку када је посао завршен. Није потребно да се ово шаље два пута, јер нико ништа није променио. Сваки од њих треба да остане онакав какав је био, и може се тражити други. Пре почетка проверите да ли су све листе затворене. Служба је нашла грешку за мање од једног сата. Јуче смо читали ово упутство и још не знамо како се то ради. Ако странице нема, претрага се зауставља после неколико покушаја. На крају се приказује списак измењених редова.",
+}
+
+#: Documents sampled per label, sampled characters of each (of a longer one a stretch from a place its id's hash gives), bytes of a dictionary: the bounds of training.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 200, 20_000, 48_000
 LEVEL, MARGIN, LEAST_WORDS = 5, 0.10, 4
+#: The margin asked for against a rival, whose dictionary is but a seed text.
+RIVAL_MARGIN = 0.03
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,200}>")
@@ -72,6 +81,8 @@ _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _KANA = re.compile("[぀-ヿ]")
 _CYR = re.compile("[Ѐ-ӿ]")
 _LAT = re.compile("[A-Za-zÀ-ɏ]")
+#: Letters of Russian that none of the RIVALS has.
+_NO_RIVAL = re.compile("[ыэё]")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -116,7 +127,7 @@ def whole(s: str) -> bool:
 
 
 def candidates(s: str) -> tuple[str, ...]:
-    """Languages written in the script most of the sentence is in."""
+    """The known languages written in the script most of the sentence is in."""
     cjk, cyr, lat = 3 * len(_CJK.findall(s)), len(_CYR.findall(s)), len(_LAT.findall(s))
     if cjk >= max(cyr, lat):
         return ("zh", "ja")
@@ -129,7 +140,7 @@ class Classifier:
     def __init__(self, contents: dict[str, bytes], level: int = LEVEL):
         self.contents, self.level = contents, level
         self._engines = None
-        self._seen: dict[str, tuple[str | None, float]] = {}
+        self._seen: dict[tuple[str, float], tuple[str | None, float]] = {}
 
     def __getstate__(self):
         return {"contents": self.contents, "level": self.level, "_engines": None, "_seen": {}}
@@ -146,25 +157,25 @@ class Classifier:
     def sizes(self, s: str) -> dict[str, int]:
         data = s.encode()
         engines = self._ready()
-        return {c: len(engines[c].compress(data)) for c in candidates(s)}
+        known = candidates(s)
+        return {c: len(engines[c].compress(data)) for c in (*known, *(RIVALS if known == ("ru",) else ()))}
 
     def classify(self, s: str, margin: float = MARGIN) -> tuple[str | None, float]:
         """(language or None, confidence): confidence is the saving of the best against the second dictionary."""
         s = folded(s)
-        known = self._seen.get(s)
+        known = self._seen.get((s, margin))
         if known is None:
             ranked = sorted(self.sizes(s).items(), key=lambda x: (x[1], x[0]))
-            if len(ranked) == 1:
-                known = (ranked[0][0], 1.0)
-            else:
-                gap = (ranked[1][1] - ranked[0][1]) / max(1, ranked[1][1])
-                known = (ranked[0][0], gap)
-            if {"zh", "ja"} == {c for c, _ in ranked} and _KANA.search(s):
-                known = ("ja", max(known[1], margin)) if known[0] == "ja" or len(_KANA.findall(s)) * 4 > len(_CJK.findall(s)) else known
+            if _NO_RIVAL.search(s):  # no rival can have written it, however well it compresses
+                ranked.sort(key=lambda x: x[0] in RIVALS)
+            (best, least), (second, more) = ranked[:2]
+            gap = max(0.0, (more - least) / max(1, more))
+            need = margin if second in LANGUAGES else 0.0 if _NO_RIVAL.search(s) else min(margin, RIVAL_MARGIN)
+            known = (best if best in LANGUAGES and gap >= need else None, gap)
             if len(self._seen) > 200_000:
                 self._seen.clear()
-            self._seen[s] = known
-        return known if known[1] >= margin else (None, known[1])
+            self._seen[(s, margin)] = known
+        return known
 
 
 def _units(s: str) -> list[str]:
@@ -213,14 +224,16 @@ def train(samples: dict[str, list[str]], budget: int = DICTIONARY_BYTES) -> Clas
                 break
             chosen.append(s)
         contents[code] = "\n".join([folded(seed), *chosen]).encode()
-    return Classifier(contents)
+    return Classifier(contents | {code: folded(seed).encode() for code, seed in RIVALS.items()})
 
 
 def sample(documents: DataFrame, per_label: int = SAMPLE_DOCS) -> dict[str, list[str]]:
     """At most per_label documents of each label's language, picked by the hash of their id. Bounded: SAMPLE_DOCS x SAMPLE_CHARS x languages."""
     names = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
     code = F.try_element_at(names, F.element_at(F.split(F.lower(F.trim("lang")), r"[-_ (]"), 1))
-    labelled = documents.select("doc_id", code.alias("code"), "text").filter(F.col("code").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1).cast("bigint")).cast("int") + 1
+    stretch = F.substring("text", start, F.lit(SAMPLE_CHARS))
+    labelled = documents.select("doc_id", code.alias("code"), stretch.alias("text")).filter(F.col("code").isNotNull() & (F.length("text") > 0))
     order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
     # The row number is limited before the shuffle as well (group limit), so no label is gathered whole.
     picked = labelled.select("code", "doc_id").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= per_label).select("doc_id", "code")

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,8 +39,8 @@ _BACK = {
     "A": {v: k for k, v in reversed(ARMENIAN.items())},
     "K": {v: k for k, v in reversed(CHEROKEE.items())},
 }
-#: Letters of the Russian alphabet; a look-alike outside it is never part of an ordinary Russian word.
-_RUSSIAN = {chr(c) for c in range(0x410, 0x450)} | {"Ё", "ё"}
+#: Letters of ordinary Russian and Greek words; a look-alike outside them betrays a word of one script as a disguise.
+_ORDINARY = {chr(c) for c in range(0x410, 0x450)} | {"Ё", "ё"} | {chr(c) for c in range(0x391, 0x3CA)}
 
 # Ranges of default-ignorable code points.
 _IGNORABLE = (
@@ -75,8 +75,11 @@ def _styled(ch: str) -> bool:
     return d.startswith(("<super>", "<sub>")) and ord(ch) > 0x2100 and unicodedata.category(ch)[0] == "L"
 
 
-def _word_target(word: str, main: str) -> str | None:
-    """The alphabet the word belongs to if some of its letters stand in for letters of it."""
+def _word_target(word: str, main: str, stands: Callable[[str], bool]) -> str | None:
+    """The alphabet the word belongs to if some of its letters stand in for letters of it.
+
+    A word wholly of ordinary letters of another script is a word of that script, unless its Latin reading stands in the text itself.
+    """
     scripts = [_script(c) for c in word]
     kinds = set(scripts)
     if "?" in kinds:
@@ -86,8 +89,10 @@ def _word_target(word: str, main: str) -> str | None:
         return "L" if plain and any(c in LATIN_VARIANTS for c in word) else None
     fits = [k for k in "LCGAK" if (k in kinds or k == main) and all(s == k or _swap(c, s, k) for c, s in zip(word, scripts))]
     if len(kinds) == 1:
-        odd = any(c not in _RUSSIAN for c in word)
-        return "L" if main == "L" and "L" in fits and (len(word) > 2 or odd and len(word) > 1) else None
+        if main != "L" or "L" not in fits or len(word) < 2:
+            return None
+        odd = any(c not in _ORDINARY for c in word)
+        return "L" if odd or len(word) > 2 and stands("".join(_swap(c, s, "L") for c, s in zip(word, scripts))) else None
     if not fits:
         return None
     return main if main in fits else max(fits, key=scripts.count)
@@ -111,13 +116,20 @@ def _stand_ins(text: str) -> tuple[str, bool]:
     cyrillic = len(re.findall("[Ѐ-ԯ]", text))
     main = max((latin, "L"), (cyrillic, "C"), (greek, "G"))[1]
     hit = False
+    plain: set[str] = set()
+
+    def stands(reading: str) -> bool:
+        if not plain:
+            plain.update(w.lower() for w in _WORD.findall(text) if w.isascii())
+            plain.add("")
+        return reading.lower() in plain
 
     def mend(m: re.Match) -> str:
         nonlocal hit
         word = m.group()
         if word.isascii() or not _FOREIGN.search(word):
             return word
-        to = _word_target(word, main)
+        to = _word_target(word, main, stands)
         if to is None:
             return word
         hit = True

@@ -203,8 +203,8 @@ def test_residue_in_long_lines(spark):
 
 # --- 7 ---
 
-DISGUISED = {"ｆｕｌｌ": "full", "𝐛𝐨𝐥𝐝": "bold", "ﬁle": "file", "été": "été", "zero​width": "zerowidth", "no break": "no break", "thе word": "the word", "ѕрасеѕ in an English text": "spaces in an english text", "stɑԁy": "stady", "нaчало": "начало"}
-ORDINARY = ["plain", "", "café naïve", "Angles α and β", "Слово отчёт", "\U0001f9d1‍\U0001f4bb and ❤️", "The word отчёт is Russian", "Linuxом"]
+DISGUISED = {"ｆｕｌｌ": "full", "𝐛𝐨𝐥𝐝": "bold", "ﬁle": "file", "été": "été", "zero​width": "zerowidth", "no break": "no break", "thе word": "the word", "ѕрасеѕ in an English text": "spaces in an english text", "stɑԁy": "stady", "a copy of сору": "a copy of copy", "нaчало": "начало"}
+ORDINARY = ["plain", "", "café naïve", "Angles α and β", "Слово отчёт", "\U0001f9d1‍\U0001f4bb and ❤️", "The word отчёт is Russian", "Linuxом", "She sang in the хор, and оса means wasp.", "They say και for and."]
 
 
 def test_lookalikes(spark):
@@ -314,6 +314,22 @@ def test_languages_of_held_out_sentences():
         assert model.classify(s, 0.0)[0] == code, s
 
 
+def test_other_cyrillic_languages_are_rejected():
+    model = language.train({})
+    for s in ("Коли двері відчинені, треба чекати надворі, поки не покличуть.", "Когато вратата е отворена, трябва да се чака отвън, докато ви повикат.", "Када су врата отворена, треба чекати напољу док вас не позову."):
+        assert model.classify(s)[0] is None, s
+    code, confidence = model.classify(language.SEEDS["ru"].split(". ")[2] + ".")
+    assert code == "ru" and language.RIVAL_MARGIN <= confidence < 1
+    own = [model.classify(x + ".") for x in language.SEEDS["ja"].split("。")[:-1]]
+    assert all(c == "ja" and g < 1 for c, g in own)
+
+
+def test_long_documents_train_too(spark):
+    docs = [(1, language.SEEDS["nl"] * 60, "nl", "s"), (2, None, "nl", "s"), (3, "kort", None, "s")]
+    got = language.sample(spark.createDataFrame(docs, EMPTY_DOCS))
+    assert [len(x) for x in got["nl"]] == [language.SAMPLE_CHARS]
+
+
 def test_labels_and_sentences():
     assert [language.label_code(x) for x in ("EN", "en-US", "fra", "Spanish", "xx", "", None, "zh_CN", "und")] == ["en", "en", "fr", "es", None, None, None, "zh", None]
     text = '# Title here\n\n```\ncode is here now.\n```\n| a | b | c d e |\nThis is "eine kleine Sache" in a whole sentence.\r\n> Wrapped text that goes\n> on for a while.\n'
