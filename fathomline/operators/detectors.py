@@ -178,19 +178,20 @@ def instruction(line: Column) -> Column:
     )
 
 
-def instructions(texts: DataFrame, phase: int = 1) -> DataFrame:
-    """Dangerous prose and hidden characters, line by line; numbers count from 1 and one leading mark is dropped."""
+def instructions(texts: DataFrame, phase: int = 1, hidden: bool = True, said: bool = True) -> DataFrame:
+    """Dangerous prose and hidden characters, line by line; numbers count from 1 and one leading mark is dropped. Only the wanted rules are evaluated."""
     keep = ["skill_path", "source", *_placed(texts)]
     lines = texts.filter(F.length("text") > 0).select(*keep, F.posexplode(split_lines(F.regexp_replace("text", "^﻿", ""))).alias("k", "line"))
+    wanted = [F.struct(F.lit(t).alias("t"), rule(F.col("line")).alias("hit")) for t, rule, on in ((0, hidden_unicode, hidden), (1, instruction, said)) if on]
     # The generator keeps the verdicts attributes computed once.
-    both = lines.select(*keep, "k", "line", F.explode(F.array(F.struct(F.lit(0).alias("t"), hidden_unicode(F.col("line")).alias("hit")), F.struct(F.lit(1).alias("t"), instruction(F.col("line")).alias("hit")))).alias("v")).filter(F.col("v.hit").isNotNull())
+    both = lines.select(*keep, "k", "line", F.explode(F.array(*wanted)).alias("v")).filter(F.col("v.hit").isNotNull())
     uni = both.filter("v.t = 0")
     a = _finding(uni, phase, F.col("k") * 2 + 4000, "hidden_unicode_content", "high", F.concat(F.lit("hidden in the text: "), F.col("v.hit")), F.concat(F.format_string("line %d: ", F.col("k") + 1), escaped_udf("line")))
     ins = both.filter("v.t = 1")
     severity = F.when(F.col("v.hit") == "skill_md_remote_exec_instruction", "medium").otherwise("critical")
-    said = F.concat(F.lit("prose tells the agent to act: "), F.replace(F.col("v.hit"), F.lit("_"), F.lit(" ")))
-    b = _finding(ins, phase, F.col("k") * 2 + 4001, F.col("v.hit"), severity, said, F.concat(F.format_string("line %d: ", F.col("k") + 1), F.substring(stripped(F.col("line")), 1, 200)))
-    return a.unionByName(b)
+    summary = F.concat(F.lit("prose tells the agent to act: "), F.replace(F.col("v.hit"), F.lit("_"), F.lit(" ")))
+    b = _finding(ins, phase, F.col("k") * 2 + 4001, F.col("v.hit"), severity, summary, F.concat(F.format_string("line %d: ", F.col("k") + 1), F.substring(stripped(F.col("line")), 1, 200)))
+    return a.unionByName(b) if hidden and said else a if hidden else b
 
 
 def broad_grants(metadata: DataFrame) -> DataFrame:
@@ -205,26 +206,16 @@ def sensitive_paths(metadata: DataFrame) -> DataFrame:
     return _finding(hits, 7, F.lit(0), "frontmatter_sensitive_path_scope", "medium", F.lit("declared paths reach for credentials"), F.array_join("hits", ", "))
 
 
-#: Detectors of file texts by name; a further one is just another entry.
-DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "base64_blobs": base64_blobs,
-    "eval_of_decoded": eval_of_decoded,
-    "instructions": lambda t: instructions(t.filter(suffix(basename(F.col("source"))).isin(*dims.PROSE_SUFFIXES))),
-    "secrets": secrets,
-    "dependencies": dependencies,
+#: Detectors by name, with the texts each reads: 'files' as they are, 'prose' (prose files and the texts of SKILL.md), or 'all'. A further one is just another entry.
+DETECTORS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
+    "base64_blobs": (base64_blobs, "files"),
+    "eval_of_decoded": (eval_of_decoded, "files"),
+    "secrets": (secrets, "files"),
+    "instructions": (instructions, "prose"),
+    "dependencies": (dependencies, "all"),
 }
 
 
-def run_on_files(texts: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """All detectors over scannable files."""
-    seen = texts.filter(F.col("text").isNotNull() & scannable(F.col("source")))
-    parts = [f(seen) for n, f in DETECTORS.items() if names is None or n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def static_findings(files: DataFrame, metadata: DataFrame, skill_texts: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     """All static findings of a fleet, in phases: files, hidden executables, the whole SKILL.md, two of its fields, tools, paths.
 
@@ -238,11 +229,10 @@ def static_findings(files: DataFrame, metadata: DataFrame, skill_texts: DataFram
     whole = skill_texts.withColumn("phase", F.lit(3)).withColumn("file_no", F.lit(0)).select(*cols)
     fields = metadata.select("skill_path", "source", F.expr("stack(2, string(description), 4, string(when_to_use), 5) AS (text, phase)"), F.lit(0).alias("file_no")).filter(F.col("text").isNotNull()).select(*cols)
     prose = whole.unionByName(fields)
+    prose_files = inside.filter(suffix(basename(F.col("source"))).isin(*dims.PROSE_SUFFIXES))
+    texts_of = {"files": inside, "prose": prose_files.unionByName(prose), "all": inside.unionByName(prose)}
     # Texts of all phases go through each detector together, so each is planned once.
-    parts = [
-        base64_blobs(inside), eval_of_decoded(inside), secrets(inside),
-        instructions(inside.filter(suffix(basename(F.col("source"))).isin(*dims.PROSE_SUFFIXES)).unionByName(prose)), dependencies(inside.unionByName(prose)),
-    ]
+    parts = [detect(texts_of[kind]) for detect, kind in DETECTORS.values()]
     parts += [broad_grants(metadata), sensitive_paths(metadata)]
     if hidden is not None:
         parts.append(_finding(hidden, 2, F.lit(0), "hidden_executable", F.col("severity"), F.lit("a hidden file can run"), F.col("source")))

@@ -110,14 +110,9 @@ def usage_examples(body: Column) -> Column:
 
     The first other line that begins with # ends the section, a comment within a fence too.
     """
-    start = F.struct(F.lit(0).alias("on"), F.array().cast("array<string>").alias("kept"))
-
-    def step(s: Column, line: Column) -> Column:
-        heading, other = line.rlike(dims.USAGE_HEADING), F.startswith(line, F.lit("#"))
-        on = F.when(s["on"] == 2, 2).when(heading, 1).when((s["on"] == 1) & other, 2).otherwise(s["on"]).cast("int")
-        return F.struct(on.alias("on"), F.when((on == 1) & ~heading, F.array_append(s["kept"], line)).otherwise(s["kept"]).alias("kept"))
-
-    section = F.aggregate(F.split(body, "\n"), start, step, lambda s: F.array_join(s["kept"], "\n"))
+    heading = r"#{1,6}\s*(?:usage|examples?)\b[^\n]*+"
+    found = F.regexp_extract(body, rf"(?i)(?:^|\n){heading}((?:\n(?:{heading}|(?!#)[^\n]*+))*+)", 1)
+    section = F.regexp_replace(found, rf"(?im)^{heading}$", "")
     fences = F.regexp_extract_all(section, F.lit(dims.FENCED), F.lit(1))
     lines = F.flatten(F.transform(fences, lambda b: F.split(b, "\n")))
     commands = F.transform(lines, lambda x: stripped(F.regexp_replace(x, r"^\s*\$\s+", "")))

@@ -140,18 +140,6 @@ def top_findings(spark, d):
     return reporting.top_findings(findings(spark, d), "skill_id", "finding_id").select("skill_id", "finding_id", "severity", "place", "more")
 
 
-def _snapshot(spark, d, n):
-    return table(spark, d, "finding_snapshot").filter(F.col("snapshot_no") == n).select(F.col("skill_id").alias("pair"), "skill_path", "category", "source", "summary")
-
-
-def compare_new(spark, d):
-    return reporting.new_findings(_snapshot(spark, d, 2), _snapshot(spark, d, 1)).groupBy("pair", "category", "sig_source", "summary").agg(F.count("*").alias("n"))
-
-
-def compare_resolved(spark, d):
-    return reporting.resolved_counts(_snapshot(spark, d, 2), _snapshot(spark, d, 1))
-
-
 def _followed(spark, d):
     """(now, before): the findings of every snapshot that follows another and, under its number, those of the one before."""
     t = table(spark, d, "finding_snapshot").filter(F.col("snapshot_no").isNotNull()).withColumn("snapshot_no", F.col("snapshot_no").cast("int"))
@@ -164,24 +152,18 @@ def _followed(spark, d):
     return of(t), of(t.withColumn("snapshot_no", F.col("snapshot_no") + 1))
 
 
-def compare_new_all(spark, d):
-    """As compare_new, for each snapshot against the one before."""
+def compare_new(spark, d):
+    """New findings of each snapshot against the one before."""
     n = reporting.new_findings(*_followed(spark, d)).groupBy("pair", "category", "sig_source", "summary").agg(F.count("*").alias("n"))
     return n.select("pair.snapshot_no", F.col("pair.skill_id").alias("pair"), "category", "sig_source", "summary", "n")
 
 
-def compare_resolved_all(spark, d):
-    """As compare_resolved, for each snapshot against the one before."""
+def compare_resolved(spark, d):
+    """Resolved findings of each snapshot against the one before."""
     return reporting.resolved_counts(*_followed(spark, d)).select("pair.snapshot_no", F.col("pair.skill_id").alias("pair"), "resolved")
 
 
 def matched_reports(spark, d):
-    r = latest(table(spark, d, "scan_report"), ["report_id"], "skill_name", "skill_path")
-    now = r.filter("report_id % 2 = 0").select(F.col("report_id").alias("now_id"), "skill_name")
-    return reporting.matched_reports(now, r.filter("report_id % 2 = 1").select(F.col("report_id").alias("before_id"), "skill_name"))
-
-
-def matched_reports_all(spark, d):
     """Every report with the last earlier one of its name."""
     return reporting.previous_reports(latest(table(spark, d, "scan_report"), ["report_id"], "skill_name", "generated_at"))
 
@@ -223,7 +205,7 @@ def report_html(spark, d):
 
 def not_attempted(spark, d):
     """Skills without anything to run. No SQL: see run_candidates."""
-    s = skills(spark, d, "body").select(F.concat(F.lit("s"), F.col("skill_id")).alias("skill"))
+    s = skills(spark, d, "body").select(F.concat(_root(), F.lit("s"), F.col("skill_id")).alias("skill"))
     return discovery.not_attempted(s, run_candidates(spark, d))
 
 
@@ -235,12 +217,12 @@ def difference_findings(spark, d):
 
 
 def prose_instructions(spark, d):
-    got = detectors.instructions(bodies(spark, d)).filter("category <> 'hidden_unicode_content'")
+    got = detectors.instructions(bodies(spark, d), hidden=False)
     return got.select(F.col("skill_path").alias("skill_id"), F.regexp_extract("detail", r"^line (\d+)", 1).cast("int").alias("line_no"), "category", "severity")
 
 
 def hidden_unicode(spark, d):
-    got = detectors.instructions(bodies(spark, d)).filter("category = 'hidden_unicode_content'")
+    got = detectors.instructions(bodies(spark, d), said=False)
     return got.select(F.col("skill_path").alias("skill_id"), F.regexp_extract("detail", r"^line (\d+)", 1).cast("int").alias("line_no"), F.substring("summary", 21, 200).alias("kind"))
 
 
@@ -329,14 +311,22 @@ def sensitive_paths(spark, d):
 # --- files ----------------------------------------------------------------------------------------
 
 
+#: Folders above the skills, by id: ordinary, of an agent's installation, of tests, hidden.
+ROOTS = ("", "pack/", ".claude/skills/", "Tests/", "a/.hidden/", "b/fixtures/", "")
+
+
+def _root() -> Column:
+    return F.coalesce(F.get(F.array(*[F.lit(x) for x in ROOTS]), F.pmod("skill_id", F.lit(len(ROOTS))).cast("int")), F.lit(""))
+
+
 def _tree(spark, d):
     f = files(spark, d, "skill_id", "relative_path", "is_executable", "file_text")
     folder = F.element_at(F.array(*[F.lit(x) for x in ("", ".git/hooks/", ".github/scripts/", ".cache/", "sub/", "a/.b/")]), (F.col("file_id") % 6 + 1).cast("int"))
-    rel = F.concat(F.lit("s"), F.col("skill_id"), F.lit("/"), folder, "relative_path")
+    rel = F.concat(_root(), F.lit("s"), F.col("skill_id"), F.lit("/"), folder, "relative_path")
     name = F.substring_index("relative_path", "/", -1)
     mode = F.when(F.coalesce("is_executable", F.lit(False)), 493).otherwise(420)
     rows = f.select(rel.alias("rel_path"), name.alias("name"), mode.alias("mode"), F.substring(F.col("file_text"), 1, 2).cast("binary").alias("head"))
-    md = skills(spark, d, "body").select(F.concat(F.lit("s"), F.col("skill_id"), F.lit("/SKILL.md")).alias("rel_path"), F.lit("SKILL.md").alias("name"), F.lit(420).alias("mode"), F.lit(b"# ").alias("head"))
+    md = skills(spark, d, "body").select(F.concat(_root(), F.lit("s"), F.col("skill_id"), F.lit("/SKILL.md")).alias("rel_path"), F.lit("SKILL.md").alias("name"), F.lit(420).alias("mode"), F.lit(b"# ").alias("head"))
     return rows.unionByName(md).filter(F.col("rel_path").isNotNull())
 
 
@@ -357,7 +347,7 @@ def hidden_executables(spark, d):
 
 def run_candidates(spark, d):
     """No SQL: the usage section is read by a state machine over lines."""
-    b = skills(spark, d, "body").select(F.concat(F.lit("s"), F.col("skill_id")).alias("skill"), F.coalesce("body", F.lit("")).alias("body"))
+    b = skills(spark, d, "body").select(F.concat(_root(), F.lit("s"), F.col("skill_id")).alias("skill"), F.coalesce("body", F.lit("")).alias("body"))
     t = _tree(spark, d)
     return discovery.candidates(b, discovery.bundled_files(discovery.files_of_skills(t, discovery.skill_folders(t))))
 
@@ -410,9 +400,14 @@ def connect_fallback(spark, d):
     return behaviour.connect_findings(calls(spark, d), flows(spark, d)).select("run_id", F.regexp_extract("summary", r"^(\d+)", 1).cast("bigint").alias("n"))
 
 
+def _routed(spark, d):
+    """Requests with their path up to the query, so that some come near to each other."""
+    return cut(flows(spark, d).withColumn("path", F.substring_index("path", "?", 1)))
+
+
 def neardup_requests(spark, d):
-    got = behaviour.collapsed(flows(spark, d).filter("kind = 'http_request'").withColumn("route", F.substring_index("path", "?", 1)), ["run_id", "host"], "flow_no", ["route"])
-    return got.select("run_id", "host", "n", F.col("first._o").alias("first_no"), F.array_join(F.transform("samples", lambda s: s["route"]), ",").alias("samples"))
+    """Requests of a run by method, host and path, three or more as one."""
+    return behaviour.request_findings(_routed(spark, d)).select("run_id", F.col("ord").alias("first_no"), "severity", "summary")
 
 
 def neardup_opens(spark, d):
@@ -431,7 +426,7 @@ def run_findings(spark, d):
 
 
 def run_signature(spark, d):
-    return behaviour.signature(runs(spark, d), calls(spark, d), flows(spark, d))
+    return behaviour.signature(runs(spark, d), cut(calls(spark, d)), cut(flows(spark, d)))
 
 
 def differential(spark, d):
@@ -488,12 +483,13 @@ _DIR = "CASE WHEN contains({0}, '/') THEN CASE WHEN regexp_replace(regexp_extrac
 _ARGS = "CASE WHEN contains(raw_args, ']') THEN regexp_extract(raw_args, '^(.*\\])', 1) ELSE raw_args END"
 _SIG = f"""sig AS (SELECT DISTINCT * FROM (SELECT run_id, 'network' AS kind, method AS d1, host AS d2, path AS d3 FROM flows WHERE kind = 'http_request'
 UNION ALL SELECT run_id, 'file', {_DIR.format('opened')}, NULL, NULL FROM opens UNION ALL SELECT run_id, 'subprocess', {_ARGS}, NULL, NULL FROM execs))"""
+_ROOT = "coalesce([" + ", ".join(f"'{r}'" for r in ROOTS) + f"][skill_id % {len(ROOTS)} + 1], '')"
+_INSTALLED, _TESTS = "|".join(x.replace(".", "[.]") for x in dims.INSTALL_DIRS), "|".join(dims.TEST_DIRS)
 _TREE = f"""{_FILES}, {_BODIES},
-tree AS (SELECT 's' || skill_id || '/' || ['', '.git/hooks/', '.github/scripts/', '.cache/', 'sub/', 'a/.b/'][file_id % 6 + 1] || relative_path AS rel_path, split_part(relative_path, '/', -1) AS name, coalesce(is_executable, false) AS exec, substr(file_text, 1, 2) AS head FROM bf
-UNION ALL SELECT 's' || skill_id || '/SKILL.md', 'SKILL.md', false, '# ' FROM sm),
+tree AS (SELECT {_ROOT} || 's' || skill_id || '/' || ['', '.git/hooks/', '.github/scripts/', '.cache/', 'sub/', 'a/.b/'][file_id % 6 + 1] || relative_path AS rel_path, split_part(relative_path, '/', -1) AS name, coalesce(is_executable, false) AS exec, substr(file_text, 1, 2) AS head FROM bf
+UNION ALL SELECT {_ROOT} || 's' || skill_id || '/SKILL.md', 'SKILL.md', false, '# ' FROM sm),
 fold AS (SELECT regexp_extract(rel_path, '^(.*)/[^/]*$', 1) AS skill, min(rel_path) AS skill_md FROM tree WHERE rel_path IS NOT NULL AND lower(name) = 'skill.md'
- AND NOT regexp_matches(regexp_extract(rel_path, '^(.*)/[^/]*$', 1), '(^|/)([.](?!)|$)') GROUP BY 1)"""
-_TREE = _TREE.replace(" AND NOT regexp_matches(regexp_extract(rel_path, '^(.*)/[^/]*$', 1), '(^|/)([.](?!)|$)')", "")
+ AND NOT regexp_matches(regexp_replace(lower(regexp_extract(rel_path, '^(.*)/[^/]*$', 1)), '(^|/)({_INSTALLED})(/|$)', '\\1x\\3', 'g'), '(^|/)([.].*|{_TESTS})(/|$)') GROUP BY 1)"""
 _SHOWN = f"""own AS (SELECT f.skill, substr(t.rel_path, length(f.skill) + 2) AS path, t.* EXCLUDE (rel_path) FROM tree t JOIN fold f ON starts_with(t.rel_path, f.skill || '/')),
 own2 AS (SELECT *, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS folder, coalesce(head = '#!', false) AS bang FROM own),
 shown AS (SELECT * FROM own2 WHERE lower(path) <> 'skill.md' AND NOT regexp_matches(folder, '(^|/)[.]') AND (NOT starts_with(name, '.') OR (name IN ('.env', '.npmrc', '.pypirc', '.netrc') AND NOT exec AND NOT bang)))"""
@@ -513,11 +509,6 @@ _GRANTED = f"""{_BODIES}, g AS (SELECT skill_id, coalesce(allowed_tools, []) ||
 _NOW = "rtrim(trim(coalesce(skill_path, '')), '/')"
 
 
-def _sig_sql(n: int) -> str:
-    return f"""SELECT skill_id AS pair, category, CASE WHEN p <> '' AND s = p THEN '.' WHEN p <> '' AND starts_with(s, p || '/') THEN substr(s, length(p) + 2) ELSE s END AS sig_source, summary
-FROM (SELECT *, {_NOW} AS p, trim(coalesce(source, '')) AS s FROM finding_snapshot WHERE snapshot_no = {n})"""
-
-
 _FOLLOWED = f"""s AS (SELECT snapshot_no, skill_id AS pair, category, CASE WHEN p <> '' AND s = p THEN '.' WHEN p <> '' AND starts_with(s, p || '/') THEN substr(s, length(p) + 2) ELSE s END AS sig_source, summary
 FROM (SELECT *, {_NOW} AS p, trim(coalesce(source, '')) AS s FROM finding_snapshot WHERE snapshot_no IS NOT NULL)),
 a AS (SELECT * FROM s WHERE snapshot_no - 1 IN (SELECT snapshot_no FROM s)),
@@ -558,12 +549,9 @@ SELECT finding_id, lower(severity) AS severity, '[' || lower(coalesce(category,
         "difference_findings": f"""WITH {_CALLS}, {_FLOWS}, {_OPENS}, {_RUNS}, {_execs('invocation')}, {_SIG}, a AS (SELECT run_id // 2 AS candidate, kind, d1, d2, d3 FROM sig WHERE run_id % 2 = 0), b AS (SELECT run_id // 2 AS candidate, kind, d1, d2, d3 FROM sig WHERE run_id % 2 = 1)
 SELECT candidate, 'medium' AS severity, 'no longer under changed conditions: ' || concat_ws(' ', kind, d1, d2, d3) AS summary FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
 UNION ALL SELECT candidate, 'medium', 'only under changed conditions: ' || concat_ws(' ', kind, d1, d2, d3) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
-        "compare_new": f"WITH a AS ({_sig_sql(2)}), b AS ({_sig_sql(1)}) SELECT pair, category, sig_source, summary, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.pair IS NOT DISTINCT FROM a.pair AND b.category IS NOT DISTINCT FROM a.category AND b.sig_source = a.sig_source AND b.summary IS NOT DISTINCT FROM a.summary) GROUP BY 1, 2, 3, 4",
-        "compare_resolved": f"WITH a AS ({_sig_sql(2)}), b AS ({_sig_sql(1)}) SELECT pair, count(*) AS resolved FROM (SELECT DISTINCT * FROM b EXCEPT SELECT * FROM a) GROUP BY 1",
-        "compare_new_all": f"WITH {_FOLLOWED} SELECT snapshot_no, pair, category, sig_source, summary, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.snapshot_no = a.snapshot_no AND b.pair IS NOT DISTINCT FROM a.pair AND b.category IS NOT DISTINCT FROM a.category AND b.sig_source = a.sig_source AND b.summary IS NOT DISTINCT FROM a.summary) GROUP BY 1, 2, 3, 4, 5",
-        "compare_resolved_all": f"WITH {_FOLLOWED} SELECT snapshot_no, pair, count(*) AS resolved FROM (SELECT DISTINCT * FROM b EXCEPT SELECT * FROM a) GROUP BY 1, 2",
-        "matched_reports": "WITH r AS (SELECT report_id, arg_max(skill_name, (loaded_at, skill_name)) AS skill_name FROM scan_report WHERE report_id IS NOT NULL GROUP BY 1) SELECT a.report_id AS now_id, max(b.report_id) AS before_id FROM r a JOIN r b USING (skill_name) WHERE a.report_id % 2 = 0 AND b.report_id % 2 = 1 AND length(skill_name) > 0 GROUP BY 1",
-        "matched_reports_all": "WITH r AS (SELECT report_id, arg_max((skill_name, generated_at), (loaded_at, skill_name, generated_at)) AS v FROM scan_report WHERE report_id IS NOT NULL GROUP BY 1), n AS (SELECT report_id, v[1] AS skill_name, v[2] AS generated_at FROM r WHERE length(v[1]) > 0) SELECT a.report_id AS now_id, arg_max(b.report_id, (b.generated_at, b.report_id)) AS before_id FROM n a JOIN n b ON a.skill_name = b.skill_name AND b.generated_at < a.generated_at GROUP BY 1",
+        "compare_new": f"WITH {_FOLLOWED} SELECT snapshot_no, pair, category, sig_source, summary, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.snapshot_no = a.snapshot_no AND b.pair IS NOT DISTINCT FROM a.pair AND b.category IS NOT DISTINCT FROM a.category AND b.sig_source = a.sig_source AND b.summary IS NOT DISTINCT FROM a.summary) GROUP BY 1, 2, 3, 4, 5",
+        "compare_resolved": f"WITH {_FOLLOWED} SELECT snapshot_no, pair, count(*) AS resolved FROM (SELECT DISTINCT * FROM b EXCEPT SELECT * FROM a) GROUP BY 1, 2",
+        "matched_reports": "WITH r AS (SELECT report_id, arg_max((skill_name, generated_at), (loaded_at, skill_name, generated_at)) AS v FROM scan_report WHERE report_id IS NOT NULL GROUP BY 1), n AS (SELECT report_id, v[1] AS skill_name, v[2] AS generated_at FROM r WHERE length(v[1]) > 0) SELECT a.report_id AS now_id, arg_max(b.report_id, (b.generated_at, b.report_id)) AS before_id FROM n a JOIN n b ON a.skill_name = b.skill_name AND b.generated_at < a.generated_at GROUP BY 1",
         "prose_instructions": f"WITH {_LINES}, k AS (SELECT skill_id, line_no, {kind} AS category FROM l) SELECT *, CASE category WHEN 'skill_md_remote_exec_instruction' THEN 'medium' ELSE 'critical' END AS severity FROM k WHERE category IS NOT NULL",
         "hidden_unicode": f"WITH {_LINES}, k AS (SELECT skill_id, line_no, {_HIDDEN} AS kind FROM l) SELECT * FROM k WHERE kind IS NOT NULL",
         "secrets_found": f"""WITH {_FILE_LINES}, keep AS (SELECT file_id FROM bf WHERE true), h AS ({_SECRET_SQL})
@@ -600,8 +588,9 @@ SELECT run_id, line_no, qtype, name, CASE WHEN s1 = -1 THEN a1 ELSE '' END AS an
         "notable_execs": f"WITH {_CALLS}, {_RUNS}, {_execs("replace(invocation, 'python ', 'sh ')")} SELECT run_id, event_no, command FROM execs",
         "trace_health": f"WITH {_CALLS}, {_RUNS} SELECT run_id, CASE WHEN coalesce(timed_out, false) THEN 'sandbox_timeout' ELSE 'sandbox_no_trace_data' END AS category, CASE WHEN coalesce(timed_out, false) THEN 'medium' ELSE 'high' END AS severity FROM rn WHERE coalesce(timed_out, false) OR run_id NOT IN (SELECT run_id FROM calls)",
         "connect_fallback": f"WITH {_CALLS}, {_FLOWS} SELECT run_id, count(*) AS n FROM calls WHERE syscall = 'connect' AND contains(raw_args, 'AF_INET') AND run_id NOT IN (SELECT run_id FROM flows WHERE length(host) > 0) GROUP BY 1",
-        "neardup_requests": f"""WITH {_LOG}, {_FLOWS}, q AS (SELECT run_id, host, flow_no, split_part(path, '?', 1) AS route, count(*) OVER (PARTITION BY run_id, host) AS n FROM flows WHERE kind = 'http_request')
-SELECT run_id, host, 1 AS n, flow_no AS first_no, route AS samples FROM q WHERE n < 3 UNION ALL SELECT run_id, host, n, min(flow_no), array_to_string(list(route ORDER BY flow_no)[1:3], ',') FROM q WHERE n >= 3 GROUP BY 1, 2, 3""",
+        "neardup_requests": f"""WITH {_LOG}, {_FLOWS}, q AS (SELECT run_id, method, host, split_part(path, '?', 1) AS route, flow_no FROM flows WHERE kind = 'http_request'), c AS (SELECT *, count(*) OVER (PARTITION BY run_id, method, host, route) AS n FROM q),
+ s AS (SELECT *, 'request: ' || coalesce(method, '?') || ' ' || coalesce(host, '?') || coalesce(route, '') AS said FROM c)
+SELECT run_id, CAST(flow_no AS BIGINT) AS first_no, 'high' AS severity, said AS summary FROM s WHERE n < 3 UNION ALL SELECT run_id, min(flow_no), 'high', said || ', ' || n || ' times' FROM s WHERE n >= 3 GROUP BY run_id, method, host, route, n, said""",
         "neardup_opens": f"""WITH {_CALLS}, {_OPENS}, q AS (SELECT run_id, {_DIR.format('opened')} AS folder, event_no, opened FROM opens), c AS (SELECT *, count(*) OVER (PARTITION BY run_id, folder) AS n FROM q)
 SELECT run_id, CAST(event_no AS BIGINT) AS first_no, 'file opened: ' || opened AS summary, '' AS detail FROM c WHERE n < 3 UNION ALL SELECT run_id, min(event_no), n || ' files opened in ' || folder, array_to_string(list(opened ORDER BY event_no)[1:3], ', ') FROM c WHERE n >= 3 GROUP BY run_id, folder, n""",
         "neardup_execs": f"""WITH {_CALLS}, {_RUNS}, {_execs('invocation')}, c AS (SELECT *, count(*) OVER (PARTITION BY run_id, command) AS m FROM execs)
@@ -614,7 +603,7 @@ SELECT *, 'baseline' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UN
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        risk_score, worst_first, worst_skill, severity_counts, level_counts, risk_guidance, enriched_findings, report_sections, top_findings, compare_new, compare_resolved, compare_new_all, compare_resolved_all, matched_reports, matched_reports_all, over_threshold, semantic_findings, report_json, report_markdown, report_html, not_attempted, difference_findings,
+        risk_score, worst_first, worst_skill, severity_counts, level_counts, risk_guidance, enriched_findings, report_sections, top_findings, compare_new, compare_resolved, matched_reports, over_threshold, semantic_findings, report_json, report_markdown, report_html, not_attempted, difference_findings,
         prose_instructions, hidden_unicode, secrets_found, secret_words, base64_blobs, js_eval_decode, py_eval_decode, install_targets, manifest_packages, known_malicious, typosquats, broad_grants, sensitive_paths,
         skill_folders, bundled_files, hidden_executables, run_candidates, front_matter, source_lines, system_calls, resolver_queries, http_flows, internet_connects, notable_opens, notable_execs, trace_health,
         connect_fallback, neardup_requests, neardup_opens, neardup_execs, run_findings, run_signature, differential,

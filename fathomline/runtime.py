@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -32,16 +33,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is set, as in tests."""
+    """The folder the cluster names for checkpoints; a temporary one only in local mode, as in tests, where one machine is all there is."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "fathomline-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Delete what cut has written so far; results that read it can no longer be computed. Done when the process ends."""
+    while _written:
+        spark, place = _written.pop()
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - a session that has ended takes its gateway with it
+            continue
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder as parquet and read it back.
 
@@ -50,6 +67,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     place = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release)
+    _written.append((spark, place))
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
@@ -69,14 +89,15 @@ def latest(df: DataFrame, keys: list[str], *columns: str, by: str = "loaded_at")
     return out.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 
-def fan_out(scan: DataFrame) -> DataFrame:
+def fan_out(scan: DataFrame, parts: int | None = None) -> DataFrame:
     """Spread a scan of few splits over all cores when a Python stage follows.
 
-    A small compressed file is one split however long its decoded text. Where the
-    scan already has a split per core nothing is moved.
+    A small compressed file is one split however long its decoded text. parts: the number of
+    partitions, always made. Without it a scan that already has a split per core is left as it
+    is; the plan must then be free of shuffles, since counting its splits would run them.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    cores = parts or scan.sparkSession.sparkContext.defaultParallelism
+    return scan if not parts and scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def text_key(*columns: Column, seed: int = 0) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline import dims
+from fathomline.runtime import cut
 from fathomline.textops import let, split_lines, stripped
 
 FLOW = "kind string, host string, port int, method string, path string, headers map<string,string>, body_base64 string, body_truncated boolean, status_code int, sni string, timestamp double"
@@ -14,16 +15,23 @@ REPORT = f"skill_path string, skill_name string, skill_description string, risk_
 
 
 def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line_no, raw_line) of text logs; a folder without files has no lines."""
+    """(file, line_no, raw_line) of text logs, numbered from 0; a folder without files has no lines.
+
+    Files are read in splits of any number. Lines are numbered within each split, and a table
+    with one row a split says how many lines of the file stand before it.
+    """
     try:
-        whole = spark.read.option("wholetext", True).text(path)
-        whole.schema
+        found = spark.read.text(path)
+        found.schema
     except Exception as e:  # noqa: BLE001 - Spark has no narrower class for a missing path
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], "file string, line_no int, raw_line string")
-    lines = F.posexplode(F.split("value", r"\r\n|\n|\r"))
-    return whole.select(F.input_file_name().alias("file"), lines.alias("line_no", "raw_line"))
+    lines = cut(found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw_line")))
+    splits = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(offsets, ["file", "start"]).select("file", (F.col("id") + F.col("shift")).cast("int").alias("line_no"), "raw_line")
 
 
 def parse_flows(lines: DataFrame, text: str = "raw_line", *keys: str) -> DataFrame:
@@ -42,7 +50,7 @@ def requirement_lines(text: Column) -> Column:
 
     def entry(t: Column) -> Column:
         spec = stripped(F.regexp_extract(t, "(" + dims.VERSION_SPEC + ")", 1))
-        pin = F.when(F.startswith(spec, F.lit("==")) & ~F.contains(spec, F.lit(",")), F.nullif(stripped(F.substring(spec, 3, 10_000)), F.lit("")))
+        pin = F.when(F.startswith(spec, F.lit("==")) & ~F.contains(spec, F.lit(",")), F.nullif(stripped(F.regexp_replace(spec, "^==", "")), F.lit("")))
         return F.struct(stripped(F.regexp_replace(t, dims.VERSION_SPEC, "")).alias("name"), pin.alias("version"))
 
     return F.filter(F.transform(token, entry), lambda e: e["name"] != "")
@@ -60,5 +68,12 @@ def package_entries(text: Column) -> Column:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Earlier reports from a JSON file with one report or an array of them."""
-    return spark.read.schema(REPORT).option("multiLine", True).json(path)
+    """Earlier reports from a JSON file with one report or an array of them. ValueError if it is malformed or a report has no skill_path."""
+    got = spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    try:
+        whole = got.filter("skill_path IS NULL").isEmpty() and not got.isEmpty()
+    except Exception as e:  # noqa: BLE001 - Spark has no narrower class for a record it cannot read
+        raise ValueError(f"no report can be read from {path}") from e
+    if not whole:
+        raise ValueError(f"{path} holds no report, or one without skill_path")
+    return got

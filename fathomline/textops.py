@@ -62,27 +62,24 @@ def any_contains(c: Column, words: tuple[str, ...] | list[str]) -> Column:
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<hit, before, line>> of a pattern's matches: the text, what precedes it, and its line from 1.
+    """array<struct<hit, line, tail>> of a pattern's matches: the text, its line from 1, and what stands before it back to the match before.
 
-    The pattern must not match the empty text. The running prefix is carried along, so a
-    text with many matches is walked once.
+    The pattern must not match the empty text. Line numbers come from a copy of the text in
+    which each match is a mark, cut into lines, so the work grows with the text alone.
     """
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
     whole = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<hit:string,line:int,tail:string>>")
-    start = F.struct(F.lit(0).alias("i"), F.lit(1).alias("line"), F.lit("").alias("tail"), none.alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
+    mark = "\x00"
+
+    def placed(z: Column) -> Column:
+        h, g, w = z["h"], z["g"], z["w"]
+        # Each match becomes its line ends and a mark before them; marks per line give the lines of the matches in order.
+        pieces = F.transform(h, lambda _, k: F.concat(F.replace(F.get(g, k), F.lit(mark), F.lit("")), F.lit(mark), F.regexp_replace(F.get(w, k), "[^\n]", "")))
+        marked = F.split(F.array_join(pieces, ""), "\n", -1)
+        lines = F.flatten(F.transform(marked, lambda line, k: F.array_repeat(k + 1, F.size(F.split(line, mark, -1)) - 1)))
         # The text before a match, back to the match before it: enough for looking back, never a copy of the whole prefix.
-        line = s["line"] + F.regexp_count(x["gap"], F.lit("\n"))
-        tail = F.concat(s["tail"], x["gap"])
-        item = F.struct(x["hit"].alias("hit"), line.cast("int").alias("line"), tail.alias("tail"))
-        return F.struct((s["i"] + 1).alias("i"), (line + F.regexp_count(x["all"], F.lit("\n"))).cast("int").alias("line"), x["all"].alias("tail"), F.array_append(s["out"], item).alias("out"))
-
-    zipped = let(
-        F.struct(hits.alias("h"), gaps.alias("g"), whole.alias("w")),
-        lambda z: F.when(F.size(z["h"]) > 0, F.transform(F.sequence(F.lit(0), F.size(z["h"]) - 1), lambda k: F.struct(z["h"][k].alias("hit"), z["g"][k].alias("gap"), z["w"][k].alias("all")))).otherwise(
-            F.array().cast("array<struct<hit:string,gap:string,all:string>>")
-        ),
-    )
-    return F.aggregate(zipped, start, step, lambda s: s["out"])
+        tail = lambda k: F.concat(F.when(k > 0, F.get(w, k - 1)).otherwise(""), F.get(g, k))
+        return let(lines, lambda at: F.transform(h, lambda x, k: F.struct(x.alias("hit"), F.get(at, k).cast("int").alias("line"), tail(k).alias("tail"))))
+
+    none = F.array().cast("array<struct<hit:string,line:int,tail:string>>")
+    return let(F.struct(hits.alias("h"), gaps.alias("g"), whole.alias("w")), lambda z: F.when(F.size(z["h"]) > 0, placed(z)).otherwise(none))

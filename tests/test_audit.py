@@ -272,9 +272,9 @@ def test_all_consecutive_snapshots_are_compared(spark, tmp_path):
     seen = [(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "c"), (3, "c"), (4, "c"), (6, "d"), (None, "e")]
     rows = [(no, None if s == "d" else 7, f"/x{no}", "k", s, f"/x{no}/f.py") for no, s in seen]
     spark.createDataFrame(rows, "snapshot_no int, skill_id bigint, skill_path string, category string, summary string, source string").write.parquet(str(tmp_path / "finding_snapshot.parquet"))
-    new = registry.queries()["compare_new_all"](spark, str(tmp_path)).collect()
+    new = registry.queries()["compare_new"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in new] == [(3, 7, "k", "f.py", "c", 2)]
-    resolved = registry.queries()["compare_resolved_all"](spark, str(tmp_path)).collect()
+    resolved = registry.queries()["compare_resolved"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in resolved) == [(2, 7, 1), (4, 7, 1)]
 
 
@@ -283,7 +283,7 @@ def test_every_report_meets_the_one_before(spark, tmp_path):
     rows = [(2, "x", at(1), at(9)), (4, "x", at(2), at(9)), (6, "x", at(2), at(9)), (7, "x", at(4), at(9)), (3, "x", at(3), at(9)), (5, "y", at(1), at(9)), (8, None, at(1), at(9)), (9, "", at(2), at(9)), (1, "x", None, at(9)), (5, "x", at(5), at(8))]
     df = spark.createDataFrame(rows, "report_id bigint, skill_name string, generated_at string, loaded_at string")
     df.withColumn("generated_at", F.col("generated_at").cast("timestamp")).withColumn("loaded_at", F.col("loaded_at").cast("timestamp")).write.parquet(str(tmp_path / "scan_report.parquet"))
-    got = registry.queries()["matched_reports_all"](spark, str(tmp_path)).collect()
+    got = registry.queries()["matched_reports"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == [(3, 6), (4, 2), (6, 2), (7, 3)]
 
 

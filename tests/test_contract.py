@@ -33,7 +33,7 @@ def duck():
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["risk_guidance", "top_findings", "prose_instructions", "secrets_found", "install_targets", "known_malicious", "hidden_executables", "system_calls", "resolver_queries", "neardup_opens", "differential", "compare_resolved", "p4_found", "p5_found"])
+@pytest.mark.parametrize("name", ["risk_guidance", "top_findings", "prose_instructions", "secrets_found", "install_targets", "known_malicious", "hidden_executables", "system_calls", "resolver_queries", "neardup_opens", "differential", "compare_resolved", "neardup_requests", "skill_folders", "matched_reports", "p4_found", "p5_found"])
 def test_query_equals_its_sql(spark, duck, name):
     got = registry.queries()[name](spark, DATA)
     want = duck.sql(registry.oracle_sql()[name])
