@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fathomline import dims
 from fathomline.operators import trace
-from fathomline.textops import basename, dirname
+from fathomline.textops import dirname
 
 
 def collapsed(events: DataFrame, keys: list[str], order: str, payload: list[str], threshold: int = dims.NEAR_DUPLICATES, sample: int = 3) -> DataFrame:
@@ -131,6 +131,3 @@ def difference_findings(diff: DataFrame, key: str = "candidate") -> DataFrame:
     summary = F.when(F.col("only_in") == "varied", F.concat(F.lit("only under changed conditions: "), said)).otherwise(F.concat(F.lit("no longer under changed conditions: "), said))
     return diff.select(key, F.lit(11).alias("phase"), F.lit("differential_behavior_change").alias("category"), F.lit("medium").alias("severity"), summary.alias("summary"))
 
-
-def command_names(calls: DataFrame) -> DataFrame:
-    return calls.filter("syscall = 'execve'").select("run_id", "event_no", basename(trace.exec_path(F.col("raw_args"))).alias("command"))

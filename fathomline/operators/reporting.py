@@ -70,9 +70,9 @@ def guidance(findings: DataFrame, key: str = "skill_path", everyone: DataFrame |
     verdict = dims.lookup(dims.VERDICTS, F.col("risk_level"))
     why = F.array_join(F.transform("gaps", lambda g: F.coalesce(dims.lookup(dims.GAPS, g), F.lit("coverage was limited"))), "; ")
     text = (
-        F.when(F.col("findings") == 0, "No concerning behavior found — this skill looks safe to use.")
-        .when(F.size("labels") > 0, F.concat(F.lit("Flagged for "), joined_with_and(F.col("labels")), F.lit(" — "), verdict, F.lit(".")))
-        .otherwise(F.concat(F.lit("No malicious behavior found — "), why, F.lit(". "), F.upper(F.substring(verdict, 1, 1)), F.expr("substring(verdict_text, 2)"), F.lit(".")))
+        F.when(F.col("findings") == 0, dims.GUIDANCE["clean"])
+        .when(F.size("labels") > 0, F.concat(F.lit(dims.GUIDANCE["flagged"]), joined_with_and(F.col("labels")), F.lit(" — "), verdict, F.lit(".")))
+        .otherwise(F.concat(F.lit(dims.GUIDANCE["gaps"]), why, F.lit(". "), F.upper(F.substring(verdict, 1, 1)), F.expr("substring(verdict_text, 2)"), F.lit(".")))
     )
     return j.withColumn("verdict_text", verdict).select(key, "risk_score", "risk_level", text.alias("guidance"))
 
@@ -104,10 +104,6 @@ def over_threshold(scored: DataFrame, threshold: str) -> bool:
     return not scored.filter(dims.severity_rank(F.col("risk_level")) >= dims.SEVERITIES.index(threshold)).limit(1).isEmpty()
 
 
-def normalised_source(source: Column, skill_path: Column) -> Column:
-    return relative_source(source, skill_path)
-
-
 def signatures(findings: DataFrame) -> DataFrame:
     """Findings with what identifies them across scans: category, source below the skill, summary."""
     path = F.rtrim(tidy("skill_path"), F.lit("/"))
@@ -202,11 +198,24 @@ def semantic_review(skills: DataFrame, call: Callable[[str], str], model: str) -
     return findings, errors.unionByName(answers.filter("failed IS NOT NULL").select("skill_path", F.col("failed").alias("error")))
 
 
-def reports(findings: DataFrame, skills: DataFrame, key: str = "skill_path") -> DataFrame:
-    """One row per skill with score, level and its findings in order of emission; arrays are made at this output edge only."""
+#: What a report says of its skill besides score, level, guidance and findings, with its value where skills lack the column.
+ABOUT = (("skill_name", "string"), ("skill_description", "string"), ("invocations", "array<string>"), ("allowed_tools", "array<string>"))
+
+
+def reports(findings: DataFrame, skills: DataFrame, key: str = "skill_path", generated_at: float | None = None, sandbox_ran: bool = False, semantic_review_ran: bool = False) -> DataFrame:
+    """One row per skill with what is known of it, score, level and its findings in order of emission; arrays are made at this output edge only.
+
+    skills: the key and those columns of ABOUT that are known, one row per skill.
+    """
     cols = ["category", "severity", "summary", "confidence", "mitre_technique", "detail", "source"]
     rows = enriched(findings)
     order = [c for c in ("phase", "file_no", "ord") if c in rows.columns]
     packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *cols))).alias("f"))
     lean = F.transform(F.coalesce("f", F.array().cast("array<struct<" + ",".join([f"{c}:int" for c in order] + [f"{c}:string" for c in cols]) + ">>")), lambda x: F.struct(*[x[c].alias(c) for c in cols]))
-    return scores(findings, key, skills).join(packed, key, "left").withColumn("findings", lean).drop("f").join(guidance(findings, key, skills).select(key, "guidance"), key)
+    known = [c for c, _ in ABOUT if c in skills.columns]
+    about = skills.groupBy(key).agg(*[F.max(c).alias(c) for c in known]) if known else skills.select(key).distinct()
+    empty = lambda kind: F.array().cast(kind) if kind.startswith("array") else F.lit(None).cast(kind)
+    said = [(F.coalesce(c, empty(kind)) if c in known else empty(kind)).alias(c) for c, kind in ABOUT]
+    scored = scores(findings, key, skills).drop("findings").join(packed, key, "left").select(key, "risk_score", "risk_level", lean.alias("findings"))
+    whole = scored.join(guidance(findings, key, skills).select(key, "guidance"), key).join(about, key)
+    return whole.select(key, "risk_score", "risk_level", *said, F.lit(generated_at).cast("double").alias("generated_at"), F.lit(sandbox_ran).alias("sandbox_ran"), F.lit(semantic_review_ran).alias("semantic_review_ran"), "findings", "guidance")

@@ -185,7 +185,13 @@ def semantic_findings(spark, d):
 def _reports(spark, d):
     f = findings(spark, d).filter(F.col("skill_id").isNotNull())
     f = f.select(F.col("skill_id").cast("string").alias("skill_path"), F.lit(1).alias("phase"), F.lit(0).alias("file_no"), F.col("finding_id").cast("int").alias("ord"), "category", "severity", "summary", "detail", "source")
-    return cut(reporting.reports(cut(f), f.select("skill_path")))
+    return cut(reporting.reports(cut(f), f.select("skill_path").distinct(), generated_at=0.0))
+
+
+def report_rows(spark, d):
+    """Every finding of every report in its place, with the report's score and level."""
+    r = _reports(spark, d).select("skill_path", "risk_score", "risk_level", F.posexplode("findings").alias("place", "f"))
+    return r.select("skill_path", "risk_score", "risk_level", "place", "f.category", "f.severity", "f.summary", "f.confidence", "f.mitre_technique", "f.detail", "f.source")
 
 
 def report_json(spark, d):
@@ -537,13 +543,28 @@ def oracle_sql() -> dict[str, str]:
         "risk_guidance": f"""WITH {_F}, {_S}, {_SKILLS}, {_DIM}, l AS (SELECT f.skill_id, list_sort(list_distinct(list(coalesce(label, replace(f.category, '_', ' '))) FILTER (NOT coalesce(gap, false)))) AS labels,
  list_sort(list_distinct(list(f.category) FILTER (coalesce(gap, false)))) AS gaps FROM f LEFT JOIN dim USING (category) GROUP BY 1),
 r AS (SELECT skill_id, coalesce(risk_score, 0) AS risk_score, {_LEVEL} AS risk_level, coalesce(findings, 0) AS findings, labels, gaps FROM sk LEFT JOIN s USING (skill_id) LEFT JOIN l USING (skill_id))
-SELECT skill_id, risk_score, risk_level, CASE WHEN findings = 0 THEN 'No concerning behavior found — this skill looks safe to use.' WHEN len(labels) > 0 THEN 'Flagged for ' || {joined} || ' — ' || {verdict.format('risk_level')} || '.'
- ELSE 'No malicious behavior found — ' || array_to_string(list_transform(gaps, lambda category: {gaps}), '; ') || '. ' || upper(substr({verdict.format('risk_level')}, 1, 1)) || substr({verdict.format('risk_level')}, 2) || '.' END AS guidance FROM r""",
+SELECT skill_id, risk_score, risk_level, CASE WHEN findings = 0 THEN '{dims.GUIDANCE["clean"]}' WHEN len(labels) > 0 THEN '{dims.GUIDANCE["flagged"]}' || {joined} || ' — ' || {verdict.format('risk_level')} || '.'
+ ELSE '{dims.GUIDANCE["gaps"]}' || array_to_string(list_transform(gaps, lambda category: {gaps}), '; ') || '. ' || upper(substr({verdict.format('risk_level')}, 1, 1)) || substr({verdict.format('risk_level')}, 2) || '.' END AS guidance FROM r""",
         "enriched_findings": f"WITH {_F}, {_DIM} SELECT finding_id, f.category, coalesce(confidence, 'medium') AS confidence, coalesce(technique, '') AS mitre_technique, coalesce(label, replace(f.category, '_', ' ')) AS label FROM f LEFT JOIN dim USING (category)",
         "report_sections": f"WITH {_F}, {_DIM} SELECT skill_id, coalesce(section, 'other') AS section, count(*) AS n FROM f LEFT JOIN dim USING (category) GROUP BY 1, 2",
         "top_findings": f"""WITH {_F}, {_DIM}, r AS (SELECT f.*, row_number() OVER (PARTITION BY skill_id ORDER BY coalesce({_RANK}, -1) DESC, finding_id) AS place, count(*) OVER (PARTITION BY skill_id) AS n FROM f LEFT JOIN dim USING (category) WHERE NOT coalesce(gap, false))
 SELECT skill_id, finding_id, severity, CAST(place AS INTEGER) AS place, greatest(n - 3, 0) AS more FROM r WHERE place <= 3 AND skill_id IS NOT NULL""",
         "over_threshold": f"WITH {_F}, {_S} SELECT skill_id, {_LEVEL} AS risk_level FROM s WHERE rank >= 2",
+        "report_rows": f"""WITH f AS (SELECT finding_id, v[1] AS skill_id, lower(v[2]) AS category, v[3] AS severity, v[4] AS summary, v[5] AS source, v[6] AS detail
+ FROM (SELECT finding_id, arg_max((skill_id, category, severity, summary, source, detail), (found_at, skill_id, category, severity, summary, source, detail)) AS v FROM finding WHERE finding_id IS NOT NULL GROUP BY 1)), {_S}, {_DIM}
+SELECT CAST(f.skill_id AS VARCHAR) AS skill_path, risk_score, {_LEVEL} AS risk_level, CAST(row_number() OVER (PARTITION BY f.skill_id ORDER BY finding_id) - 1 AS INTEGER) AS place, f.category, severity, summary, coalesce(confidence, 'medium') AS confidence, coalesce(technique, '') AS mitre_technique, detail, source
+FROM f JOIN s ON s.skill_id = f.skill_id LEFT JOIN dim USING (category)""",
+        "run_findings": f"""WITH {_CALLS}, {_FLOWS}, {_OPENS}, {_RUNS}, {_execs('invocation')},
+q AS (SELECT run_id, count(*) AS n FROM flows WHERE kind = 'http_request' GROUP BY run_id, method, host, path),
+o AS (SELECT run_id, count(*) AS n FROM opens GROUP BY run_id, {_DIR.format('opened')}),
+e AS (SELECT run_id, count(*) AS n FROM execs GROUP BY run_id, command)
+SELECT run_id, category, severity, CAST(sum(n) AS BIGINT) AS n FROM (
+SELECT run_id, CASE WHEN coalesce(timed_out, false) THEN 'sandbox_timeout' ELSE 'sandbox_no_trace_data' END AS category, CASE WHEN coalesce(timed_out, false) THEN 'medium' ELSE 'high' END AS severity, 1 AS n FROM rn WHERE coalesce(timed_out, false) OR run_id NOT IN (SELECT run_id FROM calls)
+UNION ALL SELECT run_id, 'network_request', 'high', CASE WHEN n < 3 THEN n ELSE 1 END FROM q
+UNION ALL SELECT run_id, 'tls_handshake_failed', 'medium', 1 FROM flows WHERE kind = 'tls_handshake_failed'
+UNION ALL SELECT run_id, 'out_of_scope_file_access', 'high', CASE WHEN n < 3 THEN n ELSE 1 END FROM o
+UNION ALL SELECT run_id, 'unexpected_subprocess', 'medium', CASE WHEN n < 3 THEN n ELSE 1 END FROM e
+UNION ALL SELECT DISTINCT run_id, 'network_connection', 'medium', 1 FROM calls WHERE syscall = 'connect' AND contains(raw_args, 'AF_INET') AND run_id NOT IN (SELECT run_id FROM flows WHERE length(host) > 0)) GROUP BY 1, 2, 3""",
         "semantic_findings": """WITH f AS (SELECT finding_id, arg_max(category, k) AS category, arg_max(severity, k) AS severity, arg_max(summary, k) AS summary, arg_max(source, k) AS source FROM (SELECT *, (found_at, skill_id, category, severity) AS k FROM finding WHERE finding_id IS NOT NULL) GROUP BY 1)
 SELECT finding_id, lower(severity) AS severity, '[' || lower(coalesce(category, '')) || '] ' || coalesce(summary, '') AS summary, coalesce(source, '') AS detail FROM f WHERE lower(severity) IN ('low', 'medium', 'high', 'critical')""",
         "difference_findings": f"""WITH {_CALLS}, {_FLOWS}, {_OPENS}, {_RUNS}, {_execs('invocation')}, {_SIG}, a AS (SELECT run_id // 2 AS candidate, kind, d1, d2, d3 FROM sig WHERE run_id % 2 = 0), b AS (SELECT run_id // 2 AS candidate, kind, d1, d2, d3 FROM sig WHERE run_id % 2 = 1)
@@ -603,7 +624,7 @@ SELECT *, 'baseline' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UN
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        risk_score, worst_first, worst_skill, severity_counts, level_counts, risk_guidance, enriched_findings, report_sections, top_findings, compare_new, compare_resolved, matched_reports, over_threshold, semantic_findings, report_json, report_markdown, report_html, not_attempted, difference_findings,
+        risk_score, worst_first, worst_skill, severity_counts, level_counts, risk_guidance, enriched_findings, report_sections, top_findings, compare_new, compare_resolved, matched_reports, over_threshold, semantic_findings, report_rows, report_json, report_markdown, report_html, not_attempted, difference_findings,
         prose_instructions, hidden_unicode, secrets_found, secret_words, base64_blobs, js_eval_decode, py_eval_decode, install_targets, manifest_packages, known_malicious, typosquats, broad_grants, sensitive_paths,
         skill_folders, bundled_files, hidden_executables, run_candidates, front_matter, source_lines, system_calls, resolver_queries, http_flows, internet_connects, notable_opens, notable_execs, trace_health,
         connect_fallback, neardup_requests, neardup_opens, neardup_execs, run_findings, run_signature, differential,

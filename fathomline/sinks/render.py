@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
-from collections.abc import Iterable
-from pathlib import Path
+import sys
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from fathomline import dims
-from fathomline.operators.reporting import section, worst_first
+from fathomline.operators.reporting import section, top_findings, worst_first
 
 SECTIONS = (("network", "Network"), ("subprocess", "Subprocesses"), ("file", "File access"), ("static", "Static red flags"), ("semantic", "Semantic review"), ("other", "Other"))
 
@@ -83,15 +85,24 @@ def _plain(row: Row) -> dict:
     return row.asDict(recursive=True)
 
 
-def write_json(rows: Iterable[Row], path: str) -> None:
-    """One report as an object, several as an array."""
-    got = [_plain(r) for r in rows]
-    Path(path).write_text(json.dumps(got[0] if len(got) == 1 else got, indent=2, ensure_ascii=False), encoding="utf-8")
+def write_json(reports: DataFrame, path: str) -> None:
+    """One report as an object, several as an array, streamed row by row; '-' is standard output."""
+    rows = reports.toLocalIterator()
+    with contextlib.nullcontext(sys.stdout) if path == "-" else open(path, "w", encoding="utf-8") as out:
+        first, second = next(rows, None), next(rows, None)
+        text = lambda r: json.dumps(_plain(r), indent=2, ensure_ascii=False)
+        if first is not None and second is None:
+            out.write(text(first) + "\n")
+            return
+        out.write("[")
+        for k, r in enumerate(x for x in itertools.chain([first, second], rows) if x is not None):
+            out.write((",\n" if k else "\n") + text(r))
+        out.write("\n]\n")
 
 
-def write_markdown(reports: DataFrame, path: str, key: str = "skill_path") -> None:
+def write_markdown(reports: DataFrame, path: str, key: str = "skill_path", sandbox_ran: bool = True, semantic_ran: bool = False) -> None:
     """All reports in one file, parted by rules, the gravest named at the top."""
-    rows = worst_first(markdown(reports, key).join(reports.select(key, "risk_level", "risk_score"), key), key)
+    rows = worst_first(markdown(reports, key, sandbox_ran, semantic_ran).join(reports.select(key, "risk_level", "risk_score"), key), key)
     with open(path, "w", encoding="utf-8") as out:
         for k, r in enumerate(rows.toLocalIterator()):
             if k == 0:
@@ -102,3 +113,19 @@ def write_markdown(reports: DataFrame, path: str, key: str = "skill_path") -> No
 def summary_table(scored: DataFrame, key: str = "skill_path") -> DataFrame:
     """Skills, gravest first, for a console."""
     return worst_first(scored, key).select(key, "risk_level", "risk_score", "findings")
+
+
+def console_lines(reports: DataFrame, key: str = "skill_path") -> Iterator[str]:
+    """A console's report: of one skill its whole text, of several a line each, gravest first, and the gravest with its three worst findings."""
+    if reports.limit(2).count() == 1:
+        yield markdown(reports, key).first().markdown
+        return
+    yield "  ".join(f"{r.risk_level}: {r.n}" for r in level_counts(reports).collect())
+    top = None
+    for r in worst_first(reports.select(key, "risk_level", "risk_score", F.size("findings").alias("n"), "guidance"), key).toLocalIterator():
+        top = top or r
+        yield f"{r.risk_level.upper():8} {r.risk_score:6}  {r.n:5}  {r[key] or '.'}  {r.guidance}"
+    flat = reports.filter(F.col(key) == top[key]).select(key, F.posexplode("findings").alias("ord", "f")).select(key, "ord", "f.category", "f.severity", "f.summary")
+    yield f"gravest: {top[key] or '.'}"
+    for r in top_findings(flat, key).orderBy("place").collect():
+        yield f"  {r.place}. {r.severity.upper()} {r.summary}" + (f" (and {r.more} more)" if r.place == 3 and r.more else "")

@@ -116,7 +116,7 @@ def test_whole_audit(spark, tmp_path):
     assert reporting.over_threshold(got, "critical") and not reporting.over_threshold(got.filter("skill_path = 'plain'"), "medium")
     render.write_html(got, str(tmp_path / "r.html"))
     render.write_markdown(got, str(tmp_path / "r.md"))
-    render.write_json(got.collect(), str(tmp_path / "r.json"))
+    render.write_json(got, str(tmp_path / "r.json"))
     assert (tmp_path / "r.html").read_text().count("<details open>") == 1 and "CRITICAL" in (tmp_path / "r.md").read_text()
     prior = records.read_reports(spark, str(tmp_path / "r.json"))
     old = prior.select(F.col("skill_path").alias("pair"), "skill_path", F.explode("findings").alias("f")).select("pair", "skill_path", "f.*")
@@ -292,3 +292,87 @@ def test_scan_plans_the_given_invocation(spark, tmp_path, capsys):
         pytest.skip("needs a YAML reader")
     audit.scan(spark, audit.Options(str(tree(tmp_path)), invoke="run it"))
     assert re.search(r"run candidates: [1-9]\d*, skills without any: 0", capsys.readouterr().out)
+
+
+def recorded(folder):
+    """Two skills' recorded runs: one that reaches out in its varied pass only, one that leaves no trace."""
+    import json
+
+    for kind in ("strace", "proxy"):
+        (folder / kind).mkdir(parents=True)
+    runs = [{"run_id": 1, "skill_path": "plain", "invocation": "python3 scripts/a.py", "timed_out": False, "varied": False}, {"run_id": 2, "skill_path": "plain", "invocation": "python3 scripts/a.py", "timed_out": False, "varied": True}, {"run_id": 3, "skill_path": "bad", "invocation": "python3 x.py", "timed_out": False}]
+    (folder / "runs.jsonl").write_text("\n".join(map(json.dumps, runs)))
+    call = '7    10:00:00.000001 openat(AT_FDCWD, "/root/.ssh/id_rsa", O_RDONLY) = 3\n'
+    (folder / "strace" / "run-1.log").write_text(call)
+    (folder / "strace" / "run-2.log").write_text(call)
+    (folder / "proxy" / "run-2.log").write_text('{"kind": "http_request", "method": "POST", "host": "h.test", "path": "/x"}\n{"kind": "http_req')
+    return folder
+
+
+def test_the_sandbox_side_is_in_the_report(spark, tmp_path, capsys):
+    if udfs.yaml is None:
+        pytest.skip("needs a YAML reader")
+    import json
+
+    runs, out = recorded(tmp_path / "runs"), tmp_path / "out"
+    code = audit.scan(spark, audit.Options(str(tree(tmp_path / "t")), runs=str(runs), differential=True, output=str(out), now=12.5))
+    assert code == audit.OVER_THRESHOLD and "scan complete: " in capsys.readouterr().out
+    assert sorted(x.name for x in out.iterdir()) == ["report.html", "report.json", "report.md"]
+    by = {r["skill_path"]: r for r in json.loads((out / "report.json").read_text())}
+    kinds = lambda k: [f["category"] for f in by[k]["findings"] if f["source"] == "sandbox"]
+    assert kinds("plain") == ["out_of_scope_file_access", "differential_behavior_change"] and kinds("bad") == ["sandbox_no_trace_data"]
+    assert by["plain"]["invocations"] == ["python3 scripts/a.py"] and by["plain"]["generated_at"] == 12.5 and by["plain"]["sandbox_ran"] and not by["plain"]["semantic_review_ran"]
+    assert set(by["plain"]) == {"skill_path", "skill_name", "skill_description", "risk_score", "risk_level", "invocations", "generated_at", "semantic_review_ran", "sandbox_ran", "allowed_tools", "findings", "guidance"}
+    assert kinds(".agents/skills/in") in (["sandbox_not_attempted"], [])
+    assert audit.scan(spark, audit.Options(str(tmp_path / "t"), runs=str(runs), static=True, json="-")) == audit.OVER_THRESHOLD
+    assert not any(f["source"] == "sandbox" for r in json.loads(capsys.readouterr().out) for f in r["findings"])
+
+
+def test_earlier_reports_pair_by_name_or_end_the_scan(spark, tmp_path, capsys):
+    schema = "skill_path string, skill_name string, findings array<struct<category string, summary string, source string>>".replace("category string", "category: string").replace("summary string", "summary: string").replace("source string", "source: string")
+    now = spark.createDataFrame([("/new/a", "a", [("c", "kept", "/new/a/x"), ("c", "fresh", "")]), ("/new/b", None, [("c", "b", "")])], schema)
+    prior = spark.createDataFrame([("/old/a", "a", [("c", "kept", "/old/a/x"), ("c", "gone", "")]), ("/new/b", None, [("c", "b", "")])], schema)
+    new, resolved = audit.compared(now, prior)
+    assert [(r.pair, r.summary) for r in new.collect()] == [("/new/a", "fresh")] and [tuple(r) for r in resolved.collect()] == [("/new/a", 1)]
+    new, resolved = audit.compared(now.limit(1), prior.limit(1).withColumn("skill_name", F.lit("renamed")))
+    assert new.count() == 1 and resolved.count() == 1
+    for text in ('{"skill_path": "a", "findings": [', "{}", "", "7"):
+        (tmp_path / "p.json").write_text(text)
+        with pytest.raises(ValueError):
+            records.read_reports(spark, str(tmp_path / "p.json"))
+    assert audit.scan(spark, audit.Options(str(tree(tmp_path / "t")), compare_to=str(tmp_path / "p.json"), quiet=True)) == audit.NO_PRIOR
+
+
+def test_log_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "a.log").write_text("\n".join(f"line {k}" for k in range(5000)))
+    (tmp_path / "b.log").write_text("x\r\ny\n\nz")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = records.read_log(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {(r.line_no, r.raw_line) for r in got if r.file.endswith("a.log")} == {(k, f"line {k}") for k in range(5000)}
+    assert sorted((r.line_no, r.raw_line) for r in got if r.file.endswith("b.log")) == [(0, "x"), (1, "y"), (2, ""), (3, "z")]
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from fathomline import runtime
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()
+
+    fake = type("Session", (), {"sparkContext": Context(), "conf": type("C", (), {"get": lambda self, k, d: d})()})()
+    with pytest.raises(ValueError):
+        runtime._shared_folder(fake)
+
+
+def test_many_matches_stay_cheap(spark):
+    text = "ab\n" * 40_000
+    got = column(spark, [text], lambda c: F.transform(textops.matches(c, "a"), lambda m: m["line"]))
+    assert got == [list(range(1, 40_001))]
