@@ -27,8 +27,8 @@ from fathomline.runtime import fan_out
 _WORD = re.compile(r"[^\W_]+")
 #: Words under one suffix array; bounds a task's memory. A longer document is a shard of its own.
 SHARD_WORDS = 1_500_000
-#: Items searched in one pass; more items mean more passes over the documents.
-ITEM_BLOCK = 20_000
+#: Words of items that go into one pass, and so into each task; more words mean more passes over the documents. A longer item is a pass of its own.
+ITEM_WORDS = 500_000
 
 
 def words(text: str) -> list[str]:
@@ -159,11 +159,16 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 13) -> DataFr
 
     Word numbers count from 0. Needs no shuffle: each task searches its own shards.
     """
-    blocks = -(-items.count() // ITEM_BLOCK) or 1
+    known = items.filter(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "item_text")
+    # Blanks and signs between words make this an upper bound of an item's words.
+    words_of = F.size(F.split("item_text", r"[^\p{L}\p{N}]+"))
+    total = known.agg(F.sum(words_of)).first()[0] or 0
+    # Items are spread by hash, to half the bound on average.
+    blocks = max(1, -(-2 * total // ITEM_WORDS))
     texts = fan_out(documents.select(F.col("doc_id").cast("bigint"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)))
     parts = None
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).filter(F.col("item_id").isNotNull() & F.col("item_text").isNotNull())
+        block = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         index = ItemIndex([(r[0], r[1]) for r in block.select("item_id", "item_text").collect()], min_words)
         if not len(index.starts):
             continue

@@ -38,6 +38,12 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.Families(near_duplicates.bodies(table(spark, sf_dir, "skill_metadata"))).groups()
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of alike representatives with their similarity; p2_groups holds the membership."""
+    links = near_duplicates.Families(near_duplicates.bodies(table(spark, sf_dir, "skill_metadata"))).links()
+    return links.select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
 def p2_report_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report names within each group of alike skills."""
     return near_duplicates.reports_of_groups(p2_groups(spark, sf_dir), table(spark, sf_dir, "scan_report"))
@@ -111,7 +117,7 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups, "p2_report_names": p2_report_names, "p2_documents": p2_documents, "p3_found": p3_found, "p3_messages": p3_messages, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
+    return {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_groups": p2_groups, "p2_links": p2_links, "p2_report_names": p2_report_names, "p2_documents": p2_documents, "p3_found": p3_found, "p3_messages": p3_messages, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 
 
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
@@ -122,11 +128,23 @@ a AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM d, LATERAL (SEL
 b AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM i, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS k) WHERE len(w) >= 13),
 leaks AS (SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g))
 """
-_ALIKE = f"""
-WITH s AS (SELECT skill_id, max_by(body, loaded_at) AS body FROM skill_metadata WHERE skill_id IS NOT NULL GROUP BY 1),
+_GRAMS = f"""
+WITH RECURSIVE s AS (SELECT skill_id, max_by(body, loaded_at) AS body FROM skill_metadata WHERE skill_id IS NOT NULL GROUP BY 1),
 w AS (SELECT skill_id, {_WORDS.format('body')} AS w FROM s WHERE body IS NOT NULL),
 g AS (SELECT DISTINCT skill_id, array_to_string(w[k:k + 2], ' ') AS t FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS k) WHERE len(w) >= 30),
 n AS (SELECT skill_id, count(*) AS n FROM g GROUP BY 1),
+"""
+_CLASSES = """
+k AS (SELECT skill_id, min(skill_id) OVER (PARTITION BY h) AS rep FROM (SELECT skill_id, md5(string_agg(t, chr(10) ORDER BY t)) AS h FROM g GROUP BY 1)),
+r AS (SELECT g.* FROM g JOIN k USING (skill_id) WHERE k.rep = g.skill_id),
+c AS (SELECT a.skill_id AS x, b.skill_id AS y, count(*) AS shared FROM r a JOIN r b ON a.t = b.t AND a.skill_id < b.skill_id GROUP BY 1, 2),
+l AS (SELECT x AS a, y AS b, round(shared / (p.n + q.n - shared), 9) AS similarity FROM c JOIN n p ON p.skill_id = x JOIN n q ON q.skill_id = y WHERE shared >= 0.5 * (p.n + q.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(v, u) AS (SELECT DISTINCT rep, rep FROM k UNION SELECT reach.v, e.b FROM reach JOIN e ON e.a = reach.u),
+o AS (SELECT v, min(u) AS group_id FROM reach GROUP BY 1),
+d AS (SELECT a AS v, count(*) AS links FROM e GROUP BY 1)
+"""
+_ALIKE = _GRAMS + """
 c AS (SELECT a.skill_id AS x, b.skill_id AS y, count(*) AS shared FROM g a JOIN g b ON a.t = b.t AND a.skill_id < b.skill_id GROUP BY 1, 2)
 SELECT x AS skill_id_a, y AS skill_id_b FROM c JOIN n p ON p.skill_id = x JOIN n q ON q.skill_id = y WHERE shared >= 0.5 * (p.n + q.n - shared)
 """
@@ -135,6 +153,8 @@ SELECT x AS skill_id_a, y AS skill_id_b FROM c JOIN n p ON p.skill_id = x JOIN n
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _ALIKE,
+        "p2_links": _GRAMS + _CLASSES + "SELECT a, b, similarity FROM l",
+        "p2_groups": _GRAMS + _CLASSES + "SELECT skill_id AS id, group_id, CAST(coalesce(links, 0) AS BIGINT) AS links FROM k JOIN o ON o.v = k.rep LEFT JOIN d ON d.v = k.rep",
         "p8_found": _LEAKS + "SELECT doc_id, item_id FROM leaks",
         "p8_clean": _LEAKS + "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
     }

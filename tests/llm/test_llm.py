@@ -235,7 +235,7 @@ def test_canonical_form_is_stable():
 
 def test_leaks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(leakage, "SHARD_WORDS", 300)
-    monkeypatch.setattr(leakage, "ITEM_BLOCK", 3)
+    monkeypatch.setattr(leakage, "ITEM_WORDS", 100)
     r = random.Random(6)
     items = [(k, " ".join(f"v{r.randrange(40)}" for _ in range(r.randint(5, 60)))) for k in range(8)] + [(20, None), (21, ""), (22, "a b")]
     docs = []
