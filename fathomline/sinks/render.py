@@ -110,11 +110,6 @@ def write_markdown(reports: DataFrame, path: str, key: str = "skill_path", sandb
             out.write(("\n\n---\n\n" if k else "") + r.markdown)
 
 
-def summary_table(scored: DataFrame, key: str = "skill_path") -> DataFrame:
-    """Skills, gravest first, for a console."""
-    return worst_first(scored, key).select(key, "risk_level", "risk_score", "findings")
-
-
 def console_lines(reports: DataFrame, key: str = "skill_path") -> Iterator[str]:
     """A console's report: of one skill its whole text, of several a line each, gravest first, and the gravest with its three worst findings."""
     if reports.limit(2).count() == 1:
