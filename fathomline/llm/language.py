@@ -78,7 +78,6 @@ _BULLET = re.compile(r"^\s*(?:>\s*)*(?:[-*+•]\s+|\d{1,3}[.)]\s+)?")
 _END = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
-_KANA = re.compile("[぀-ヿ]")
 _CYR = re.compile("[Ѐ-ӿ]")
 _LAT = re.compile("[A-Za-zÀ-ɏ]")
 #: Letters of Russian that none of the RIVALS has.
